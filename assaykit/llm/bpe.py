@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from assaykit.llm.common import map_batches, quiet_tokenizers
 
 #: Fixed value: the white space of the tokenizers' patterns.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fragments whose ids are remembered by a worker, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
 
@@ -49,11 +49,23 @@ def forced_pairs(tokens: list[bytes]) -> np.ndarray:
     return ~inside
 
 
-def cutting_blanks(forced: np.ndarray) -> str:
-    """The ASCII white space that may follow a cut: every pair of another byte with it is forced."""
-    blank = [9, 10, 11, 12, 13, 32]
-    others = [b for b in range(256) if b not in blank]
-    return "".join(chr(b) for b in blank if forced[others, b].all())
+def uncertain_ends(forced: np.ndarray) -> set[int]:
+    """Bytes after which a cut before ASCII white space isn't certain."""
+    blanks = [9, 10, 11, 12, 13, 32]
+    return {b for b in range(256) if b not in blanks and not forced[b, blanks].all()}
+
+
+def fragment_pattern(forced: np.ndarray) -> str:
+    """A word with the white space before it. After a character whose last byte is uncertain the fragment goes on;
+    of the characters beyond U+FFFF none ends one if any byte is uncertain."""
+    ends = uncertain_ends(forced)
+    if any(b < 0x80 for b in ends):
+        return r"(?s).+"
+    word = f"[{SPACES}]*[^{SPACES}]+"
+    if ends:
+        joined = "".join(re.escape(chr(c)) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (0x80 | c & 0x3F) in ends)
+        word += f"(?:(?<=[{joined}\U00010000-\U0010ffff])[{SPACES}]+[^{SPACES}]*)*"
+    return f"{word}|[{SPACES}]+"
 
 
 class Encoder:
@@ -71,12 +83,7 @@ class Encoder:
             self.fragments = re.compile(f"[^{SPACES}]+").findall
             return
         self.tokens = token_bytes(path)
-        blanks = cutting_blanks(forced_pairs(self.tokens))
-        # A cut needs a letter that is no white space of any kind before it; a blank that isn't certain doesn't cut.
-        if set(blanks) >= set(" \t\n\x0b\x0c\r"):
-            self.fragments = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
-        else:
-            self.fragments = re.compile(f"(?<=[^{SPACES}])(?=[{re.escape(blanks)}])").split if blanks else lambda t: [t]
+        self.fragments = re.compile(fragment_pattern(forced_pairs(self.tokens))).findall
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.letters = np.frombuffer(b"".join(self.tokens), np.uint8)

@@ -19,10 +19,11 @@ def library(path, text):
     return ids, t.decode(ids, skip_special_tokens=False)
 
 
-def test_no_blank_follows_another_byte_inside_a_token():
+def test_certain_cuts():
     forced = bpe.forced_pairs(bpe.token_bytes(BYTE))
-    assert set(bpe.cutting_blanks(forced)) == set(" \t\n\x0b\x0c\r")
+    assert bpe.uncertain_ends(forced) == {0xA0}  # of the no-break space, and of "à"
     assert not forced[ord("t"), ord("h")]
+    assert bpe.Encoder(BYTE).fragments("a à  la  b\n") == ["a", " à  la", "  b", "\n"]
 
 
 def test_odd_texts_as_the_library():
