@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import bpe, simhash
+from assaykit.llm import bpe, quality, simhash, urls
 from assaykit.llm.common import table
 
 
@@ -26,8 +26,40 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
     "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
+    "op9_urls": op9_urls,
+}
+_PATTERNS = " OR ".join([f"regexp_matches(url, '(?i)/{w}([/.?#]|$)')" for w in urls.WORDS] + [f"regexp_matches(url, '(?i)[?&;]{w}=')" for w in urls.SESSIONS])
+SQL: dict[str, str] = {
+    "op9_urls": f"""
+WITH rest AS (
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, url, lower(regexp_extract(r, '^[^/?#]*')) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
+  WHEN rule IS NOT NULL OR {_PATTERNS} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled""",
 }
-SQL: dict[str, str] = {}
