@@ -44,3 +44,10 @@ def quiet_tokenizers() -> None:
     """One thread for each task: Spark already runs a task on every core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ["RAYON_NUM_THREADS"] = "1"
+
+
+def bounded_sample(df: DataFrame, most: int, total: int, *key: str) -> DataFrame:
+    """About `most` of the `total` rows of df, those with the smallest hashes of key; all of them if there are fewer."""
+    if total <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.lit(int((1 << 30) * most / total)))

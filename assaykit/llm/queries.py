@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import bpe, quality, simhash, urls
+from assaykit.llm import bpe, decontamination, html, langid, quality, secrets, simhash, tokenfile, urls
 from assaykit.llm.common import table
+from assaykit.session import shared_path
 
 
 def tokenizer_file(name: str) -> str:
@@ -15,11 +16,35 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = langid.held_out()
+    model = langid.fit(docs.where(~apart))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    counts = tokenfile.write(table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return tokenfile.read(spark, folder, counts)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     digits = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -36,11 +61,24 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES = {
+    "op1_html": op1_html,
+    "op2_decontamination": op2_decontamination,
+    "op3_language": op3_language,
     "op4_simhash": op4_simhash,
+    "op5_tokens": op5_tokens,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op9_urls": op9_urls,
+    "op10_secrets": op10_secrets,
 }
 _PATTERNS = " OR ".join([f"regexp_matches(url, '(?i)/{w}([/.?#]|$)')" for w in urls.WORDS] + [f"regexp_matches(url, '(?i)[?&;]{w}=')" for w in urls.SESSIONS])
 SQL: dict[str, str] = {

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import map_batches
+from assaykit.llm.common import keep_rows, map_batches
 from assaykit.llm.components import connected_components
 from assaykit.session import cut
 
@@ -134,3 +134,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def hex_digits(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with one row of each component, the one with the smallest doc_id; all columns stay."""
+    found = near_duplicates(docs, text).select("doc_id", "component_id")
+    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    kept = keep_rows(docs, first)
+    repeated = first.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
