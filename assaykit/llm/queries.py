@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import bpe, decontamination, html, langid, quality, secrets, simhash, tokenfile, urls
+from assaykit.llm import bpe, decontamination, html, langid, quality, repeats, secrets, simhash, tokenfile, urls
 from assaykit.llm.common import table
 from assaykit.session import shared_path
 
@@ -56,6 +56,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urls.judge(table(spark, sf_dir, "pages"))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -77,6 +83,7 @@ QUERIES = {
     "op5_tokens": op5_tokens,
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
+    "op8_repeats": op8_repeats,
     "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
 }
