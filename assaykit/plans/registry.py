@@ -1,5 +1,27 @@
 """Names of queries, their functions and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "evaluation_report"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and, where there is one, the SQL that gives the same rows."""
+
+    def put(fn: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return put
