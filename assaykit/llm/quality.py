@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import words
+from assaykit.session import cut
 
 BUCKETS = 1 << 18
 ALPHA = 64.0
@@ -55,11 +56,11 @@ def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     figures = ["doc_id", "w", "n_words", "word_chars", "n_symbols"]
     lines = (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines")
     again = F.size(F.array_distinct("h")) < F.size("h")
-    df = df.select(*figures, lines, F.when(again, F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"))
+    df = df.select(*figures, lines, F.when(again, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).alias("s"))
     figures.append("n_dup_lines")
-    df = df.select(*figures, "s", F.col("s.h").alias("h"))
-    same = lambda e, k: F.coalesce(e["h"] == F.get("h", k - 1), F.lit(False)) | F.coalesce(e["h"] == F.get("h", k + 1), F.lit(False))
-    df = df.select(*figures, F.array_sort(F.transform(F.filter("s", same), lambda e: e["i"])).alias("p"))
+    # a field of one element: taking the field of the whole array here would cost its length for every element
+    same = lambda e, k: F.coalesce(e["h"] == F.get("s", k - 1)["h"], F.lit(False)) | F.coalesce(e["h"] == F.get("s", k + 1)["h"], F.lit(False))
+    df = df.select(*figures, F.sort_array(F.transform(F.filter("s", same), lambda e: e["i"])).alias("p"))
     covered = F.aggregate(
         F.transform("p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
@@ -79,7 +80,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", bucke
     """(bucket, ratio): log(p_trusted / p_corpus) in millionths for each bucket that occurs."""
     marked = docs.select("doc_id", text).join(F.broadcast(trusted.withColumn("one", F.lit(1))), F.col("doc_id") == F.col("id"), "left")
     grams = marked.select(words(F.col(text)).alias("w"), F.coalesce("one", F.lit(0)).alias("one")).select("one", F.explode(_grams("w", buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("one").alias("k"))
+    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("one").alias("k")))
     total = counts.agg(F.sum("n").alias("n_all"), F.sum("k").alias("k_all"))
     share = F.col("k_all") / F.col("n_all")
     # both totals are smoothed alike, so the ratio of the two probabilities is that of the smoothed counts, over the share
