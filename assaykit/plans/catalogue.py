@@ -1,4 +1,4 @@
 """Every registered query: importing this module registers them."""
 
-from assaykit.plans import evaluation  # noqa: F401
+from assaykit.plans import evaluation, operations  # noqa: F401
 from assaykit.plans.registry import FLAGSHIP, QUERIES, SQL  # noqa: F401

@@ -13,7 +13,7 @@ DIMENSIONS = ("technical", "text", "product", "context", "composition")
 
 VIEWS = {
     "v_runs": """
-SELECT o_orderkey AS run_id, o_custkey % 4 AS tenant, o_custkey AS brief_id, o_orderdate AS created_at,
+SELECT o_orderkey AS run_id, o_custkey % 4 AS tenant, o_custkey AS brief_id, CAST(o_orderdate AS timestamp) AS created_at,
   CAST(CAST(o_orderdate AS date) AS string) AS created_day,
   CASE WHEN o_orderkey % 9 = 0 THEN 'golden' ELSE 'user' END AS origin,
   CASE o_orderkey % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'interrupted' WHEN 2 THEN 'generating' WHEN 3 THEN 'held'
@@ -76,7 +76,7 @@ FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id""",
         f"SELECT item_id, version, item_set, split, source_id, mutation, label_source, '{d}' AS dimension, label_{d} AS label, assessed_{d} AS assessed, pred_{d} AS predicted FROM {{v_items}}" for d in DIMENSIONS
     ),
     "v_calls": """
-SELECT event_id AS call_id, user_id AS run_id, event_type AS kind, ts AS created_at, CAST(CAST(ts AS date) AS string) AS created_day,
+SELECT event_id AS call_id, user_id AS run_id, event_type AS kind, CAST(ts AS timestamp) AS created_at, CAST(CAST(ts AS date) AS string) AS created_day,
   k, k % 4 = 0 AS cached, k % 9 = 0 AS fallback_used, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
   k * 37 + event_id % 101 AS latency_ms, value / 1000 AS est_cost_usd, 'model' || CAST(user_id % 4 AS string) AS model
 FROM (SELECT *, CAST(replace(replace(props, '{{"k": ', ''), '}}', '') AS bigint) AS k FROM {events}) e""",
