@@ -84,6 +84,11 @@ FROM (SELECT *, CAST(replace(replace(props, '{{"k": ', ''), '}}', '') AS bigint)
 SELECT conv_id AS run_id, turn + 1 AS seq, CASE WHEN turn = 0 THEN 'run.created' WHEN turn = last THEN 'run.finished' WHEN role = 'assistant' THEN 'candidate.created'
   WHEN turn % 3 = 0 THEN 'repair.planned' ELSE 'candidate.evaluated' END AS type, role, text AS payload, length(text) AS size
 FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM {conversations}) c""",
+    "v_reads": """
+SELECT conv_id * 100 + turn AS item_id, 'a' AS reader, 1 AS read_no, text AS required, text AS read, conv_id % 10 / 10.0 AS x, turn / 10.0 AS y FROM {conversations}
+UNION ALL SELECT conv_id * 100 + turn, 'b', 2, text, CASE WHEN turn % 2 = 0 THEN text ELSE replace(text, 'th', 'tb') END, conv_id % 10 / 10.0 + 0.01, turn / 10.0 FROM {conversations}
+UNION ALL SELECT conv_id * 100 + turn, 'c', 3, text, CASE WHEN conv_id % 3 = 0 THEN replace(text, 'e', '') WHEN conv_id % 3 = 1 THEN replace(text, 'th', 'tb') ELSE text END,
+  conv_id % 10 / 10.0, turn / 10.0 + CASE WHEN turn % 5 = 0 THEN 0.05 ELSE 0.015 END FROM {conversations}""",
     "v_vectors": "SELECT vec_id, label, embedding FROM {embeddings}",
 }
 
