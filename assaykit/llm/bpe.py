@@ -21,7 +21,13 @@ from assaykit.llm.common import map_batches, quiet_tokenizers
 #: Fixed value: the white space of the tokenizers' patterns.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fragments whose ids are remembered by a worker, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
+#: Characters of text whose new fragments are learnt together, and fragments in one text given to the tokenizer.
+TOGETHER, JOINED = 1 << 19, 4096
+
+#: Lower-case words of Latin-1 letters alone, signs alone, and the one with the other after it: without the apostrophe, which begins tokens of its own.
+WHOLE = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+HALVES = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,8 +85,12 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ids: dict[str, bytes] = {}
+        self.word_ends = word_ends
         if word_ends:
             self.fragments = re.compile(f"[^{SPACES}]+").findall
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
             return
         self.tokens = token_bytes(path)
         self.fragments = re.compile(fragment_pattern(forced_pairs(self.tokens))).findall
@@ -88,27 +98,90 @@ class Encoder:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.letters = np.frombuffer(b"".join(self.tokens), np.uint8)
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        return {f: np.array(e.ids, "<u4").tobytes() for f, e in zip(missing, encoded)}
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text and the place of the character that each begins in."""
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return np.array(found.ids, "<u4"), np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+
+    def _joined(self, missing: list[str], between: str) -> None:
+        """Learn fragments that can be encoded in one text; tokens of what lies between them are left out."""
+        for at in range(0, len(missing), JOINED):
+            some = missing[at : at + JOINED]
+            ids, places = self._encode(between.join(some))
+            sizes = np.array([len(f) for f in some]) + len(between)
+            starts = np.cumsum(sizes) - sizes
+            owner = np.searchsorted(starts, places, side="right") - 1
+            inside = places - starts[owner] < sizes[owner] - len(between)
+            ids, owner = ids[inside], owner[inside]
+            data, cuts = ids.tobytes(), (np.searchsorted(owner, np.arange(len(some) + 1)) * 4).tolist()
+            self.ids.update((f, data[x:y]) for f, x, y in zip(some, cuts[:-1], cuts[1:]))
+
+    def _whole(self, words: list[str]) -> None:
+        """Learn words that the pre-tokenizer leaves whole: each ends with the next id that ends a word."""
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            data, cuts = ids.tobytes(), ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
+            self.ids.update((f, data[x:y]) for f, x, y in zip(some, [0, *cuts[:-1]], cuts, strict=True))
+
+    def _learn(self, missing: list[str]) -> None:
+        if self.word_ends:
+            # a word of letters and what hangs on it are tokens of their own: most new words are old ones with a sign
+            halves = {f: m.groups() for f in missing if (m := HALVES.fullmatch(f))}
+            parts = {p for f in missing for p in halves.get(f, (f,))}.difference(self.ids)
+            whole = {p for p in parts if WHOLE.fullmatch(p)}
+            self._whole(list(whole))
+            self._joined(list(parts - whole), " ")
+            self.ids.update((f, self.ids[a] + self.ids[b]) for f, (a, b) in halves.items())
+            return
+        blank = set(" \t\n\x0b\x0c\r")
+        led = [f for f in missing if f[0] in blank and f[-1].isalnum() and f[-1].isascii()]
+        bare = [f for f in missing if f[0].isalnum() and f[-1].isalnum() and f[-1].isascii()]
+        self._joined(led, "")  # each begins with a cut
+        self._joined(bare, "\n")  # a line feed is a token of its own before a letter or digit
+        rest = list(set(missing).difference(led, bare))
+        for f, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.ids[f] = np.array(e.ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        known, held, new, size = self.ids, [], set(), 0
+        for i, text in enumerate(texts):
+            parts = self.split(text or "")
+            found = list(map(known.get, parts))
+            gaps = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            new.update([parts[k] for k in gaps])
+            held.append((parts, found, gaps))
+            size += len(text or "")
+            if size < TOGETHER and i < len(texts) - 1:
+                continue
+            if new:
+                self._learn(list(new))
+            for parts, found, gaps in held:
+                for k in gaps:
+                    found[k] = known[parts[k]]
+                out.append(b"".join(found))
+            for f in new:
+                if len(f) > LONGEST:
+                    del known[f]
+            if len(known) > REMEMBERED:
+                known.clear()
+            held, new, size = [], set(), 0
+        return out
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        parts = self.fragments(text or "")
-        ids = self.ids
-        missing = list(set(parts).difference(ids))
-        if missing:
-            if len(ids) > REMEMBERED:
-                ids.clear()
-                missing = list(set(parts))
-            learned = self._learn(missing)
-            ids.update(learned)
-            found = b"".join(map(ids.__getitem__, parts))
-            for f in missing:
-                if len(f) > LONGEST:
-                    del ids[f]
-            return found
-        return b"".join(map(ids.__getitem__, parts))
+        return self.encode_all([text])[0]
+
+    def split(self, text: str) -> list[str]:
+        """Fragments of a text. str.split() also splits at four control characters, which the patterns don't."""
+        if not self.word_ends or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.fragments(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()  # as the normalizer does, letter by letter; beyond Latin-1 that isn't sure
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids of a byte-level vocabulary; bytes that are no UTF-8 become U+FFFD."""
@@ -141,7 +214,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = encoder(path)
-        parts = [codec.encode(t) for t in batch.column(1).to_pylist()]
+        parts = codec.encode_all(batch.column(1).to_pylist())
         decoded = [codec.decode(np.frombuffer(p, "<u4")) for p in parts]
         return pa.RecordBatch.from_arrays([batch.column(0), ids_array(parts), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 

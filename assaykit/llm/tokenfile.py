@@ -28,7 +28,8 @@ from assaykit.llm.bpe import encoder
 NULL_ID = -(2**63)
 #: Bytes of text a shard is meant to hold.
 SHARD_BYTES = 64 << 20
-FLUSH = 8 << 20
+#: Documents that are encoded and written at a time.
+ROWS = 500
 COUNTS = "shard int, docs bigint, ids bigint"
 
 
@@ -65,15 +66,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
         lengths, doc_ids = [0], []
         with store.open_output_stream(f"{base}/{name}.ids") as out:
             for batch in batches:
-                ids, held = [], 0
-                for value in batch.column(1).to_pylist():
-                    ids.append(codec.encode(value) + end)
-                    lengths.append(len(ids[-1]) // 4)
-                    held += len(ids[-1])
-                    if held > FLUSH:
-                        out.write(np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())
-                        ids, held = [], 0
-                out.write(np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())
+                for at in range(0, batch.num_rows, ROWS):
+                    ids = [found + end for found in codec.encode_all(batch.column(1).slice(at, ROWS).to_pylist())]
+                    lengths += [len(x) // 4 for x in ids]
+                    out.write(np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())
                 doc_ids += [NULL_ID if d is None else d for d in batch.column(0).to_pylist()]
         offsets = np.cumsum(np.array(lengths, "<u8"), dtype="<u8")
         for ending, values in (("off", offsets), ("doc", np.array(doc_ids, "<i8"))):
