@@ -24,7 +24,7 @@ SWAPS = ("01345@$!", "oieasasi")
 def normalise(col: Column) -> Column:
     """Lower case, one kind of dash, no punctuation but KEPT, single spaces. Latin text; normalise_exact for any."""
     one = F.translate(F.lower(col), DASHES, "-" * len(DASHES))
-    return F.trim(F.regexp_replace(F.regexp_replace(one, r"[^\p{L}\p{N}\s%.,:/+-]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(one, r"[^\p{L}\p{N}\p{M}\p{S}\p{Z}\s%.,:/-]", ""), r"\s+", " "))
 
 
 def compact(col: Column) -> Column:
@@ -34,7 +34,7 @@ def compact(col: Column) -> Column:
 
 def normalise_text(text: str) -> str:
     folded = unicodedata.normalize("NFKC", text).casefold().translate({ord(c): "-" for c in DASHES})
-    kept = "".join(c for c in folded if c in KEPT or not unicodedata.category(c).startswith(("P", "S")))
+    kept = "".join(c for c in folded if c in KEPT or not unicodedata.category(c).startswith("P"))
     return re.sub(r"\s+", " ", kept).strip()
 
 
@@ -60,30 +60,33 @@ def fold_key(col: Column) -> Column:
 
 
 def critical_tokens(col: Column) -> Column:
-    """Numbers, prices and percents, then short words in capitals; trailing signs off, lower case, each once."""
-    numbers = F.regexp_extract_all(col, F.lit(r"[$€£]?\d[\d.,:/]*%?"), 0)
-    capitals = F.regexp_extract_all(col, F.lit(r"(?<![\p{L}\p{N}_])[A-Z]{2,4}(?![\p{L}\p{N}_])"), 0)
+    """Numbers, prices and percents, then words of 2 to 4 capitals; trailing signs off, lower case, each once."""
+    text = F.translate(col, DASHES, "-" * len(DASHES))
+    numbers = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}])([-+]?\p{Sc}?\d[\d.,:/]*%?\p{Sc}?)"), 1)
+    capitals = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}{2,4}(?![\p{L}\p{N}])"), 0)
     return F.array_distinct(F.transform(F.concat(numbers, capitals), lambda t: F.lower(F.rtrim(t, F.lit(".,:/")))))
 
 
 def missing_tokens(read: Column, tokens: Column) -> Column:
-    """Tokens that a read lacks. A number isn't found inside a longer one; what follows may be letters ("4th")."""
-    padded = F.concat(F.lit(" "), F.lower(read), F.lit(" "))
+    """Tokens that a read (lower case) lacks. A number isn't found inside a longer one, though a suffix may follow
+    ("4th"); a word isn't found inside a longer word."""
 
     def found(t: Column) -> Column:
-        quoted = F.regexp_replace(t, r"([.$+*?()\[\]{}|^\\])", r"\\$1")
-        return F.regexp_like(padded, F.concat(F.lit(r"[^\d.,]"), quoted, F.lit(r"([^\d%]|[.,]?[^\d])")))
+        quoted = F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
+        number = F.concat(F.lit(r"(?<![\p{N}.,])"), quoted, F.lit(r"(?!\p{N})"))
+        word = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
+        return F.regexp_like(read, F.when(F.regexp_like(t, F.lit(r"\d")), number).otherwise(word))
 
     return F.filter(tokens, lambda t: ~found(t))
 
 
 #: What a text may not hold.
-HIDDEN = r"[\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}]"
+HIDDEN = r"[\x{AD}\x{61C}\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}\x{E0000}-\x{E007F}]"
 
 
 def validate_text(col: Column, longest: int = 80, lines: int = 3) -> Column:
     """The first rule that a text breaks, or null."""
-    t = F.trim(col)
+    t = F.trim(col, F.lit(" \t\r\n"))
     return (
         F.when(col.isNull() | (F.length(t) == 0), "empty")
         .when(F.length(t) > longest, "too_long")
@@ -95,11 +98,17 @@ def validate_text(col: Column, longest: int = 80, lines: int = 3) -> Column:
 
 
 def blocklist(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
-    """(key, term) of each listed word in a text, also when digits stand for letters. The list is short."""
-    plain = F.regexp_replace(F.translate(F.lower(text), *SWAPS), r"[^\p{L}]+", " ")
-    words = df.select(key, F.explode(F.array_distinct(F.split(plain, " "))).alias("term"))
+    """(key, term) of each listed word or phrase in a text, also when digits stand for letters. The list is short."""
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(text), *SWAPS), r"[^\p{L}]+", " "))
+    rows = df.select(key, plain.alias("__t"))
+    words = rows.select(key, F.explode(F.array_distinct(F.split("__t", " "))).alias("term"))
     listed = df.sparkSession.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
-    return words.join(F.broadcast(listed), "term", "left_semi").select(key, "term")
+    found = words.join(F.broadcast(listed), "term", "left_semi").select(key, "term")
+    phrases = sorted({t for t in terms if " " in t})
+    if not phrases:
+        return found
+    hits = F.array_compact(F.array(*[F.when(F.contains(F.concat(F.lit(" "), "__t", F.lit(" ")), F.lit(f" {p} ")), F.lit(p)) for p in phrases]))
+    return found.unionByName(rows.select(key, F.explode(hits).alias("term")))
 
 
 SIGNALS = {

@@ -8,7 +8,7 @@ from assaykit.functions import text as X
 from assaykit.plans.registry import query
 from assaykit.sources.bridge import table, twin
 
-NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower({t}), '" + X.DASHES + r"', '-------'), '[^\p{{L}}\p{{N}}\s%.,:/+-]', '', 'g'), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower({t}), '" + X.DASHES + r"', '-------'), '[^\p{{L}}\p{{N}}\p{{M}}\p{{S}}\p{{Z}}\s%.,:/-]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def normal(t: str) -> str:
@@ -39,8 +39,8 @@ def fold_key_exact(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.fold_key_exact("text").alias("folded"))
 
 
-TOKENS = r"""list_distinct(list_transform(list_concat(regexp_extract_all({t}, '[$€£]?\d[\d.,:/]*%?'), list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,4}}'))),
-  lambda w: lower(rtrim(w, '.,:/'))))"""
+TOKENS = r"""list_distinct(list_transform(list_concat(regexp_extract_all({t}, '(?:^|[^\p{{L}}\p{{N}}])([-+]?\p{{Sc}}?\d[\d.,:/]*%?\p{{Sc}}?)', 1),
+  list_filter(regexp_extract_all({t}, '[\p{{L}}\p{{N}}]+'), lambda w: regexp_full_match(w, '\p{{Lu}}{{2,4}}'))), lambda w: lower(rtrim(w, '.,:/'))))"""
 
 
 @query("critical_tokens", f"SELECT doc_id, array_to_string(list_sort({TOKENS.format(t='text')}), ' ') AS tokens FROM documents")
@@ -50,10 +50,11 @@ def critical_tokens(spark, sf_dir):
 
 @query(
     "missing_tokens",
-    twin(rf"""SELECT item_id, reader, array_to_string(list_sort(list_filter({TOKENS.format(t="translate(required, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")}, lambda t: NOT regexp_matches(' ' || lower(read) || ' ', '[^\d.,]' || regexp_escape(t) || '([^\d%]|[.,]?[^\d])'))), ' ') AS missing FROM v_reads"""),
+    twin(rf"""SELECT item_id, reader, array_to_string(list_sort(list_filter({TOKENS.format(t="translate(required, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")}, lambda t:
+      NOT regexp_matches(lower(read), CASE WHEN regexp_matches(t, '\d') THEN '(^|[^\p{{N}}.,])' || regexp_escape(t) || '($|[^\p{{N}}])' ELSE '(^|[^\p{{L}}\p{{N}}])' || t || '($|[^\p{{L}}\p{{N}}])' END))), ' ') AS missing FROM v_reads"""),
 )
 def missing_tokens(spark, sf_dir):
-    missing = X.missing_tokens(F.col("read"), X.critical_tokens(F.translate("required", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+    missing = X.missing_tokens(F.lower("read"), X.critical_tokens(F.translate("required", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
     return table(spark, sf_dir, "v_reads").select("item_id", "reader", F.array_join(F.array_sort(missing), " ").alias("missing"))
 
 
@@ -100,7 +101,7 @@ def stray_agreement(spark, sf_dir):
     "validate_text",
     rf"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) > 80 THEN 'too_long' WHEN regexp_matches(t, '[\x00-\x09\x0B-\x1F\x{{7F}}-\x{{9F}}]') THEN 'control'
       WHEN regexp_matches(t, '{X.HIDDEN}') THEN 'hidden' WHEN regexp_matches(t, '[\x{{2028}}\x{{2029}}]') THEN 'hidden_break' END AS problem
-    FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS t FROM documents) l) p GROUP BY problem""",
+    FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents) l) p GROUP BY problem""",
 )
 def validate_text(spark, sf_dir):
     lines = docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line"))
