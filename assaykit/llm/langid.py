@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return map_batches(docs.select("doc_id", text), run, "doc_id bigint, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of docs, whole, whose language is told with a probability of `least` or more."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
