@@ -14,8 +14,9 @@ inside it the one with the least hash (the first of equals). Equal windows have
    the suffixes of the remaining places are merged by their first letter and the name that follows.
 4. Neighbours whose prefixes agree in LENGTH bytes are one group; its windows repeat its smallest document.
 
-What a task holds is a chunk of contexts, cut between anchors; a single anchor with very many distinct contexts is
-held alone. Texts are shuffled twice (to list contexts, and to cut), anchors once with 6 bytes each, contexts once.
+What a task holds is the contexts of its partition, whose number follows the input; what it sorts at a time is a chunk
+of them, cut between anchors. Contexts of one anchor stay together, but equal ones are sorted once. Texts are shuffled
+twice (to list contexts, and to cut) and compressed for it, anchors once with 6 bytes each, contexts once, compressed.
 """
 
 from __future__ import annotations
@@ -77,6 +78,40 @@ def _steps(texts: list[bytes]):
             begin, size = i + 1, 0
 
 
+def _six(h: np.ndarray) -> bytes:
+    """Anchors, of 48 bits, in 6 bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    h = np.zeros((len(data) // 6, 8), np.uint8)
+    h[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return h.view("<u8").ravel()
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with text compressed, for a shuffle."""
+    columns = rows.columns
+    at = columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        arrays = list(batch.columns)
+        arrays[at] = pa.array([pack(t) for t in batch.column(at).to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays(arrays, columns)
+
+    return map_batches(rows, run, rows.schema)
+
+
+def _unpacked(values: pa.Array) -> list[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(v) for v in values.to_pylist()]
+
+
 def _listed(rows: DataFrame, parts: int) -> DataFrame:
     """(part, classes, counts, anchors): the anchors of each text, dealt by their hash, packed."""
 
@@ -92,9 +127,8 @@ def _listed(rows: DataFrame, parts: int) -> DataFrame:
             h, t, part = h[order], t[order], part[order]
             for p, a, b in zip(*_runs(part)):
                 docs, starts, stops = _runs(t[a:b])
-                packed = h[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (classes[docs], (stops - starts).astype("<u4"), packed))], ["part", "classes", "counts", "anchors"]
+                    [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (classes[docs], (stops - starts).astype("<u4"), np.frombuffer(_six(h[a:b]), np.uint8)))], ["part", "classes", "counts", "anchors"]
                 )
 
     return rows.mapInArrow(run, "part int, classes binary, counts binary, anchors binary")
@@ -113,10 +147,7 @@ def _shared(listed: DataFrame, parts: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         classes = np.concatenate([np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(n, "<u4")) for c, n in zip(table["classes"].to_pylist(), table["counts"].to_pylist())])
-        raw = np.frombuffer(b"".join(table["anchors"].to_pylist()), np.uint8).reshape(-1, 6)
-        h = np.zeros((len(raw), 8), np.uint8)
-        h[:, :6] = raw
-        h = h.view("<u8").ravel()
+        h = _from_six(b"".join(table["anchors"].to_pylist()))
         order = np.lexsort((classes, h))
         h, classes = h[order], classes[order]
         fresh = np.append(True, (h[1:] != h[:-1]) | (classes[1:] != classes[:-1]))
@@ -127,42 +158,78 @@ def _shared(listed: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(classes, kind="stable")
         h, classes = h[order], classes[order]
         owners, starts, stops = _runs(classes)
-        return pa.table({"class": pa.array(owners, pa.int64()), "anchors": pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(starts, stops)], pa.binary())})
+        return pa.table({"class": pa.array(owners, pa.int64()), "anchors": pa.array([_six(h[a:b]) for a, b in zip(starts, stops)], pa.binary())})
 
     return listed.repartition(parts, "part").groupBy("part").applyInArrow(run, "class bigint, anchors binary")
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """rows: class, id, text, lists of anchors. (anchor, class, id, at, context) of each listed anchor."""
+CONTEXTS = "part int, anchors binary, classes binary, ids binary, counts binary, ats binary, lengths binary, data binary"
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        classes, ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t or b"" for t in batch.column(2).to_pylist()]
-        lists = [np.unique(np.frombuffer(b"".join(x), "<u8")) for x in batch.column(3).to_pylist()]
-        out: list[tuple] = []
-        for begin, data, ends in _steps(texts):
-            h, t, first, last = _anchors(data, ends)
-            starts = np.append(0, ends[:-1])
-            whole = data.tobytes()
-            for doc, a, b in zip(*_runs(t)):
-                wanted = np.nonzero(np.isin(h[a:b], lists[begin + doc]))[0] + a
-                for k in wanted.tolist():
-                    out.append((int(h[k]), classes[begin + doc], ids[begin + doc], int(first[k] - starts[doc]), whole[first[k] : last[k] + LENGTH]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["anchor", "class", "id", "at", "context"])
-
-    return map_batches(rows, run, "anchor bigint, class bigint, id bigint, at int, context binary")
-
-
-def _names(*letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the tuples of letters, and the dense name of each."""
+
+def _contexts(rows: DataFrame, parts: int) -> DataFrame:
+    """rows: class, id, text (compressed), lists of anchors. The context of each listed anchor with its class, id and
+    place, dealt by the anchor, packed."""
+
+    def run(batches):
+        for batch in batches:
+            classes, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts, lists = _unpacked(batch.column(2)), [_from_six(b"".join(x)) for x in batch.column(3).to_pylist()]
+            h, doc, at, size, pieces = [], [], [], [], []
+            for begin, data, ends in _steps(texts):
+                hh, t, first, last = _anchors(data, ends)
+                starts, whole = np.append(0, ends[:-1]), data.tobytes()
+                for d, a, b in zip(*_runs(t)):
+                    k = np.nonzero(np.isin(hh[a:b], lists[begin + d]))[0] + a
+                    h.append(hh[k])
+                    doc.append(np.full(len(k), begin + d))
+                    at.append(first[k] - starts[d])
+                    size.append(last[k] + LENGTH - first[k])
+                    pieces += [whole[x:y] for x, y in zip(first[k].tolist(), (last[k] + LENGTH).tolist())]
+            if not pieces:
+                continue
+            h, doc, at, size = map(np.concatenate, (h, doc, at, size))
+            part = (h % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((doc, part))
+            h, doc, at, size, part = h[order], doc[order], at[order], size[order], part[order]
+            listed = order.tolist()
+            for p, a, b in zip(*_runs(part)):
+                d, x, y = _runs(doc[a:b])
+                data = pa.compress(b"".join([pieces[k] for k in listed[a:b]]), "zstd", asbytes=True)
+                values = (_six(h[a:b]), classes[d].tobytes(), ids[d].tobytes(), (y - x).astype("<u4").tobytes(), at[a:b].astype("<u4").tobytes(), size[a:b].astype("u1").tobytes(), data)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], CONTEXT_NAMES)
+
+    return rows.mapInArrow(run, CONTEXTS)
+
+
+CONTEXT_NAMES = [c.split()[0] for c in CONTEXTS.split(", ")]
+
+
+def _key(*letters: np.ndarray) -> np.ndarray:
+    """One number for each tuple of letters, in the order of the tuples: packed where that fits 64 bits, else ranked."""
+    bits = [int(x.max(initial=0)).bit_length() for x in letters]
+    if sum(bits) <= 64:
+        out = np.zeros(len(letters[0]), np.uint64)
+        for x, n in zip(letters, bits):
+            out = (out << np.uint64(n)) | x.astype(np.uint64)
+        return out
     order = np.lexsort(letters[::-1])
     fresh = np.zeros(len(order), bool)
     for x in letters:
         y = x[order]
         fresh[1:] |= y[1:] != y[:-1]
-    names = np.empty(len(order), np.int64)
-    names[order] = np.cumsum(fresh) + 1
-    return order, names
+    out = np.empty(len(order), np.uint64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def _names(*letters: np.ndarray) -> np.ndarray:
+    """Dense names, from 1, of the tuples of letters by their sorted order."""
+    key = _key(*letters)
+    order = np.argsort(key)
+    y = key[order]
+    names = np.empty(len(key), np.int64)
+    names[order] = np.cumsum(np.append(True, y[1:] != y[:-1])[: len(y)])
+    return names
 
 
 def suffix_order(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -172,22 +239,21 @@ def suffix_order(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
     class (i div 6) mod 3. Classes 1 and 2 are the difference cover: one of i + 6, i + 12 is in it for any i.
     """
     n, stride = len(letters), LETTER
-    padded = np.concatenate([letters, np.zeros(12 * stride, letters.dtype)])
+    first = np.zeros(n + 12 * stride, np.int64)
+    first[:n] = _names(letters)
     place = np.arange(n)
     sampled = place[(place // stride) % 3 != 0]
-    _, triple = _names(padded[sampled], padded[sampled + stride], padded[sampled + 2 * stride])
     name = np.zeros(n + 12 * stride, np.int64)
-    name[sampled] = triple
+    name[sampled] = _names(first[sampled], first[sampled + stride], first[sampled + 2 * stride])
     # names of 18 bytes each; three of them, 18 apart (the same class), reach 54 bytes
-    _, rank = _names(name[sampled], name[sampled + 3 * stride], name[sampled + 6 * stride])
-    name[sampled] = rank
+    name[sampled] = _names(name[sampled], name[sampled + 3 * stride], name[sampled + 6 * stride])
     kind = (starts // stride) % 3
-    rest, cover = starts[kind == 0], starts[kind != 0]
-    one, two = cover[(cover // stride) % 3 == 1], cover[(cover // stride) % 3 == 2]
+    rest, one, two = starts[kind == 0], starts[kind == 1], starts[kind == 2]
+    cover = np.concatenate([one, two])
     cover = cover[np.argsort(name[cover], kind="stable")]
-    rest = rest[np.lexsort((name[rest + 2 * stride], name[rest + stride], padded[rest]))]
+    rest = rest[np.argsort(_key(first[rest], name[rest + stride], name[rest + 2 * stride]), kind="stable")]
     # how many of each class of the cover come before each of the rest: compared by letters up to the next named place
-    before = _before(rest, one, (padded, 0), (name, stride)) + _before(rest, two, (padded, 0), (padded, stride), (name, 2 * stride))
+    before = _before(rest, one, (first, 0), (name, stride)) + _before(rest, two, (first, 0), (first, stride), (name, 2 * stride))
     order = np.empty(len(starts), np.int64)
     slots = before + np.arange(len(rest))
     free = np.ones(len(starts), bool)
@@ -199,16 +265,12 @@ def suffix_order(letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def _before(rest: np.ndarray, others: np.ndarray, *keys: tuple[np.ndarray, int]) -> np.ndarray:
     """For each of rest (in its order) how many of others are smaller by the keys (array, shift)."""
     both = np.concatenate([others, rest])
-    own = np.append(np.ones(len(others), bool), np.zeros(len(rest), bool))
-    order = np.lexsort([own, *(a[both + shift] for a, shift in reversed(keys))])  # of equals, the rest come first
-    count = np.cumsum(own[order])
-    out = np.empty(len(both), np.int64)
-    out[order] = count
-    return out[len(others) :]
+    key = _key(*(a[both + shift] for a, shift in keys))
+    return np.searchsorted(np.sort(key[: len(others)]), key[len(others) :])
 
 
-def _repeated(contexts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each distinct context, the smallest id that has each of its windows."""
+def _repeated(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of distinct contexts, end to end: the smallest id that has each, and where each context begins."""
     lengths = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts) + bytes(LENGTH + 2 * LETTER), np.uint8).astype(np.uint64)
     n = int(lengths.sum())
@@ -221,7 +283,9 @@ def _repeated(contexts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     starts = np.repeat(firsts - edge, windows) + np.arange(windows.sum())
     owner = np.repeat(np.arange(len(contexts)), windows)
     order = suffix_order(letters, starts)
-    slot = np.searchsorted(starts, order)
+    slot = np.empty(n, np.int64)
+    slot[starts] = np.arange(len(starts))
+    slot = slot[order]
     same = np.ones(len(order) - 1, bool)
     for shift in [*range(0, LENGTH - LETTER, LETTER), LENGTH - LETTER]:
         x = letters[order + shift]
@@ -230,47 +294,56 @@ def _repeated(contexts: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     least = np.minimum.reduceat(ids[owner[slot]], groups)
     smallest = np.empty(len(order), np.int64)
     smallest[slot] = np.repeat(least, np.diff(np.append(groups, len(order))))
-    return np.split(smallest, edge[1:])
-
-
-def _removed(contexts: DataFrame) -> DataFrame:
+    return smallest, np.append(edge, len(order))
+
+
+def _solved(anchors: np.ndarray, classes: np.ndarray, ids: np.ndarray, ats: np.ndarray, contexts: list[bytes]) -> pa.Table:
+    """The runs of one chunk of contexts."""
+    number: dict[bytes, int] = {}
+    own = np.fromiter((number.setdefault(c, len(number)) for c in contexts), np.int64, len(contexts))
+    least = np.full(len(number), NO_ID)
+    np.minimum.at(least, own, ids)
+    smallest, edges = _repeated(list(number), least)
+    low, high = np.minimum.reduceat(smallest, edges[:-1]), np.maximum.reduceat(smallest, edges[:-1])
+    whole = high[own] < ids
+    start, stop = ats.astype(np.int64), ats + np.array([len(c) for c in contexts])
+    out = [(classes[whole], ids[whole], start[whole], stop[whole])]
+    for k in np.nonzero(~whole & (low[own] < ids))[0].tolist():
+        gone, x, y = _runs(smallest[edges[own[k]] : edges[own[k] + 1]] < ids[k])
+        x, y = x[gone] + start[k], y[gone] + start[k] - 1 + LENGTH
+        out.append((np.full(len(x), classes[k]), np.full(len(x), ids[k]), x, y))
+    found = [np.concatenate(c) for c in zip(*out)]
+    return pa.table([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["class", "id", "start", "stop"])
+
+
+def _removed(contexts: DataFrame, parts: int) -> DataFrame:
     """(class, id, start, stop) of runs of windows that a smaller document has as well."""
 
-    def solve(classes, ids, ats, texts):
-        least: dict[bytes, int] = {}
-        for i, t in zip(ids, texts):
-            if i < least.get(t, NO_ID + 1):
-                least[t] = i
-        distinct = list(least)
-        smallest = dict(zip(distinct, _repeated(distinct, np.array([least[t] for t in distinct], np.int64))))
-        out = []
-        for c, i, at, t in zip(classes, ids, ats, texts):
-            gone = smallest[t] < i
-            if gone.all():
-                out.append((c, i, at, at + len(t)))
-            elif gone.any():
-                value, a, b = _runs(gone)
-                out += [(c, i, at + int(x), at + int(y) - 1 + LENGTH) for v, x, y in zip(value, a, b) if v]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], ["class", "id", "start", "stop"])
-
-    def run(batches):
-        held: list[list] = [[], [], [], []]
-        last, size = None, 0
-        for batch in batches:
-            for anchor, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if anchor != last and size >= CHUNK:
-                    yield solve(*held)
-                    held, size = [[], [], [], []], 0
-                last = anchor
-                for column, value in zip(held, row):
-                    column.append(value)
-                size += len(row[3])
-        if size:
-            yield solve(*held)
-
-    ordered = contexts.repartition(F.col("anchor")).sortWithinPartitions("anchor")
-    return ordered.mapInArrow(run, "class bigint, id bigint, start int, stop int")
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        anchors = np.concatenate([_from_six(r["anchors"]) for r in rows])
+        counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
+        classes, ids = (np.concatenate([np.repeat(np.frombuffer(r[k], "<i8"), n) for r, n in zip(rows, counts)]) for k in ("classes", "ids"))
+        ats = np.concatenate([np.frombuffer(r["ats"], "<u4") for r in rows]).astype(np.int64)
+        pieces: list[bytes] = []
+        for r in rows:
+            sizes = np.frombuffer(r["lengths"], "u1").astype(np.int64)
+            ends = np.cumsum(sizes)
+            data = pa.decompress(r["data"], int(ends[-1]), "zstd", asbytes=True)
+            pieces += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+            r.clear()
+        order = np.argsort(anchors, kind="stable")
+        groups, starts, stops = _runs(anchors[order])
+        sizes = np.cumsum([len(pieces[k]) for k in order.tolist()])
+        out, begin, done = [], 0, 0
+        for stop in stops.tolist():
+            if sizes[stop - 1] - done >= CHUNK or stop == len(order):
+                k = order[begin:stop]
+                out.append(_solved(anchors[k], classes[k], ids[k], ats[k], [pieces[x] for x in k.tolist()]))
+                begin, done = stop, sizes[stop - 1]
+        return pa.concat_tables(out)
+
+    return contexts.repartition(parts, "part").groupBy("part").applyInArrow(run, "class bigint, id bigint, start int, stop int")
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -290,8 +363,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = _shared(_listed(rows.select("class", "text"), parts), parts).groupBy("class").agg(F.collect_list("anchors").alias("lists"))
     wanted = owners.join(shared, "class").select(F.col("sha").alias("k_sha"), F.col("owner").alias("k_id"), "lists")
     # a text of one class may be in the table more than once under its smallest id: one of them is enough
-    sources = rows.join(wanted, (F.col("id") == F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("class", "id", "text", "lists")
-    runs = _removed(_contexts(sources)).groupBy("class", "id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    packed = _packed(rows.select("class", "id", "sha", "text"))
+    sources = packed.join(wanted, (F.col("id") == F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("class", "id", "text", "lists")
+    runs = _removed(_contexts(sources, parts), parts).groupBy("class", "id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
     known = keys.join(owners, ["sha", "class"])
     found = known.join(runs, (known["class"] == runs["class"]) & (known["id"] == runs["id"]), "left").drop(runs["class"]).drop(runs["id"])
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
@@ -316,11 +390,11 @@ def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select("doc_id", whole.alias("text")).withColumn("sha", F.sha2("text", 256))
     found = find(docs, text).select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), "spans")
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left").select("doc_id", "text", "spans")
+    both = _packed(rows).join(found, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left").select("doc_id", "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, spans, sizes = [], [], []
-        for value, listed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for value, listed in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist()):
             joined = _joined(listed or [])
             at, out = 0, []
             for a, b in joined:
