@@ -130,7 +130,7 @@ def dimension_agreement(items: DataFrame) -> DataFrame:
     return _kappa(grid.join(pairs, ["item_set", "dimension"], "left"), "item_set", "dimension")
 
 
-def planted_classes(items: DataFrame, strict: bool = False) -> DataFrame:
+def planted_classes(items: DataFrame, strict: bool = False, control: str = "none") -> DataFrame:
     """For each mutation of planted items: n, caught, the dimensions expected to fail, and the ids that were missed.
 
     An item is caught if every dimension that its labels fail is flagged; unverified counts as flagged unless strict.
@@ -139,7 +139,7 @@ def planted_classes(items: DataFrame, strict: bool = False) -> DataFrame:
     expected = F.transform(fails, lambda e: e["key"])
     value = lambda d: F.try_element_at("dimensions", d)
     flagged = (lambda d: F.coalesce(~value(d), F.lit(False))) if strict else (lambda d: F.map_contains_key("dimensions", d) & ~F.coalesce(value(d), F.lit(False)))
-    rows = items.where((F.col("item_set") == "plant") & (F.col("mutation") != "none")).select("item_id", "mutation", expected.alias("expected"), F.forall(expected, flagged).alias("caught"))
+    rows = items.where((F.col("item_set") == "plant") & (F.col("mutation") != control)).select("item_id", "mutation", expected.alias("expected"), F.forall(expected, flagged).alias("caught"))
     rows = rows.where(F.size("expected") > 0)
     counted = rows.groupBy("mutation").agg(
         F.count("*").alias("n"), F.count_if("caught").alias("caught"), F.array_sort(F.collect_list(F.when(~F.col("caught"), F.col("item_id")))).alias("missed")
@@ -148,10 +148,10 @@ def planted_classes(items: DataFrame, strict: bool = False) -> DataFrame:
     return counted.join(dims, "mutation")
 
 
-def known_good(items: DataFrame) -> DataFrame:
+def known_good(items: DataFrame, control: str = "none") -> DataFrame:
     """Controls (planted without a mutation) and how many of them pass in every assessed dimension."""
     verdict = F.forall(F.map_values("dimensions"), lambda v: F.coalesce(v, F.lit(False)))
-    return items.where((F.col("item_set") == "plant") & (F.col("mutation") == "none")).agg(F.count("*").alias("n"), F.count_if(verdict).alias("passed"))
+    return items.where((F.col("item_set") == "plant") & (F.col("mutation") == control)).agg(F.count("*").alias("n"), F.count_if(verdict).alias("passed"))
 
 
 def disputed(items: DataFrame, rulings: DataFrame) -> DataFrame:
