@@ -213,14 +213,17 @@ def approx_find(texts: DataFrame, wanted: DataFrame, gram: int = 5) -> DataFrame
     def grams(df: DataFrame, *keep: str) -> DataFrame:
         n = F.greatest(F.size("w") - gram + 1, F.lit(0))
         runs = F.transform(F.slice("w", 1, n), lambda x, i: F.xxhash64(*[F.get("w", i + d) for d in range(gram)]))
-        return df.select(*keep, "w", F.posexplode(runs).alias("at", "g"))
+        return df.select(*keep, F.size("w").alias("len"), F.posexplode(runs).alias("at", "g"))
 
     items = grams(wanted.select("item_id", F.lower("required").alias("required"), split(F.col("required")).alias("w")), "item_id", "required").select(
-        "item_id", "required", F.size("w").alias("len"), F.col("at").alias("item_at"), "g"
+        "item_id", "required", "len", F.col("at").alias("item_at"), "g"
     )
-    docs = grams(texts.select("doc_id", split(F.col("text")).alias("w")), "doc_id")
+    docs = texts.select("doc_id", split(F.col("text")).alias("w"))
     first = F.greatest(F.col("at") - F.col("item_at") - 2, F.lit(0))
-    hits = docs.join(items, "g").select("item_id", "doc_id", "required", F.array_join(F.slice("w", first + 1, F.col("len") + 4), " ").alias("piece")).distinct()
+    # only runs are joined; the words are fetched for the hits
+    hits = grams(docs, "doc_id").drop("len").join(items, "g").select("item_id", "doc_id", "required", "len", first.alias("first")).distinct()
+    words = docs.select(F.col("doc_id").alias("d"), "w")
+    hits = hits.join(words, F.col("doc_id") == F.col("d")).select("item_id", "doc_id", "required", F.array_join(F.slice("w", F.col("first") + 1, F.col("len") + 4), " ").alias("piece")).distinct()
 
     @F.pandas_udf(T.IntegerType())
     def distance(pieces: pd.Series, required: pd.Series) -> pd.Series:

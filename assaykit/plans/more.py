@@ -131,8 +131,9 @@ def content_catalog(spark, sf_dir):
 
 def _version(name: str, columns: list[str]) -> str:
     row = "md5(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS varchar), '~')" for c in sorted(columns)) + "))"
-    return f"""SELECT '{name}' AS name, CAST(sum(n) AS bigint) AS rows, substr(md5(string_agg(h, '' ORDER BY b)), 1, 12) AS version FROM (
-      SELECT substr(h, 1, 3) AS b, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM (SELECT {row} AS h FROM {name}) r GROUP BY 1) g"""
+    fine = f"SELECT substr(h, 1, 5) AS b, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM (SELECT {row} AS h FROM {name}) r GROUP BY 1"
+    coarse = f"SELECT substr(b, 1, 2) AS b, md5(string_agg(h, '' ORDER BY b)) AS h, sum(n) AS n FROM ({fine}) f GROUP BY 1"
+    return f"SELECT '{name}' AS name, CAST(sum(n) AS bigint) AS rows, substr(md5(string_agg(h, '' ORDER BY b)), 1, 12) AS version FROM ({coarse}) g"
 
 
 @query("dataset_version", _version("labels", ["doc_id", "quality", "toxic"]) + " UNION ALL " + _version("conversations", ["conv_id", "turn", "role", "text"]) + " UNION ALL " + _version("documents", ["doc_id", "text", "lang", "source", "n_chars"]))

@@ -24,9 +24,9 @@ def parse_events(spark, sf_dir):
     return R.parse_events(raw).select("run_id", "seq", "type")
 
 
-@query("replay_after", twin("SELECT run_id, seq, type FROM v_events WHERE run_id = 3 AND seq > 1"))
+@query("replay_after", twin("SELECT run_id, seq, type FROM v_events WHERE seq > 1"))
 def replay_after(spark, sf_dir):
-    return R.replay_after(log(spark, sf_dir), 3, 1).select("run_id", "seq", "type")
+    return R.replay_after(log(spark, sf_dir), None, 1).select("run_id", "seq", "type")
 
 
 @query("dedup_events", twin("SELECT run_id, seq, type FROM v_events"))

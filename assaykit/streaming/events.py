@@ -35,11 +35,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").load(path)
 
 
-def replay_after(events: DataFrame, run_id: int, last: int) -> DataFrame:
-    """Events of a run after an offset, in order; those after its end are carried on."""
+def replay_after(events: DataFrame, run_id: int | None, last: int) -> DataFrame:
+    """Events of a run (or of every run) after an offset, in order; those after its end are carried on."""
     if last < 0:
         raise ValueError(f"no such offset: {last}")
-    return events.where((F.col("run_id") == run_id) & (F.col("seq") > last)).orderBy("seq")
+    rows = events.where(F.col("seq") > last)
+    return (rows if run_id is None else rows.where(F.col("run_id") == run_id)).orderBy("run_id", "seq")
 
 
 def dedup_events(events: DataFrame, strict: bool = False, arrival: str | None = None) -> DataFrame:
