@@ -29,6 +29,8 @@ DROPPED = set("head script style noscript template iframe object embed svg canva
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that a slash at the end of their start tag doesn't close; others (drawings, unknown ones) it does.
+OPENED = BLOCKS | set("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
 #: An open element of the first kind is ended by a start tag of the second.
 CLOSES = {
     "p": set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()),
@@ -117,11 +119,7 @@ def parse(page: str) -> Node:
             raw_until = end.end() if end else len(page)
             if tag in ("title", "textarea"):
                 child.items.append(html.unescape(page[m.end() : end.start() if end else len(page)]))
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
-            node = child
-        elif tag not in VOID and tag not in BLOCKS and tag not in ("a", "b", "i", "em", "span", "strong"):
-            pass
-        elif tag not in VOID:
+        elif tag not in VOID and not ((m[3] or "").endswith("/") and tag not in OPENED):
             node = child
     return root
 
