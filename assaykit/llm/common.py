@@ -30,7 +30,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 def words(text) -> F.Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column; null gives an empty array."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    plain = F.coalesce(text, F.lit(""))
+    for c in BLANKS[1:]:  # translate() would look up each character
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
     return F.array_remove(F.split(plain, " ", -1), "")
 
 

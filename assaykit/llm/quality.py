@@ -16,11 +16,12 @@ hash: the bounded labelled sample of the trusted multinomial; the corpus one cou
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import words
+from assaykit.llm.common import BLANKS, words
 from assaykit.session import cut
 
 BUCKETS = 1 << 18
@@ -32,11 +33,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
 
-def _grams(w: str = "w", buckets: int = BUCKETS) -> Column:
-    """Bucket of each word and each pair of neighbours of the array column w."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)))
-    two = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(buckets)))
-    return F.concat(one, two)
+def _grams(df: DataFrame, *keep: str, buckets: int = BUCKETS) -> DataFrame:
+    """df's columns `keep` and the bucket of each word of w and of each pair of neighbours; a last word has a null pair,
+    and a row without words two nulls. Exploded first, so that hashing is compiled with what follows."""
+    each = df.select(*keep, "w", F.posexplode_outer("w").alias("__i", "__x"))
+    one, two = F.xxhash64("__x"), F.xxhash64("__x", F.get("w", F.col("__i") + 1))
+    pair = F.when(F.col("__i") + 1 < F.size("w"), F.pmod(two, F.lit(buckets)))
+    return each.select(*keep, F.explode(F.array(F.when(F.col("__x").isNotNull(), F.pmod(one, F.lit(buckets))), pair)).alias("bucket"))
 
 
 def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -47,9 +50,9 @@ def base_figures(docs: DataFrame, text: str = "text") -> DataFrame:
         "doc_id",
         "w",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter("l", lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0).alias("l"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.octet_length("t") - F.octet_length(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, F.col("t")))).cast("long").alias("n_symbols"),
+        F.filter("l", lambda x: F.octet_length(F.trim(x, F.lit(BLANKS))) > 0).alias("l"),
         # a window is known by its hash; two windows of one text sharing it by chance is out of reach (2**-64 a pair)
         F.transform(F.slice("w", 1, F.greatest(F.size("w") - WINDOW + 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))).alias("h"),
     )
@@ -79,7 +82,7 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio): log(p_trusted / p_corpus) in millionths for each bucket that occurs."""
     marked = docs.select("doc_id", text).join(F.broadcast(trusted.withColumn("one", F.lit(1))), F.col("doc_id") == F.col("id"), "left")
-    grams = marked.select(words(F.col(text)).alias("w"), F.coalesce("one", F.lit(0)).alias("one")).select("one", F.explode(_grams("w", buckets)).alias("bucket"))
+    grams = _grams(marked.select(words(F.col(text)).alias("w"), F.coalesce("one", F.lit(0)).alias("one")), "one", buckets=buckets).where("bucket IS NOT NULL")
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("one").alias("k")))
     total = counts.agg(F.sum("n").alias("n_all"), F.sum("k").alias("k_all"))
     share = F.col("k_all") / F.col("n_all")
@@ -97,13 +100,13 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: flo
     """
     ratios = bucket_ratios(docs, trusted_ids(labels), text)
     base = base_figures(docs, text).withColumn("row", F.monotonically_increasing_id())
-    keys = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = base.select(*keys, F.explode_outer(_grams()).alias("bucket"))
-    scored = grams.join(F.broadcast(ratios), "bucket", "left").groupBy(*keys).agg(F.sum("ratio").alias("total"), F.count("bucket").alias("n"))
+    keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    grams = _grams(base.select("row", F.struct(*keys).alias("base"), "w"), "row", "base")
+    scored = grams.join(F.broadcast(ratios), "bucket", "left").groupBy("row", "base").agg(F.sum("ratio").alias("total"), F.count("bucket").alias("n")).select("base.*", "total", "n")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = F.col("total") >= F.lit(math.floor(threshold * UNIT)) * F.col("n")
     return scored.select(
-        *keys[1:],
+        *keys,
         (F.col("total") / F.col("n") / UNIT).alias("score"),
         failed.alias("base_failed"),
         (~failed & F.coalesce(enough, F.lit(False))).alias("kept"),
