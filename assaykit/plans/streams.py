@@ -156,3 +156,37 @@ def label_round_trip(spark, sf_dir):
     )
     S.write_labels(rows, path)
     return S.read_labels(spark, path).select("image_sha", "technical", "text", "rubric_version")
+
+
+@query("spend_stream", twin("SELECT created_day AS day, round(sum(est_cost_usd), 6) AS spend, count(*) AS calls FROM v_calls GROUP BY created_day"))
+def spend_stream(spark, sf_dir):
+    """Calls as files, summed by day on a stream with a watermark."""
+    source, out, mark = (shared_path(spark, n) for n in ("calls", "spend", "mark"))
+    rows = table(spark, sf_dir, "v_calls").select("created_at", "est_cost_usd")
+    rows.repartition(3).write.parquet(source)
+    stream = R.spend_by_day(spark.readStream.schema(rows.schema).parquet(source))
+
+    def put(batch, number):
+        batch.write.mode("overwrite").parquet(out)
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("report_round_trip", twin("SELECT item_set, version, count(*) AS n FROM v_items GROUP BY item_set, version"))
+def report_round_trip(spark, sf_dir):
+    """A report written as JSON documents and read from its latest copy."""
+    folder = shared_path(spark, "report")
+    S.write_report(items(spark, sf_dir).groupBy("item_set", "version").agg(F.count("*").alias("n")), folder, "first")
+    return spark.read.schema("item_set string, version string, n bigint").json(f"{folder}/latest")
+
+
+@query("project_dataset", twin("SELECT run_id AS id, status FROM v_runs UNION ALL SELECT -item_id - 1, item_set FROM v_items"))
+def project_dataset(spark, sf_dir):
+    """Runs and items put into tables that have half of them in an older state; the second time changes nothing."""
+    runs = table(spark, sf_dir, "v_runs").select(F.col("run_id").alias("id"), "status")
+    rows = table(spark, sf_dir, "v_items").select((-F.col("item_id") - 1).alias("id"), F.col("item_set").alias("status"))
+    old = lambda df: df.where("id % 2 = 0").withColumn("status", F.lit("old"))
+    once = S.project_dataset(runs, rows, old(runs), old(rows))
+    twice = S.project_dataset(runs, rows, *once)
+    return twice[0].unionByName(twice[1])
