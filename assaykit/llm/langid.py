@@ -161,7 +161,8 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample: int = S
         return out
 
     def shard(table: pa.Table) -> pa.Table:
-        rows = [r[:3] for r in prepared(table) if not r[3]]
+        # in an order of its own, so that the weights don't depend on how rows were dealt
+        rows = [r[:3] for r in prepared(table.sort_by([("text", "ascending"), ("lang", "ascending")])) if not r[3]]
         z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
         for epoch in range(ROUNDS):
             ftrl(rows, k, z, n, epoch)
