@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import map_batches
@@ -143,9 +143,9 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shared(listed: DataFrame, parts: int) -> DataFrame:
-    """(class, anchors): of each class the anchors that another class has as well, packed, in one row for each part."""
+    """(class, anchors): of each class the anchors that another class has as well, packed."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def counted(table: pa.Table) -> pa.Table:
         classes = np.concatenate([np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(n, "<u4")) for c, n in zip(table["classes"].to_pylist(), table["counts"].to_pylist())])
         h = _from_six(b"".join(table["anchors"].to_pylist()))
         order = np.lexsort((classes, h))
@@ -155,25 +155,39 @@ def _shared(listed: DataFrame, parts: int) -> DataFrame:
         _, starts, stops = _runs(h)
         several = np.repeat(stops - starts > 1, stops - starts)
         h, classes = h[several], classes[several]
+        to = (classes % parts).astype(np.int32)
+        order = np.lexsort((classes, to))
+        h, classes, to = h[order], classes[order], to[order]
+        rows = []
+        for p, a, b in zip(*_runs(to)):
+            owners, x, y = _runs(classes[a:b])
+            rows.append((p, owners.tobytes(), (y - x).astype("<u4").tobytes(), _six(h[a:b])))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["to", "classes", "counts", "anchors"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        classes = np.concatenate([np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(n, "<u4")) for c, n in zip(table["classes"].to_pylist(), table["counts"].to_pylist())])
+        h = _from_six(b"".join(table["anchors"].to_pylist()))
         order = np.argsort(classes, kind="stable")
         h, classes = h[order], classes[order]
         owners, starts, stops = _runs(classes)
         return pa.table({"class": pa.array(owners, pa.int64()), "anchors": pa.array([_six(h[a:b]) for a, b in zip(starts, stops)], pa.binary())})
 
-    return listed.repartition(parts, "part").groupBy("part").applyInArrow(run, "class bigint, anchors binary")
+    dealt = listed.repartition(parts, "part").groupBy("part").applyInArrow(counted, "to int, classes binary, counts binary, anchors binary")
+    return dealt.repartition(parts, "to").groupBy("to").applyInArrow(merged, "class bigint, anchors binary")
 
 
-CONTEXTS = "part int, anchors binary, classes binary, ids binary, counts binary, ats binary, lengths binary, data binary"
+CONTEXTS = "part int, n int, anchors binary, ids binary, copies binary, ats binary, lengths binary, data binary"
 
 
 def _contexts(rows: DataFrame, parts: int) -> DataFrame:
-    """rows: class, id, text (compressed), lists of anchors. The context of each listed anchor with its class, id and
-    place, dealt by the anchor, packed."""
+    """rows: copy, id, text (compressed), anchors. The context of each listed anchor with its id, copy and place, dealt
+    by the anchor, packed."""
 
     def run(batches):
         for batch in batches:
-            classes, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts, lists = _unpacked(batch.column(2)), [_from_six(b"".join(x)) for x in batch.column(3).to_pylist()]
+            copies, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            texts, lists = _unpacked(batch.column(2)), [_from_six(x) for x in batch.column(3).to_pylist()]
             h, doc, at, size, pieces = [], [], [], [], []
             for begin, data, ends in _steps(texts):
                 hh, t, first, last = _anchors(data, ends)
@@ -193,10 +207,10 @@ def _contexts(rows: DataFrame, parts: int) -> DataFrame:
             h, doc, at, size, part = h[order], doc[order], at[order], size[order], part[order]
             listed = order.tolist()
             for p, a, b in zip(*_runs(part)):
-                d, x, y = _runs(doc[a:b])
-                data = pa.compress(b"".join([pieces[k] for k in listed[a:b]]), "zstd", asbytes=True)
-                values = (_six(h[a:b]), classes[d].tobytes(), ids[d].tobytes(), (y - x).astype("<u4").tobytes(), at[a:b].astype("<u4").tobytes(), size[a:b].astype("u1").tobytes(), data)
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], CONTEXT_NAMES)
+                columns = (ids[doc[a:b]].astype("<i8"), copies[doc[a:b]].astype("<u4"), at[a:b].astype("<u4"), size[a:b].astype("u1"))
+                data = b"".join([pieces[k] for k in listed[a:b]])
+                values = (_six(h[a:b]), *(pa.compress(v, "zstd", asbytes=True) for v in (*(c.tobytes() for c in columns), data)))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b - a], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], CONTEXT_NAMES)
 
     return rows.mapInArrow(run, CONTEXTS)
 
@@ -297,7 +311,7 @@ def _repeated(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return smallest, np.append(edge, len(order))
 
 
-def _solved(anchors: np.ndarray, classes: np.ndarray, ids: np.ndarray, ats: np.ndarray, contexts: list[bytes]) -> pa.Table:
+def _solved(copies: np.ndarray, ids: np.ndarray, ats: np.ndarray, contexts: list[bytes]) -> pa.Table:
     """The runs of one chunk of contexts."""
     number: dict[bytes, int] = {}
     own = np.fromiter((number.setdefault(c, len(number)) for c in contexts), np.int64, len(contexts))
@@ -307,27 +321,28 @@ def _solved(anchors: np.ndarray, classes: np.ndarray, ids: np.ndarray, ats: np.n
     low, high = np.minimum.reduceat(smallest, edges[:-1]), np.maximum.reduceat(smallest, edges[:-1])
     whole = high[own] < ids
     start, stop = ats.astype(np.int64), ats + np.array([len(c) for c in contexts])
-    out = [(classes[whole], ids[whole], start[whole], stop[whole])]
+    out = [(copies[whole], ids[whole], start[whole], stop[whole])]
     for k in np.nonzero(~whole & (low[own] < ids))[0].tolist():
         gone, x, y = _runs(smallest[edges[own[k]] : edges[own[k] + 1]] < ids[k])
         x, y = x[gone] + start[k], y[gone] + start[k] - 1 + LENGTH
-        out.append((np.full(len(x), classes[k]), np.full(len(x), ids[k]), x, y))
+        out.append((np.full(len(x), copies[k]), np.full(len(x), ids[k]), x, y))
     found = [np.concatenate(c) for c in zip(*out)]
-    return pa.table([pa.array(c, k) for c, k in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["class", "id", "start", "stop"])
+    return pa.table([pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["copy", "id", "start", "stop"])
 
 
 def _removed(contexts: DataFrame, parts: int) -> DataFrame:
-    """(class, id, start, stop) of runs of windows that a smaller document has as well."""
+    """(copy, id, start, stop) of runs of windows that a smaller document has as well."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         anchors = np.concatenate([_from_six(r["anchors"]) for r in rows])
-        counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
-        classes, ids = (np.concatenate([np.repeat(np.frombuffer(r[k], "<i8"), n) for r, n in zip(rows, counts)]) for k in ("classes", "ids"))
-        ats = np.concatenate([np.frombuffer(r["ats"], "<u4") for r in rows]).astype(np.int64)
+        column = lambda name, kind: np.concatenate([np.frombuffer(pa.decompress(r[name], r["n"] * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) for r in rows]).astype(np.int64)
+        ids, copies, ats, lengths = column("ids", "<i8"), column("copies", "<u4"), column("ats", "<u4"), column("lengths", "u1")
         pieces: list[bytes] = []
+        done = 0
         for r in rows:
-            sizes = np.frombuffer(r["lengths"], "u1").astype(np.int64)
+            sizes = lengths[done : done + r["n"]]
+            done += r["n"]
             ends = np.cumsum(sizes)
             data = pa.decompress(r["data"], int(ends[-1]), "zstd", asbytes=True)
             pieces += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
@@ -339,11 +354,11 @@ def _removed(contexts: DataFrame, parts: int) -> DataFrame:
         for stop in stops.tolist():
             if sizes[stop - 1] - done >= CHUNK or stop == len(order):
                 k = order[begin:stop]
-                out.append(_solved(anchors[k], classes[k], ids[k], ats[k], [pieces[x] for x in k.tolist()]))
+                out.append(_solved(copies[k], ids[k], ats[k], [pieces[x] for x in k.tolist()]))
                 begin, done = stop, sizes[stop - 1]
         return pa.concat_tables(out)
 
-    return contexts.repartition(parts, "part").groupBy("part").applyInArrow(run, "class bigint, id bigint, start int, stop int")
+    return contexts.repartition(parts, "part").groupBy("part").applyInArrow(run, "copy int, id bigint, start int, stop int")
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -360,14 +375,17 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = max(4, -(-size // PART))
     keys = cut(rows.groupBy("id", "sha", "class").agg(F.first("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("long").alias("n_bytes")))
     owners = keys.groupBy("sha", "class").agg(F.min("id").alias("owner"))
-    shared = _shared(_listed(rows.select("class", "text"), parts), parts).groupBy("class").agg(F.collect_list("anchors").alias("lists"))
-    wanted = owners.join(shared, "class").select(F.col("sha").alias("k_sha"), F.col("owner").alias("k_id"), "lists")
+    # an id may own several texts: they are told apart by a small number
+    owners = owners.withColumn("copy", F.row_number().over(Window.partitionBy("owner").orderBy("sha")) - 1)
+    shared = _shared(_listed(rows.select("class", "text"), parts), parts)
+    wanted = owners.join(shared, "class").select(F.col("sha").alias("k_sha"), F.col("owner").alias("k_id"), "copy", "anchors")
     # a text of one class may be in the table more than once under its smallest id: one of them is enough
-    packed = _packed(rows.select("class", "id", "sha", "text"))
-    sources = packed.join(wanted, (F.col("id") == F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("class", "id", "text", "lists")
-    runs = _removed(_contexts(sources, parts), parts).groupBy("class", "id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    packed = _packed(rows.select("id", "sha", "text"))
+    sources = packed.join(wanted, (F.col("id") == F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("copy", "id", "text", "anchors")
+    runs = _removed(_contexts(sources, parts), parts).groupBy("copy", "id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
     known = keys.join(owners, ["sha", "class"])
-    found = known.join(runs, (known["class"] == runs["class"]) & (known["id"] == runs["id"]), "left").drop(runs["class"]).drop(runs["id"])
+    runs = runs.select(F.col("copy").alias("r_copy"), F.col("id").alias("r_id"), "runs")
+    found = known.join(runs, (F.col("copy") == F.col("r_copy")) & (F.col("owner") == F.col("r_id")), "left")
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
     spans = F.when((F.col("id") > F.col("owner")) & (F.col("n_bytes") >= LENGTH), all_of_it).when(F.col("id") > F.col("owner"), nothing).otherwise(F.coalesce("runs", nothing))
