@@ -79,3 +79,67 @@ def test_query_against_every_pair(spark, sf_dir):
     got = op4_simhash(spark, sf_dir).collect()
     assert {r.doc_id: int(r.fingerprint, 16) for r in got} == expect
     assert sorted((r.doc_id, r.component_id) for r in got) == plain_components(sorted(expect.items()))
+
+
+def gram_set(text, size=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_keep_first_against_every_pair_at_point_eight(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([80, 200, 400]))]
+        texts += [" ".join(base), edited(rng, base, rng.choice([1, 1, 2, 3, 5, 9]) * len(base) // 200 + 1), edited(rng, base, len(base) // 10)]
+    base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    texts += [" ".join(base)] + [edited(rng, base, 3) for _ in range(70)]  # a crowd
+    rng.shuffle(texts)
+    sets = [gram_set(t) for t in texts]
+    true = {(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])}
+    far = sum((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3 for a, b in true)
+    assert far > 0.5 * len(true)  # what a radius of 3 doesn't reach
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = simhash.near_copies(docs).collect()
+    root = {r.doc_id: r.component for r in rows}
+    assert sum(root[a] == root[b] for a, b in true) >= 0.97 * len(true)
+    groups = list(range(len(texts)))
+    for _ in groups:  # no more is connected than all true links connect
+        changed = [(a, b) for a, b in true if groups[a] != groups[b]]
+        for a, b in changed:
+            groups[a] = groups[b] = min(groups[a], groups[b])
+        if not changed:
+            break
+    assert all(len({groups[d] for d in root if root[d] == r}) == 1 for r in set(root.values()))
+    kept = [r.doc_id for r in simhash.keep_first(docs).collect()]
+    assert sorted(kept) == sorted(min(d for d in root if root[d] == r) for r in set(root.values()))
+
+
+def test_spanning_tree_keeps_components():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64)
+    prints = np.array([base ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, simhash.WORDS).astype(np.uint64) for _ in range(3)]) for _ in range(90)])
+    a, b, d = simhash._spanning(prints)
+    assert len(a) == 89 and set(a) | set(b) == set(range(90))
+    every = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    assert all(every[x, y] == g for x, y, g in zip(a, b, d))
+    for most in (4, 8, 12, 16, 20):
+        by_tree, by_all = list(range(90)), list(range(90))
+        for label, links in ((by_tree, [(x, y) for x, y, g in zip(a, b, d) if g <= most]), (by_all, np.argwhere(every <= most))):
+            for x, y in links:
+                old, new = label[x], label[y]
+                label[:] = [new if z == old else z for z in label]
+        assert len(set(by_tree)) == len(set(by_all))
