@@ -36,12 +36,6 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, column: str = "doc_id", how: str = "left_semi") -> DataFrame:
-    """Rows of docs whose doc_id is (left_semi) or isn't (left_anti) among ids; all columns stay as they are."""
-    marked = ids.select(F.col(column).alias("__id")).distinct()
-    return docs.join(marked, docs["doc_id"].eqNullSafe(marked["__id"]), how)
-
-
 def quiet_tokenizers() -> None:
     """One thread for each task: Spark already runs a task on every core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import keep_rows, map_batches
+from assaykit.llm.common import map_batches
 from assaykit.llm.components import connected_components
 from assaykit.session import cut
 
@@ -323,9 +323,12 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def keep_first(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of near_copies(), the one with the smallest doc_id; all columns stay."""
-    found = near_copies(docs, text, size, similarity)
-    first = cut(found.groupBy("component").agg(F.min("doc_id").alias("doc_id")))
-    kept = keep_rows(docs, first)
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """docs with one row of each component of near_copies(), the one with the smallest doc_id (a null one is greater than
+    all others); all columns stay. Rows are known by id and text, so that one id may own several."""
+    rows = near_copies(docs, text, size, similarity).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "n")).alias("least")
+    first = cut(rows.groupBy("component").agg(least).select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash"), "least.n"))
+    kept = docs.join(first.drop("n"), docs["doc_id"].eqNullSafe(first["__id"]) & (F.xxhash64(docs[text]) == first["__hash"]))
+    if first.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__id", "__hash"])
+    return kept.select(*[docs[c] for c in docs.columns])

@@ -143,3 +143,12 @@ def test_spanning_tree_keeps_components():
                 old, new = label[x], label[y]
                 label[:] = [new if z == old else z for z in label]
         assert len(set(by_tree)) == len(set(by_all))
+
+
+def test_keep_first_with_null_and_repeated_ids(spark):
+    a, b, c = "one text about the first thing here", "quite another text with other words", "the third of the texts has its own"
+    rows = [(None, a, 1), (None, b, 2), (4, c, 3), (4, c, 3), (4, "what else stands under the id of four", 4), (9, a.upper() + " ", 5), (6, None, 6), (7, " ", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __n int")
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns and sorted(r["__n"] for r in got.collect()) == [2, 3, 4, 5, 6]
+    assert simhash.keep_first(df.limit(0)).count() == 0
