@@ -7,8 +7,10 @@ The density sum of a node adds its children's densities. The node with the great
 least density on its path to the body is the threshold, and what lies beside that path is main text only if it
 reaches the threshold. Inside the chosen subtree all text stays but that of removed elements.
 
-Elements that are never main text (scripts, menus, forms, ...) are left out before, by their tag, role or the words
-of their class and id.
+Elements that are never main text (scripts, menus, ...) are left out before, by their tag. Forms, and elements that
+their role or the words of their class and id mark, go as well, but for one: where no article or main element outside
+of them has text, the marked element with most unlinked text of its own stays, with the marked elements around it, if
+that is more than all unlinked text outside of marked elements.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from assaykit.llm.common import map_batches
 #: Elements by what they mean in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = set("head script style noscript template iframe object embed svg canvas math nav header footer aside form button select option textarea input label fieldset dialog menu audio video map".split())
+DROPPED = set("head script style noscript template iframe object embed svg canvas math nav header footer aside button select option textarea input label dialog menu audio video map".split())
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -38,6 +40,8 @@ CLOSES = {
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"},
 }
+#: Elements that are treated as marked, whatever their class.
+ASKING = {"form", "fieldset"}
 ROLES = set("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
 #: Words of a class or id that mark what isn't the article.
 MARKS = set(
@@ -52,29 +56,28 @@ BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "dropped", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether that is only for a mark."""
     if tag in DROPPED:
-        return True
-    if not attributes.strip():
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
+        return True, False
+    marked = tag in ASKING
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if tag in KEPT:
             continue
-        if name == "role" and value in ROLES or name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+        marked = marked or name == "role" and value in ROLES or name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+    return marked, marked
 
 
 def parse(page: str) -> Node:
@@ -112,7 +115,7 @@ def parse(page: str) -> Node:
                 node = open_p.parent
         if tag in ("html", "body") and any(x.tag == tag for x in _path(node)):
             continue
-        child = Node(tag, node, _unwanted(tag, m[3] or ""))
+        child = Node(tag, node, *_unwanted(tag, m[3] or ""))
         node.items.append(child)
         if tag in RAW:
             end = re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.I).search(page, m.end())
@@ -132,6 +135,32 @@ def _path(node: Node | None) -> list[Node]:
     return out
 
 
+def _spare(root: Node) -> None:
+    """Take back the drop of the marked element that holds the main text, and of those around it."""
+    own: dict[Node | None, int] = {None: 0}
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while todo:
+        x, mark, linked = todo.pop()
+        mark = x if x.marked else mark
+        linked = linked or x.tag == "a"
+        n = 0 if linked else sum(len("".join(c.split())) for c in x.items if isinstance(c, str))
+        if n:
+            own[mark] = own.get(mark, 0) + n
+        if mark is None and x.tag in ("article", "main") and _has_text(x):
+            return
+        todo += [(c, mark, linked) for c in x.items if isinstance(c, Node) and (c.marked or not c.dropped)]
+    outside = own.pop(None)
+    best = max(own, key=own.get, default=None)
+    if best is not None and own[best] > outside:
+        for x in _path(best):
+            if x.marked:
+                x.dropped = x.marked = False
+
+
+def _has_text(node: Node) -> bool:
+    return any(isinstance(c, str) and not c.isspace() and c for x in _in_order(node) for c in x.items)
+
+
 def _in_order(root: Node) -> list[Node]:
     """Nodes that aren't dropped, parents first; no recursion, as pages nest deeply."""
     order, todo = [], [root]
@@ -204,6 +233,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
 def main_text(page: str | None) -> str:
     """The article's text: its blocks, one in a line. A page without text gives the empty text."""
     root = parse(page or "")
+    _spare(root)
     order = densities(root)
     body = next((x for x in order if x.tag == "body"), root)
     inside = [x for x in order if x.chars and (x is body or body in _path(x))] if len(order) < 200 else [x for x in _in_order(body) if x.chars]

@@ -54,3 +54,13 @@ def test_query(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     assert len(got) == len(pages) and all(r.n_chars == len(r.text) and r.text == html.main_text(pages[r.page_id]) for r in got)
     assert all(r.text and "©" not in r.text for r in got)
+
+
+def test_wrappers_with_marks_keep_the_article():
+    for start, end in [
+        ("<div class='content no-sidebar'>", "</div>"), ("<div id='page' class='has-sidebar'>", "</div>"), ("<div class='row with-nav'>", "</div>"),
+        ("<section class='social-policy'>", "</section>"), ("<form>", "</form>"), ("<form><div class='with-nav'>", "</div></form>"),
+    ]:
+        inside = f"<div class='ad'>Buy this thing now.</div><h1>Head</h1>{ARTICLE}<div class='comments'><div class='comment'>Nice one.</div></div>"
+        assert html.main_text(page(f"{start}{inside}{end}<div class='footer'>About us</div>")) == TEXT, start
+    assert html.main_text(page(f"<article><h1>Head</h1>{ARTICLE}</article><div class='comments'>{'<p>I think so too, at length. ' * 50}</div>")) == TEXT
