@@ -4,13 +4,15 @@ For each node of the page's tree, C counts the characters of text below it, T th
 links. Its composite density is C / T x log_b(C x T / (LC x LT)) with base b = ln(C x LC / NLC + lc x C / c + e),
 where NLC = C - LC and lc, c are those of the body: characters per tag, lowered where links hold much of the text.
 The density sum of a node adds its children's densities. The node with the greatest sum holds the main text; the
-least density on its path to the body is the threshold, and what lies beside that path is main text only if it
-reaches the threshold. Inside the chosen subtree all text stays but that of removed elements.
+least density on its path to the body is the threshold. What lies beside that path is main text if links hold less
+than half of it and it is a plain block (heading, paragraph, list, table) or some node in it reaches the threshold.
+Inside the chosen subtree all text stays but that of removed elements. Where an article or main element holds the
+node with the greatest sum, that element is the chosen subtree.
 
 Elements that are never main text (scripts, menus, ...) are left out before, by their tag. Forms, and elements that
-their role or the words of their class and id mark, go as well, but for one: where no article or main element outside
-of them has text, the marked element with most unlinked text of its own stays, with the marked elements around it, if
-that is more than all unlinked text outside of marked elements.
+their role or their class and id mark, go as well, but for one: where no article or main element outside of them has
+text, the marked element with most unlinked text of its own stays, with the marked elements around it, if that is
+more than all unlinked text outside of marked elements.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,13 +29,13 @@ from assaykit.llm.common import map_batches
 
 #: Elements by what they mean in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template xmp noembed noframes".split())
-DROPPED = set("head script style noscript template iframe object embed svg canvas math nav header footer aside button select option textarea input label dialog menu audio video map".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
+DROPPED = set("head script style noscript noembed noframes template iframe nav header footer aside button select option optgroup datalist textarea input dialog menu".split())
 BLOCKS = set(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that a slash at the end of their start tag doesn't close; others (drawings, unknown ones) it does.
-OPENED = BLOCKS | set("a abbr b bdi bdo cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
+OPENED = BLOCKS | RAW | set("a abbr b bdi bdo button canvas cite code del dfn em font i ins kbd label map mark q s samp select small span strike strong sub sup template tt u var video audio".split())
 #: An open element of the first kind is ended by a start tag of the second.
 CLOSES = {
     "p": set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()),
@@ -43,26 +46,56 @@ CLOSES = {
 #: Elements that are treated as marked, whatever their class.
 ASKING = {"form", "fieldset"}
 ROLES = set("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar".split())
-#: Words of a class or id that mark what isn't the article.
+#: Words that mark what isn't the article, wherever they stand in a class or id.
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar sidebars aside widget widgets related recommended notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond feedback pagination pager toolbar skip copyright legal disclaimer form search".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs masthead footer sidebar sidebars cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login sharing comment comments commentlist disqus pagination pager toolbar".split()
 )
+#: Words that mark it only as a whole class or id, with one of FRAMES or GROUPS, and on a container.
+WEAK = set("header banner aside widget widgets related recommended notice notices overlay share social reply replies respond feedback skip copyright disclaimer promotion form search".split())
+FRAMES, GROUPS = set("site page global top bottom main".split()), set("area bar block box buttons links list panel posts section wrapper".split())
+CONTAINERS = set("div section ul ol dl table form center td".split())
 #: Elements that hold the page's article as a whole; a mark in their class is no reason to drop them.
 KEPT = {"html", "body", "main", "article"}
-
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PLAIN = HEADINGS | set("p blockquote pre ul ol dl table figure figcaption hgroup address hr br".split())
+#: What the node with the greatest sum may be; from others the way goes up.
+HOLDERS = set("html body main article section div td center details".split())
+
+#: A start tag as HTML reads it: attributes after white space or slashes, a quote opens a value only after `=`.
+TOKEN = re.compile(
+    r"""([^<]++)
+    |<([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)
+    |</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)
+    |<!---?>|<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?/][^>]*+(?:>|\Z)
+    |(<)""",
+    re.S | re.X,
+)
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+SCRIPT = re.compile(r"<!--|-->|<(/?)script(?=[\s/>])", re.I)
 BLANK = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "block", "items", "dropped", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, marked: bool = False):
         self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked
+        #: the innermost block that is open in this node, itself included
+        self.block: Node = self if tag in BLOCKS or parent is None else parent.block
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.total = self.peak = 0.0
+
+
+def _is_mark(tag: str, names: str) -> bool:
+    """Whether a class or id says that an element isn't part of the article."""
+    for name in names.lower().split():
+        words = re.split(r"[^a-z0-9]+", name)
+        if not MARKS.isdisjoint(words):
+            return True
+        if tag in CONTAINERS and not WEAK.isdisjoint(words) and all(w in WEAK or w in FRAMES or w in GROUPS for w in words):
+            return True
+    return False
 
 
 def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -70,60 +103,85 @@ def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
     if tag in DROPPED:
         return True, False
     marked = tag in ASKING
-    for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        if tag in KEPT:
-            continue
-        marked = marked or name == "role" and value in ROLES or name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+    if not marked and tag not in KEPT and attributes and not attributes.isspace():
+        for name, *values in ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), html.unescape(values[0] or values[1] or values[2])
+            if name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and _is_mark(tag, value):
+                marked = True
     return marked, marked
 
 
+def _raw_end(page: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the raw text of an element ends, and where its end tag does. A script inside a comment inside a script has
+    an end tag of its own."""
+    if tag == "script":
+        comment = nested = False
+        for m in SCRIPT.finditer(page, at):
+            if m[0] == "<!--":
+                comment = True
+            elif m[0] == "-->":
+                comment = nested = False
+            elif not m[1]:
+                nested = comment
+            elif nested:
+                nested = False
+            else:
+                break
+        else:  # never closed: a comment that doesn't end in it is taken as none
+            m = re.compile("</script(?=[\\s/>])", re.I).search(page, at)
+    else:
+        m = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
+    if not m:
+        return len(page), len(page)
+    close = page.find(">", m.end())
+    return m.start(), len(page) if close < 0 else close + 1
+
+
 def parse(page: str) -> Node:
     """A tree of the page; end tags that are missing or misplaced are put up with as browsers do it in the main."""
     root = node = Node("html", None)
-    raw_until = 0
-    for m in TOKEN.finditer(page):
-        if m.start() < raw_until:
-            continue
-        tag = m[2]
-        if tag is None:
-            text = m[0]
-            if not text.startswith("<") or text == "<":
-                node.items.append(html.unescape(text))
-            elif text.startswith("<![CDATA["):
-                node.items.append(text[9:].removesuffix("]]>"))
-            continue
-        tag = tag.lower()
-        if m[1]:
-            at = node
-            while at is not root and at.tag != tag:
-                at = at.parent
-            if at is not root:
-                node = at.parent
-            elif tag == "p":
-                node.items.append(Node("p", node))
-            continue
-        while (ended := CLOSES.get(node.tag)) and tag in ended:
-            node = node.parent
-        open_p, inside = node, 0
-        if tag in CLOSES["p"]:  # a block ends an open paragraph, also through open inline elements
-            while open_p is not root and open_p.tag not in BLOCKS:
-                open_p, inside = open_p.parent, inside + 1
-            if inside and open_p.tag == "p":
-                node = open_p.parent
-        if tag in ("html", "body") and any(x.tag == tag for x in _path(node)):
-            continue
-        child = Node(tag, node, *_unwanted(tag, m[3] or ""))
-        node.items.append(child)
-        if tag in RAW:
-            end = re.compile(f"</{tag}(?![a-zA-Z0-9])[^>]*>?", re.I).search(page, m.end())
-            raw_until = end.end() if end else len(page)
-            if tag in ("title", "textarea"):
-                child.items.append(html.unescape(page[m.end() : end.start() if end else len(page)]))
-        elif tag not in VOID and not ((m[3] or "").endswith("/") and tag not in OPENED):
-            node = child
+    opened: Counter[str] = Counter()
+    at, match = 0, TOKEN.match
+    while at < len(page):
+        m = match(page, at)
+        at = m.end()
+        text, tag, attributes, ended, data, sign = m.groups()
+        if tag:
+            tag = tag.lower()
+            if tag == "html" or tag == "body" and opened["body"]:
+                continue
+            near = node.block  # what the start of this element ends, also through open inline elements
+            while (ends := CLOSES.get(near.tag)) and tag in ends:
+                while node is not near.parent:
+                    opened[node.tag] -= 1
+                    node = node.parent
+                near = node.block
+            child = Node(tag, node, *_unwanted(tag, attributes))
+            node.items.append(child)
+            if tag in RAW:
+                end, after = _raw_end(page, tag, at)
+                if tag == "xmp":
+                    child.items.append(page[at:end])
+                at = after
+            elif tag not in VOID and not (attributes.endswith("/") and tag not in OPENED):
+                opened[tag] += 1
+                node = child
+        elif ended:
+            ended = ended.lower()
+            if ended in ("html", "body"):
+                continue  # what follows belongs to the body still
+            if opened[ended]:
+                while node.tag != ended:
+                    opened[node.tag] -= 1
+                    node = node.parent
+                opened[ended] -= 1
+                node = node.parent
+            elif ended == "p" or ended == "br":
+                node.items.append(Node(ended, node))
+        elif text:
+            node.items.append(html.unescape(text))
+        elif data or sign:
+            node.items.append(data or sign)
     return root
 
 
@@ -135,20 +193,23 @@ def _path(node: Node | None) -> list[Node]:
     return out
 
 
+def _size(text: str) -> int:
+    return len("".join(text.split()))
+
+
 def _spare(root: Node) -> None:
     """Take back the drop of the marked element that holds the main text, and of those around it."""
     own: dict[Node | None, int] = {None: 0}
-    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    todo: list[tuple[Node, Node | None, bool, bool]] = [(root, None, False, False)]
     while todo:
-        x, mark, linked = todo.pop()
+        x, mark, linked, article = todo.pop()
         mark = x if x.marked else mark
-        linked = linked or x.tag == "a"
-        n = 0 if linked else sum(len("".join(c.split())) for c in x.items if isinstance(c, str))
-        if n:
-            own[mark] = own.get(mark, 0) + n
-        if mark is None and x.tag in ("article", "main") and _has_text(x):
+        linked, article = linked or x.tag == "a", mark is None and (article or x.tag in ("article", "main"))
+        n = 0 if linked else sum(_size(c) for c in x.items if isinstance(c, str))
+        if n and article:
             return
-        todo += [(c, mark, linked) for c in x.items if isinstance(c, Node) and (c.marked or not c.dropped)]
+        own[mark] = own.get(mark, 0) + n
+        todo += [(c, mark, linked, article) for c in x.items if isinstance(c, Node) and (c.marked or not c.dropped)]
     outside = own.pop(None)
     best = max(own, key=own.get, default=None)
     if best is not None and own[best] > outside:
@@ -157,10 +218,6 @@ def _spare(root: Node) -> None:
                 x.dropped = x.marked = False
 
 
-def _has_text(node: Node) -> bool:
-    return any(isinstance(c, str) and not c.isspace() and c for x in _in_order(node) for c in x.items)
-
-
 def _in_order(root: Node) -> list[Node]:
     """Nodes that aren't dropped, parents first; no recursion, as pages nest deeply."""
     order, todo = [], [root]
@@ -178,7 +235,7 @@ def densities(root: Node) -> list[Node]:
     for x in reversed(order):
         for c in x.items:
             if isinstance(c, str):
-                x.chars += len("".join(c.split()))
+                x.chars += _size(c)
             elif not c.dropped:
                 x.chars += c.chars
                 x.tags += c.tags + 1
@@ -194,13 +251,25 @@ def densities(root: Node) -> list[Node]:
             base = math.log(c * lc / max(1, c - x.link_chars) + share * c + math.e)
             x.density = c / t * math.log(c * t / (lc * lt) + 1e-9) / math.log(base) if base > 1 else c / t
             x.density = max(0.0, x.density)
-    for x in order:
-        x.total = sum(c.density for c in x.items if isinstance(c, Node) and not c.dropped)
+    for x in reversed(order):
+        children = [c for c in x.items if isinstance(c, Node) and not c.dropped]
+        x.total = sum(c.density for c in children)
+        x.peak = max([x.density, *(c.peak for c in children)])
     return order
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks below nodes, in page order."""
+def _beside(parent: Node, path: set[Node], threshold: float) -> set[Node]:
+    """The children of a node on the path that aren't main text."""
+    children = [c for c in parent.items if isinstance(c, Node) and not c.dropped and (c.chars or c in path)]
+    out = {c for c in children if c not in path and (c.link_chars * 2 >= c.chars or c.tag in BLOCKS and c.tag not in PLAIN and c.peak < threshold)}
+    for c, after in reversed(list(zip(children, [*children[1:], None]))):
+        if c.tag in HEADINGS and after in out:  # the heading of what goes, goes with it
+            out.add(c)
+    return out
+
+
+def _blocks(root: Node, left_out: set[Node]) -> list[str]:
+    """Texts of the blocks below a node, in page order."""
     out: list[str] = []
     run: list[str] = []
 
@@ -210,21 +279,19 @@ def _blocks(nodes: list[Node]) -> list[str]:
             out.append(text)
         run.clear()
 
-    todo: list = [n for n in reversed(nodes)]
+    todo: list = [root]
     while todo:
         x = todo.pop()
         if x is None:
             end()
         elif isinstance(x, str):
             run.append(x)
-        elif x.dropped:
-            if x.tag in BLOCKS or x.tag == "div":
-                end()
-        else:
-            block = x.tag in BLOCKS
-            if block:
-                end()
+        elif x.tag in BLOCKS:
+            end()
+            if not (x.dropped or x in left_out):
                 todo.append(None)
+                todo.extend(reversed(x.items))
+        elif not (x.dropped or x in left_out):
             todo.extend(reversed(x.items))
     end()
     return out
@@ -236,39 +303,35 @@ def main_text(page: str | None) -> str:
     _spare(root)
     order = densities(root)
     body = next((x for x in order if x.tag == "body"), root)
-    inside = [x for x in order if x.chars and (x is body or body in _path(x))] if len(order) < 200 else [x for x in _in_order(body) if x.chars]
+    if not body.chars:
+        body = root
+    inside = [x for x in _in_order(body) if x.chars]
     if not inside:
         return ""
-    best = max(inside, key=lambda x: x.total)
-    if best.total == 0:
-        best = body
-    while best is not body and best.tag in ("p", "ul", "ol", "table", "tbody", "tr", "blockquote", "b", "strong", "em", "i", "span", "a", "pre", "dl"):
+    articles = [x for x in inside if x.tag in ("article", "main") and x.chars * 4 >= body.chars]
+    held = [y for x in articles for y in _in_order(x) if y.chars] if len(articles) < 5 else inside
+    best = max(held or inside, key=lambda x: x.total)
+    while best is not body and best.tag not in HOLDERS:
         best = best.parent  # a paragraph or list isn't an article by itself
-    path = [x for x in _path(best)]
-    path = path[: path.index(body) + 1]
-    threshold = min(x.density for x in path)
-    chosen = {id(best)}
-    for above in path[1:]:
-        for c in above.items:
-            if isinstance(c, Node) and not c.dropped and c not in path and c.density >= threshold > 0 and c.link_chars * 2 < c.chars:
-                chosen.add(id(c))
-    if len(chosen) == 1:
-        return "\n".join(_blocks([best]))
-    picked = [x for x in _document_order(body) if id(x) in chosen]
-    return "\n".join(_blocks(picked))
-
-
-def _document_order(root: Node) -> list[Node]:
-    out, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        out.append(x)
-        todo += [c for c in reversed(x.items) if isinstance(c, Node)]
-    return out
+    way = _path(best)
+    way = way[: way.index(body) + 1]
+    threshold = min(x.density for x in way)
+    top = max((k for k, x in enumerate(way) if x.tag in ("article", "main")), default=None)
+    if top is not None:
+        return "\n".join(_blocks(way[top], set()))
+    path = set(way)
+    left_out = set().union(*(_beside(x, path, threshold) for x in way[1:]))
+    if best is body:  # nothing around it to tell menus by: lists and boxes of links go, linked paragraphs stay
+        left_out |= {c for c in _beside(body, path, 0.0) if c.tag not in ("p", "a")}
+    return "\n".join(_blocks(body, left_out))
 
 
 def extract(pages: DataFrame, page: str = "html") -> DataFrame:
-    """(page_id, url, text) of each row; a null page has the empty text. Repeated rows stay; other columns don't matter."""
+    """(page_id, url, text) of each row; a null or empty page has the empty text, and an empty table gives no rows.
+
+    Repeated rows stay; other columns don't matter. Long, deep and broken pages take time and memory in proportion to
+    their length; nothing of them is cut off.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = pa.array([main_text(p) for p in batch.column(2).to_pylist()], pa.string())

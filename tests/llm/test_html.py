@@ -1,3 +1,7 @@
+import random
+import time
+from html.parser import HTMLParser
+
 from assaykit.llm import html
 from assaykit.llm.queries import op1_html
 
@@ -17,7 +21,7 @@ def test_boilerplate_goes_and_blocks_stay():
         ("<header>Site</header><div class='ad banner'>Buy this thing now, it is a very good thing to buy, really.</div>", "<aside>More to read</aside>"),
         ("<div id='cookie-notice'>We use cookies for this and for that, please agree.</div>", "<div class='comments'><p>Nice text, I liked it a lot, thank you for it.</p></div>"),
         ("<form>Name <input> <button>Go</button></form>", "<section role='complementary'>Side</section>"),
-        ("<!-- <p>not here</p> --><div hidden>hidden words</div>", "<script>var s = '<p>no</p>'"),
+        ("<!-- <p>not here</p> --><template>hidden words</template>", "<script>var s = '<p>no</p>'"),
     ]:
         assert html.main_text(page(f"{before}<article><h1>Head</h1>{ARTICLE}</article>{after}")) == TEXT
         assert html.main_text(page(f"{before}<div class='post'><h1>Head</h1>{ARTICLE}</div>{after}")) == TEXT
@@ -64,3 +68,93 @@ def test_wrappers_with_marks_keep_the_article():
         inside = f"<div class='ad'>Buy this thing now.</div><h1>Head</h1>{ARTICLE}<div class='comments'><div class='comment'>Nice one.</div></div>"
         assert html.main_text(page(f"{start}{inside}{end}<div class='footer'>About us</div>")) == TEXT, start
     assert html.main_text(page(f"<article><h1>Head</h1>{ARTICLE}</article><div class='comments'>{'<p>I think so too, at length. ' * 50}</div>")) == TEXT
+
+
+PARAGRAPHS = "<p>Stop here is one paragraph, with words enough.</p><p>This is the second of them, with words enough.</p>"
+PLAIN = "Stop here is one paragraph, with words enough.\nThis is the second of them, with words enough."
+
+
+def test_raw_text_and_quotes_as_html_reads_them():
+    for script in ("for(i=0;i<n;i++){ // don't stop\n", "var a='<!--';", "<!-- <script>x</script> -->", 'if (a<b && c>d) x = "</p>"', "a = '</scripty>'"):
+        element = f"<script type='x'>{script}</script>"
+        assert html.main_text(f"<body>{element}{PARAGRAPHS}</body>") == PLAIN, script
+        assert html.main_text(f"<head>{element}</head><body>{PARAGRAPHS}</body>") == PLAIN, script
+    assert html.main_text("<p class='it's'>one two</p><p title=5\" wide>three</p><p a='>' b=>four</p>") == "one two\nthree\nfour"
+    assert html.main_text("<p data-class='ad'>one</p><p class=x/id=b>two</p><p/class='ad'>three</p>") == "one\ntwo"
+
+
+def test_nothing_else_is_dropped():
+    inside = "<p>one <math>x</math> <label>two</label> <svg><text>t</text></svg></p><p hidden>three</p><div class='form-text'>four</div><p class='section-header'>five</p>"
+    assert html.main_text(f"<article>{inside}</article>") == "one x two t\nthree\nfour\nfive"
+
+
+def test_an_article_over_siblings_stays_whole():
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>Away</a></li></ul>"
+    section = f"{menu}<h1>Title</h1><p>Lead.</p><section>{PARAGRAPHS * 3}</section><p>The end.</p><h2>More</h2>{menu}"
+    assert html.main_text(f"<body>{section}</body>") == "\n".join(["Title", "Lead.", *[PLAIN] * 3, "The end."])
+    parts = "".join(f"<div>{PARAGRAPHS}</div>" for _ in range(3))
+    assert html.main_text(f"<body><div>{menu}</div>{parts}</body>") == "\n".join([PLAIN] * 3)
+
+
+def test_time_follows_the_length():
+    for unit, end in [("<b>", "<hr>"), ("<p><td><b>", "<hr>"), ("<div>", "</span>"), ("<a b='", ""), ("<script>", ""), ("<!--", ""), ("<", ""), ("<li>", "</ul>"), ("<body>", "</p>"), ('<a href="', "")]:
+        took = []
+        for n in (5_000, 40_000):
+            began = time.process_time()
+            assert isinstance(html.main_text(unit * n + end * n + "x"), str)
+            took.append(time.process_time() - began)
+        assert took[1] < 30 * took[0] + 0.5, unit  # 8 times the length; the square would be 64
+
+
+class Plain(HTMLParser):
+    """The same text by the standard library's parser: that of article, without what it drops, by blocks."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.gone, self.lines = 0, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.gone:
+            self.gone += [tag] if tag not in html.VOID else []
+        elif tag in ("nav", "aside", "footer", "script", "style") or dict(attrs).get("class") == "ad":
+            self.gone = [tag]
+        if tag in html.BLOCKS:
+            self.lines.append("")
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        if self.gone and self.gone[-1] == tag:
+            self.gone.pop()
+        self.inside -= tag == "article"
+        if tag in html.BLOCKS:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.gone:
+            self.lines[-1] += data
+
+
+def by_library(page):
+    parser = Plain()
+    parser.feed(page or "")
+    parser.close()
+    return "\n".join(filter(None, (" ".join(x.split()) for x in parser.lines)))
+
+
+def test_against_another_parser(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert html.main_text(r.html) == by_library(r.html)
+    rng = random.Random(5)
+    leaves = ["plain words ", "<b>bold</b> ", "a &amp; b &eacute; ", "<a href='x?a=1&b=2'>link</a> ", "1 < 2 ", "<br>", "<script>x < '</p>'</script>", "<!-- no > -->", "<div class='ad'>buy</div>", "<img alt='>'>"]
+
+    def part(depth):
+        if not depth or rng.random() < 0.3:
+            return "".join(rng.choices(leaves[:-2] if depth < 2 else leaves, k=3))
+        tag = rng.choice(["div", "section", "ul", "h2", "blockquote", "table"])
+        return f"<{tag} id='x{depth}'>{''.join(part(depth - 1) for _ in range(rng.randint(1, 4)))}</{tag}\n>"
+
+    for _ in range(300):
+        text = f"<!doctype html><html><body><nav><ul><li>menu</li></ul></nav><article>{part(4)}<p>{'words ' * 40}</p></article><footer>end</footer></body></html>"
+        assert html.main_text(text) == by_library(text), text
