@@ -87,13 +87,14 @@ QUERIES = {
     "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
 }
-_PATTERNS = " OR ".join([f"regexp_matches(url, '(?i)/{w}([/.?#]|$)')" for w in urls.WORDS] + [f"regexp_matches(url, '(?i)[?&;]{w}=')" for w in urls.SESSIONS])
+_LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 SQL: dict[str, str] = {
     "op9_urls": f"""
 WITH rest AS (
   SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
 ), parts AS (
-  SELECT page_id, url, lower(regexp_extract(r, '^[^/?#]*')) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+  SELECT page_id, url, lower(regexp_extract(r, '^[^/?#]*')) AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+    lower(regexp_extract(r, '^[^?#]*[?]([^#]*)', 1)) AS query FROM rest
 ), ruled AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -105,6 +106,11 @@ WITH rest AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow'
-  WHEN rule IS NOT NULL OR {_PATTERNS} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN suffix(host, '.edu') OR suffix(host, '.gov') THEN 'allow'
+  WHEN list_has_any(regexp_split_to_array(host, '[^a-z0-9]+'), {_LISTED(urls.HOSTS)})
+    OR list_has_any(list_transform(string_split(lower(path), '/')[2:], lambda s: regexp_extract(s, '^(wp-login|wp-admin|cgi-bin|[a-z0-9]*)(?:[^a-z0-9]|$)', 1)), {_LISTED(urls.PATHS)})
+    OR list_has_any(list_transform(string_split(query, '=')[:-2], lambda s: regexp_extract(s, '[a-z0-9]*$')), {_LISTED(urls.QUERIES)})
+    OR contains(lower(path), ';jsessionid=') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
 }
