@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -29,20 +30,22 @@ def plain_tiles(p, t, least):
 
 def test_tiles_as_the_textbook():
     rng = random.Random(3)
-    for _ in range(150):
-        p = [rng.randint(1, 6) for _ in range(rng.randint(3, 25))]
+    for _ in range(400):
+        p = [rng.randint(1, rng.choice([2, 6])) for _ in range(rng.randint(3, 25))]
         t = [rng.choice([0, *range(1, 7)]) for _ in range(rng.randint(0, 40))]
         for _ in range(2):
             a = rng.randint(0, len(p) - 1)
             t[rng.randint(0, len(t)) : 0] = p[a : a + rng.randint(3, 10)]
-        got, want = D.tile(np.array(p), np.array(t, np.int64), 3), plain_tiles(p, t, 3)
-        assert sorted(n for _, _, n in got)[-1:] == sorted(n for _, _, n in want)[-1:]
-        assert all(p[i : i + n] == t[j : j + n] and n >= 3 for i, j, n in got)
-        assert len({x for i, _, n in got for x in range(i, i + n)}) == sum(n for _, _, n in got)
-        assert len({x for _, j, n in got for x in range(j, j + n)}) == sum(n for _, _, n in got)
-        left = [x if all(not i <= k < i + n for i, _, n in got) else -1 for k, x in enumerate(p)]
-        rest = [x if all(not j <= k < j + n for _, j, n in got) else 0 for k, x in enumerate(t)]
-        assert plain_tiles(left, rest, 3) == []  # nothing long enough is left
+        assert D.tile(np.array(p, np.uint64), np.array(t, np.uint64), 3) == plain_tiles(p, t, 3)
+
+
+def test_periodic_items_and_texts():
+    for unit, n, m in (("a", 200, 2_000), ("a b", 300, 100_000), ("a b c d e f g", 90, 20_000), ("a a b", 200, 60_000)):
+        item, text = D.Words().ids(f"{unit} " * n), D.Words().ids(f"{unit} " * m)
+        began = time.process_time()
+        assert D.tile(item, text) == [(0, 0, len(item))]
+        assert D.tile(item, np.concatenate([text[: len(item) // 2], [np.uint64(0)], text[:7]]))
+        assert time.process_time() - began < 1
 
 
 def test_rolling_hash_tells_windows_apart():
@@ -53,17 +56,29 @@ def test_rolling_hash_tells_windows_apart():
         assert all((h[a] == h[b]) == (ids[a : a + n].tolist() == ids[b : b + n].tolist()) for a in range(len(h)) for b in range(len(h)))
 
 
-def test_copies_reordered_and_partial_passages():
-    b = D.Benchmark([(7, ITEM), (8, None), (9, "too few words"), (10, "")])
+def held(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = D.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    return [sorted(r.item_id for r in rows if r.doc_id == k) for k in range(len(texts))]
+
+
+def test_copies_reordered_and_partial_passages(spark):
     around = "some words before the passage and "
-    assert [f[0] for f in b.found(around + ITEM + " and after")] == [7]
-    assert [f[0] for f in b.found(around + ITEM.upper().replace(".", "!!"))] == [7]
     one, two, three = (s.strip() for s in ITEM.replace("?", ".").split(".")[:3])
-    assert [f[0] for f in b.found(f"{three}, filler here {one}; {two}")] == [7]
-    assert b.found(one + " only this part of it") == []
-    assert b.found("alpha gamma beta delta zeta epsilon and so on") == []
-    assert all(b.found(x) == [] for x in (None, "", "?!", around * 50))
-    assert [f[0] for f in b.found((one + " x ") * 500 + ITEM)] == [7]
+    yes = [around + ITEM + " and after", around + ITEM.upper().replace(".", "!!"), f"{three}, filler here {one}; {two}", (one + " x ") * 500 + ITEM]
+    no = [one + " only this part of it", "alpha gamma beta delta zeta epsilon and so on", None, "", "?!", around * 50]
+    assert held(spark, [*yes, *no], [(7, ITEM), (8, None), (9, "two words"), (10, "")]) == [[7]] * len(yes) + [[]] * len(no)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "few enough words"), (2, "Quatre mots en tout"), (3, "今日は良い天気です"), (4, "か な")]
+    texts = ["with few, enough WORDS in it", "few words enough", "x quatre mots en tout y", "quatre mots tout en", "彼は「今日は良い天気です」と言った", "今日は悪い", "かな"]
+    assert held(spark, texts, items) == [[1], [], [2], [], [3], [], []]
+
+
+def test_long_and_periodic_texts(spark):
+    texts = ["filler words " * 300_000 + ITEM, "a b " * 50_000, ITEM + " z" * 400_000]
+    assert held(spark, texts, [(7, ITEM), (8, "a b " * 300)]) == [[7], [8], [7]]
 
 
 def test_frames(spark):
