@@ -1,14 +1,17 @@
 """Token ids as flat unsigned integers with 64-bit document offsets.
 
-A token table is a folder of shards in ascending document order. Shard k has three files:
+A token table is a folder of shards in ascending document order. A shard has three files of one name:
 
-* k.ids: the ids of its documents, one after another, little-endian, 2 bytes each if the vocabulary allows, else 4;
-* k.off: n + 1 unsigned 64-bit offsets, counted in ids from the shard's start; document i has off[i] to off[i + 1];
-* k.doc: n signed 64-bit document ids (NULL_ID stands for null).
+* name.ids: the ids of its documents, one after another, little-endian, 2 bytes each if the vocabulary allows, else 4;
+* name.off: n + 1 unsigned 64-bit offsets, counted in ids from the shard's start; document i has off[i] to off[i + 1];
+* name.doc: n signed 64-bit document ids (NULL_ID stands for null).
 
-A shard is written by one task under a name of its own and then renamed, so that a task that runs again replaces it
-whole. What the driver gets of a shard is one row of counts; the number of ids before a shard is the prefix sum of
-those. Readers map the files into memory and touch only the documents they are asked for.
+A shard is written by one task under a name that no other attempt has. The row of counts that the driver gets of it
+names the attempt and is the record that commits it: files of attempts that were lost or came second are never read, so
+the three files of a shard always belong together. The number of ids before a shard is the prefix sum of the counts.
+Readers map the files into memory and touch only the documents they are asked for.
+
+Shards are ranges of document id, text hash and row, so that rows of one id (or none) are split like any others.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from assaykit.llm.bpe import encoder
 
 NULL_ID = -(2**63)
 #: Bytes of text a shard is meant to hold.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 #: Documents that are encoded and written at a time.
 ROWS = 500
-COUNTS = "shard int, docs bigint, ids bigint"
+COUNTS = "shard int, docs bigint, ids bigint, name string"
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -47,14 +50,17 @@ def _map(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "text", word_ends: bool = True, width: int = 2, shards: int | None = None) -> list[tuple[int, int, int]]:
-    """Write the ids of each row's whole text, end_id after them, in ascending doc_id order (nulls first; equal ids
-    keep no order among themselves). Returns (shard, docs, ids) of each shard in order. A null text is empty."""
+def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "text", word_ends: bool = True, width: int = 2, shards: int | None = None) -> list[tuple[int, int, int, str]]:
+    """Write the ids of each row's whole text, end_id after them, in ascending doc_id order (nulls first, equal ids by
+    the hash of their text). Returns (shard, docs, ids, name) of each shard in order. A null or empty text has end_id
+    alone; repeated rows stay; other columns don't matter. An empty table gives empty shards. Long texts are written
+    whole."""
     rows = docs.select("doc_id", text)
     if shards is None:
         size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
         shards = max(1, -(-size // SHARD_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(text).asc()]
+    ordered = rows.repartitionByRange(shards, *order, F.monotonically_increasing_id().asc()).sortWithinPartitions(*order)
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def run(batches):
@@ -75,28 +81,26 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int, text: str = "tex
         for ending, values in (("off", offsets), ("doc", np.array(doc_ids, "<i8"))):
             with store.open_output_stream(f"{base}/{name}.{ending}") as out:
                 out.write(values.tobytes())
-        for ending in ("ids", "off", "doc"):
-            store.move(f"{base}/{name}.{ending}", f"{base}/{shard}.{ending}")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(doc_ids)]), pa.array([int(offsets[-1])])], ["shard", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(doc_ids)]), pa.array([int(offsets[-1])]), pa.array([name])], ["shard", "docs", "ids", "name"])
 
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
-    return sorted((r["shard"], r["docs"], r["ids"]) for r in ordered.mapInArrow(run, COUNTS).collect())
+    return sorted((r["shard"], r["docs"], r["ids"], r["name"]) for r in ordered.mapInArrow(run, COUNTS).collect())
 
 
-def shard_starts(counts: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(shard, ids before it)."""
-    return list(zip([c[0] for c in counts], accumulate([0, *(c[2] for c in counts)])))
+def shard_starts(counts: list[tuple[int, int, int, str]]) -> list[tuple[str, int]]:
+    """(name, ids before it) of each shard."""
+    return list(zip([c[3] for c in counts], accumulate([0, *(c[2] for c in counts)])))
 
 
-def document(folder: str, shard: int, at: int, width: int = 2) -> np.ndarray:
-    """The ids of one document of a shard."""
+def document(folder: str, shard: str, at: int, width: int = 2) -> np.ndarray:
+    """The ids of one document of a shard, given its name."""
     store, base = _open(folder)
     offsets = _map(store, f"{base}/{shard}.off", "<u8")
     return _map(store, f"{base}/{shard}.ids", {2: "<u2", 4: "<u4"}[width])[int(offsets[at]) : int(offsets[at + 1])]
 
 
-def read(spark: SparkSession, folder: str, counts: list[tuple[int, int, int]], width: int = 2, batch: int = 4096) -> DataFrame:
+def read(spark: SparkSession, folder: str, counts: list[tuple[int, int, int, str]], width: int = 2, batch: int = 4096) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files: start counts the ids of all documents
     before it, and ids_crc32 is of the ids as unsigned 32-bit integers."""
     kind = {2: "<u2", 4: "<u4"}[width]
@@ -109,10 +113,12 @@ def read(spark: SparkSession, folder: str, counts: list[tuple[int, int, int]], w
             doc_ids = _map(store, f"{base}/{shard}.doc", "<i8")
             for at in range(0, len(doc_ids), batch):
                 d, o = doc_ids[at : at + batch], offsets[at : at + batch + 1]
-                crcs = [crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
+                wide = memoryview(ids[o[0] : o[-1]].astype("<u4")).cast("B")
+                cuts = ((o - o[0]) * 4).tolist()
+                crcs = [crc32(wide[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d, mask=d == NULL_ID), pa.array(o[:-1] + before), pa.array(np.diff(o)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    starts = spark.createDataFrame([(s, b) for (s, b), c in zip(shard_starts(counts), counts) if c[1]], "shard int, before bigint")
+    starts = spark.createDataFrame([(s, b) for (s, b), c in zip(shard_starts(counts), counts) if c[1]], "shard string, before bigint")
     return starts.repartition(max(1, len(counts)), "shard").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -35,10 +35,28 @@ def test_odd_rows_and_random_access(spark):
     got = tokenfile.read(spark, folder, counts).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 2, 3, 5, 5, 9]
     assert [r.n_tokens for r in got] == [len(x) for x in library(["null id", "", "été, ÉTÉ ßtraße", "Hello it's me", "Hello it's me", ""])]
-    shard, docs, _ = counts[0]
-    assert tokenfile.document(folder, shard, 0).tolist() == library(["null id"])[0]
+    assert tokenfile.document(folder, counts[0][3], 0).tolist() == library(["null id"])[0]
     empty = shared_path(spark, "t")
     assert tokenfile.read(spark, empty, tokenfile.write(df.limit(0), empty, WORD, 1)).count() == 0
     wide = shared_path(spark, "t")
     again = tokenfile.read(spark, wide, tokenfile.write(df, wide, WORD, 1, width=4, shards=2), width=4)
     assert sorted(r.ids_crc32 for r in again.collect()) == sorted(r.ids_crc32 for r in got)
+
+
+def test_rows_of_one_id_are_split_and_stale_files_are_not_read(spark):
+    df = spark.range(400).selectExpr("CAST(IF(id % 4 = 0, NULL, 7) AS bigint) AS doc_id", "concat('word ', id % 90) AS text")
+    folder = shared_path(spark, "t")
+    stale = tokenfile.write(df.limit(50), folder, WORD, 1, shards=2)
+    counts = tokenfile.write(df, folder, WORD, 1, shards=8)
+    assert max(c[1] for c in counts) < 200 and {c[3] for c in counts}.isdisjoint(c[3] for c in stale)
+    got = tokenfile.read(spark, folder, counts).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 100 + [7] * 300
+    assert sum(r.n_tokens for r in got) == sum(map(len, library([r.text for r in df.collect()])))
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "some words and more " * 200_000)], "doc_id bigint, text string")
+    folder = shared_path(spark, "t")
+    got = tokenfile.read(spark, folder, tokenfile.write(df, folder, WORD, 1)).first()
+    ids = library(["some words and more " * 200_000])[0]
+    assert (got.n_tokens, got.ids_crc32) == (len(ids), crc32(np.array(ids, "<u4").tobytes()))
