@@ -20,8 +20,8 @@ from assaykit.llm.common import map_batches, quiet_tokenizers
 
 #: Fixed value: the white space of the tokenizers' patterns.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Fragments whose ids are remembered by a worker, and the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+#: Fragments of a generation whose ids are remembered by a worker, which keeps two, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 #: Characters of text whose new fragments are learnt together, and fragments in one text given to the tokenizer.
 TOGETHER, JOINED = 1 << 19, 4096
 
@@ -84,7 +84,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: ids of fragments met of late, and of those met before; what is met again moves to the newer ones
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.word_ends = word_ends
         if word_ends:
             self.fragments = re.compile(f"[^{SPACES}]+").findall
@@ -127,9 +129,15 @@ class Encoder:
     def _learn(self, missing: list[str]) -> None:
         if self.word_ends:
             # a word of letters and what hangs on it are tokens of their own: most new words are old ones with a sign
-            halves = {f: m.groups() for f in missing if (m := HALVES.fullmatch(f))}
-            parts = {p for f in missing for p in halves.get(f, (f,))}.difference(self.ids)
-            whole = {p for p in parts if WHOLE.fullmatch(p)}
+            known = self.ids
+            halves, parts = {}, set()
+            for f in missing:
+                if f.isalpha() or not (m := HALVES.fullmatch(f)):
+                    parts.add(f)
+                else:
+                    halves[f] = m.groups()
+                    parts.update(p for p in halves[f] if p not in known)
+            whole = {p for p in parts if p.isascii() and p.isalpha() and p.islower() or WHOLE.fullmatch(p)}
             self._whole(list(whole))
             self._joined(list(parts - whole), " ")
             self.ids.update((f, self.ids[a] + self.ids[b]) for f, (a, b) in halves.items())
@@ -143,30 +151,39 @@ class Encoder:
         for f, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.ids[f] = np.array(e.ids, "<u4").tobytes()
 
+    def _recall(self, new: set[str]) -> None:
+        """Ids of fragments that the newer generation lacks: from the older one, or learnt."""
+        again = [f for f in new if f in self.older]
+        self.ids.update(zip(again, map(self.older.__getitem__, again)))
+        new.difference_update(again)
+        if new:
+            self._learn(list(new))
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        known, held, new, size = self.ids, [], set(), 0
+        held, new, size = [], set(), 0
         for i, text in enumerate(texts):
             parts = self.split(text or "")
-            found = list(map(known.get, parts))
+            found = list(map(self.ids.get, parts))
             gaps = [k for k, ids in enumerate(found) if ids is None] if None in found else []
             new.update([parts[k] for k in gaps])
             held.append((parts, found, gaps))
             size += len(text or "")
             if size < TOGETHER and i < len(texts) - 1:
                 continue
+            long = [f for f in new if len(f) > LONGEST]
             if new:
-                self._learn(list(new))
+                self._recall(new)
+            known = self.ids
             for parts, found, gaps in held:
                 for k in gaps:
                     found[k] = known[parts[k]]
                 out.append(b"".join(found))
-            for f in new:
-                if len(f) > LONGEST:
-                    del known[f]
+            for f in long:
+                del known[f]
             if len(known) > REMEMBERED:
-                known.clear()
+                self.ids, self.older = {}, known
             held, new, size = [], set(), 0
         return out
 
