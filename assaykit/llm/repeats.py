@@ -14,16 +14,23 @@ inside it the one with the least hash (the first of equals). Equal windows have
    the suffixes of the remaining places are merged by their first letter and the name that follows.
 4. Neighbours whose prefixes agree in LENGTH bytes are one group; its windows repeat its smallest document.
 
-What a task holds is the contexts of its partition, whose number follows the input; what it sorts at a time is a chunk
-of them, cut between anchors. Contexts of one anchor stay together, but equal ones are sorted once. Texts are shuffled
-twice (to list contexts, and to cut) and compressed for it, anchors once with 6 bytes each, contexts once, compressed.
+Hot passages: an anchor that several classes of one batch have is known to be shared there and then, and is listed once
+for the batch; of equal contexts of a batch the bytes are sent once. What a task sorts at a time is a chunk of CHUNK bytes
+of contexts, cut between anchors. The contexts of one anchor that is larger than that are halved: a window has 17 bytes
+or more before its anchor, or 18 or more after it, so windows of either kind are dealt by those bytes as well. Equal
+contexts are sorted once. What stays in one task are the places (17 bytes each) of an anchor's occurrences.
+
+Texts are shuffled once, compressed: the same exchange serves to list contexts and, at the end, to cut. Anchors are
+shuffled once with 6 bytes each, contexts once, compressed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.llm.common import map_batches
@@ -34,14 +41,19 @@ GRAMS = LENGTH - GRAM + 1
 LETTER = 6
 #: Bytes of text that are hashed at a time, of contexts that are sorted at a time, and of text behind a partition.
 STEP, CHUNK, PART = 1 << 21, 1 << 21, 16 << 20
-NO_ID = 2**63 - 1
+#: The class of an anchor that several classes of a batch have (classes are hashes; one that is this number is no harm,
+#: as its anchors count as shared), and the id that stands for none.
+SEVERAL, NO_ID = -(2**63), 2**63 - 1
+#: Bytes before the anchor that tell the halves of a large anchor's contexts apart.
+BEFORE = 17
 
 
-def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end: of each anchor its hash, its text, and the first and last window that it is the anchor of."""
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For texts laid end to end: of each anchor its hash, its text, the first and last window that it is the anchor of,
+    and its place in the first."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     power, block, size = np.array([0x9E3779B97F4A7C15], np.uint64), data.astype(np.uint64) + np.uint64(1), 1
     while size < GRAM:  # hashes of GRAM bytes by doubling
         block = block[:-size] * power + block[size:]
@@ -61,10 +73,10 @@ def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inside = window + LENGTH <= ends[np.minimum(text, len(ends) - 1)]
     window, at, text = window[inside], (least & np.uint64(0xFFFFFFFF)).astype(np.int64)[inside], text[inside]
     if not len(window):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     first = np.nonzero(np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])))[0]
     last = np.append(first[1:], len(window)) - 1
-    return block[at[first]] >> np.uint64(16), text[first], window[first], window[last]
+    return block[at[first]] >> np.uint64(16), text[first], window[first], window[last], at[first] - window[first]
 
 
 def _steps(texts: list[bytes]):
@@ -112,24 +124,47 @@ def _unpacked(values: pa.Array) -> list[bytes]:
     return [unpack(v) for v in values.to_pylist()]
 
 
+LISTS = ["part", "classes", "counts", "anchors"]
+
+
+def _dealt(part: np.ndarray, classes: np.ndarray, h: np.ndarray) -> Iterator[tuple]:
+    """Rows of LISTS: pairs of anchor and class by part, each class once with the number of its anchors."""
+    order = np.lexsort((classes, part))
+    part, classes, h = part[order], classes[order], h[order]
+    for p, a, b in zip(*_runs(part)):
+        owners, starts, stops = _runs(classes[a:b])
+        yield int(p), owners.astype("<i8").tobytes(), (stops - starts).astype("<u4").tobytes(), _six(h[a:b])
+
+
+def _distinct(h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, by anchor, and how many classes the anchor of each has."""
+    order = np.lexsort((classes, h))
+    h, classes = h[order], classes[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (classes[1:] != classes[:-1]))[: len(h)]
+    h, classes = h[fresh], classes[fresh]
+    _, starts, stops = _runs(h)
+    return h, classes, np.repeat(stops - starts, stops - starts)
+
+
 def _listed(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, classes, counts, anchors): the anchors of each text, dealt by their hash, packed."""
+    """(part, classes, counts, anchors): the anchors of each class, packed. Parts below `parts` are by the anchor's hash;
+    SEVERAL stands for the class of an anchor that several classes of a batch have. Those classes are in the parts from
+    `parts` on, by class, as what they share is known."""
 
     def run(batches):
         for batch in batches:
-            classes = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [(h, t + begin) for begin, data, ends in _steps(batch.column(1).to_pylist()) for h, t, _, _ in [_anchors(data, ends)]]
+            owners = batch.column(0).to_numpy(zero_copy_only=False)
+            found = [(h, t + begin) for begin, data, ends in _steps(batch.column(1).to_pylist()) for h, t, *_ in [_anchors(data, ends)]]
             if not found:
                 continue
-            h, t = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            part = (h % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((t, part))
-            h, t, part = h[order], t[order], part[order]
-            for p, a, b in zip(*_runs(part)):
-                docs, starts, stops = _runs(t[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (classes[docs], (stops - starts).astype("<u4"), np.frombuffer(_six(h[a:b]), np.uint8)))], ["part", "classes", "counts", "anchors"]
-                )
+            h, classes, several = _distinct(np.concatenate([f[0] for f in found]), owners[np.concatenate([f[1] for f in found])])
+            known, alone = several > 1, several == 1
+            once = np.unique(h[known])
+            sent = np.concatenate([h[alone], once]), np.concatenate([classes[alone], np.full(len(once), SEVERAL)])
+            deals = [((sent[0] % np.uint64(parts)).astype(np.int64), sent[1], sent[0]), (classes[known] % parts + parts, classes[known], h[known])]
+            listed = [r for d in deals for r in _dealt(*d)]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in listed], kind) for k, kind in enumerate(kinds)], LISTS)
 
     return rows.mapInArrow(run, "part int, classes binary, counts binary, anchors binary")
 
@@ -145,79 +180,89 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _shared(listed: DataFrame, parts: int) -> DataFrame:
     """(class, anchors): of each class the anchors that another class has as well, packed."""
 
-    def counted(table: pa.Table) -> pa.Table:
+    def pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         classes = np.concatenate([np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(n, "<u4")) for c, n in zip(table["classes"].to_pylist(), table["counts"].to_pylist())])
-        h = _from_six(b"".join(table["anchors"].to_pylist()))
-        order = np.lexsort((classes, h))
-        h, classes = h[order], classes[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (classes[1:] != classes[:-1]))
-        h, classes = h[fresh], classes[fresh]
-        _, starts, stops = _runs(h)
-        several = np.repeat(stops - starts > 1, stops - starts)
-        h, classes = h[several], classes[several]
-        to = (classes % parts).astype(np.int32)
-        order = np.lexsort((classes, to))
-        h, classes, to = h[order], classes[order], to[order]
-        rows = []
-        for p, a, b in zip(*_runs(to)):
-            owners, x, y = _runs(classes[a:b])
-            rows.append((p, owners.tobytes(), (y - x).astype("<u4").tobytes(), _six(h[a:b])))
+        return _from_six(b"".join(table["anchors"].to_pylist())), classes
+
+    def counted(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        if part >= parts:  # known already
+            return table.set_column(0, "part", pa.array(np.full(table.num_rows, part - parts, np.int32)))
+        h, classes, several = _distinct(*pairs(table))
+        # SEVERAL counts as more than one; it is not a class to be told
+        shared = (several > 1) | (classes == SEVERAL)
+        shared = np.isin(h, h[shared]) & (classes != SEVERAL)
+        h, classes = h[shared], classes[shared]
+        rows = list(_dealt(classes % parts, classes, h))
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["to", "classes", "counts", "anchors"])
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], LISTS)
 
     def merged(table: pa.Table) -> pa.Table:
-        classes = np.concatenate([np.repeat(np.frombuffer(c, "<i8"), np.frombuffer(n, "<u4")) for c, n in zip(table["classes"].to_pylist(), table["counts"].to_pylist())])
-        h = _from_six(b"".join(table["anchors"].to_pylist()))
+        h, classes = pairs(table)
         order = np.argsort(classes, kind="stable")
         h, classes = h[order], classes[order]
         owners, starts, stops = _runs(classes)
         return pa.table({"class": pa.array(owners, pa.int64()), "anchors": pa.array([_six(h[a:b]) for a, b in zip(starts, stops)], pa.binary())})
 
-    dealt = listed.repartition(parts, "part").groupBy("part").applyInArrow(counted, "to int, classes binary, counts binary, anchors binary")
-    return dealt.repartition(parts, "to").groupBy("to").applyInArrow(merged, "class bigint, anchors binary")
+    schema = "part int, classes binary, counts binary, anchors binary"
+    dealt = listed.repartition(parts, "part").groupBy("part").applyInArrow(counted, schema)
+    return dealt.repartition(parts, "part").groupBy("part").applyInArrow(merged, "class bigint, anchors binary")
 
 
-CONTEXTS = "part int, n int, anchors binary, ids binary, copies binary, ats binary, lengths binary, data binary"
+#: n occurrences of m contexts: their anchors, places of the anchors, lengths and bytes; of the occurrences the number of
+#: the context, id, copy and place.
+CONTEXTS = "part int, n int, m int, anchors binary, offsets binary, lengths binary, data binary, numbers binary, ids binary, copies binary, ats binary"
+CONTEXT_NAMES = [c.split()[0] for c in CONTEXTS.split(", ")]
+KINDS = {"offsets": "u1", "lengths": "u1", "numbers": "<u4", "ids": "<i8", "copies": "<u4", "ats": "<u4"}
 
 
 def _contexts(rows: DataFrame, parts: int) -> DataFrame:
     """rows: copy, id, text (compressed), anchors. The context of each listed anchor with its id, copy and place, dealt
-    by the anchor, packed."""
+    by the anchor, packed; equal ones of a batch have their bytes in one place."""
 
     def run(batches):
         for batch in batches:
             copies, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            texts, lists = _unpacked(batch.column(2)), [_from_six(x) for x in batch.column(3).to_pylist()]
-            h, doc, at, size, pieces = [], [], [], [], []
+            texts, lists = _unpacked(batch.column(2)), [x if x is None else _from_six(x) for x in batch.column(3).to_pylist()]
+            number: dict[tuple[int, bytes], int] = {}
+            found = []
             for begin, data, ends in _steps(texts):
-                hh, t, first, last = _anchors(data, ends)
+                hh, t, first, last, offset = _anchors(data, ends)
                 starts, whole = np.append(0, ends[:-1]), data.tobytes()
                 for d, a, b in zip(*_runs(t)):
-                    k = np.nonzero(np.isin(hh[a:b], lists[begin + d]))[0] + a
-                    h.append(hh[k])
-                    doc.append(np.full(len(k), begin + d))
-                    at.append(first[k] - starts[d])
-                    size.append(last[k] + LENGTH - first[k])
-                    pieces += [whole[x:y] for x, y in zip(first[k].tolist(), (last[k] + LENGTH).tolist())]
-            if not pieces:
+                    wanted = lists[begin + d]
+                    k = np.arange(a, b) if wanted is None else np.nonzero(np.isin(hh[a:b], wanted))[0] + a
+                    pieces = (whole[x:y] for x, y in zip(first[k].tolist(), (last[k] + LENGTH).tolist()))
+                    own = [number.setdefault(key, len(number)) for key in zip(hh[k].tolist(), pieces, offset[k].tolist())]
+                    found.append((np.array(own, np.int64), np.full(len(k), begin + d), first[k] - starts[d]))
+            if not number:
                 continue
-            h, doc, at, size = map(np.concatenate, (h, doc, at, size))
+            own, doc, at = map(np.concatenate, zip(*found))
+            h = np.fromiter((key[0] for key in number), np.uint64, len(number))
+            offset = np.fromiter((key[2] for key in number), np.int64, len(number))
+            pieces = [key[1] for key in number]
             part = (h % np.uint64(parts)).astype(np.int32)
-            order = np.lexsort((doc, part))
-            h, doc, at, size, part = h[order], doc[order], at[order], size[order], part[order]
-            listed = order.tolist()
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            number.clear()
+            h, offset, part, pieces = h[order], offset[order], part[order], [pieces[k] for k in order.tolist()]
+            own = place[own]
+            order = np.argsort(own, kind="stable")
+            own, doc, at = own[order], doc[order], at[order]
             for p, a, b in zip(*_runs(part)):
-                columns = (ids[doc[a:b]].astype("<i8"), copies[doc[a:b]].astype("<u4"), at[a:b].astype("<u4"), size[a:b].astype("u1"))
-                data = b"".join([pieces[k] for k in listed[a:b]])
-                values = (_six(h[a:b]), *(pa.compress(v, "zstd", asbytes=True) for v in (*(c.tobytes() for c in columns), data)))
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b - a], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], CONTEXT_NAMES)
+                x, y = np.searchsorted(own, [a, b])
+                values = {
+                    "offsets": offset[a:b], "lengths": np.array([len(c) for c in pieces[a:b]]), "numbers": own[x:y] - a,
+                    "ids": ids[doc[x:y]], "copies": copies[doc[x:y]], "ats": at[x:y],
+                }
+                packed = {n: pa.compress(v.astype(KINDS[n]).tobytes(), "zstd", asbytes=True) for n, v in values.items()}
+                packed |= {"part": int(p), "n": int(y - x), "m": int(b - a), "anchors": _six(h[a:b]), "data": pa.compress(b"".join(pieces[a:b]), "zstd", asbytes=True)}
+                yield pa.RecordBatch.from_arrays([pa.array([packed[n]], pa.int32() if n in ("part", "n", "m") else pa.binary()) for n in CONTEXT_NAMES], CONTEXT_NAMES)
 
     return rows.mapInArrow(run, CONTEXTS)
 
 
-CONTEXT_NAMES = [c.split()[0] for c in CONTEXTS.split(", ")]
-
-
 def _key(*letters: np.ndarray) -> np.ndarray:
     """One number for each tuple of letters, in the order of the tuples: packed where that fits 64 bits, else ranked."""
     bits = [int(x.max(initial=0)).bit_length() for x in letters]
@@ -330,66 +375,110 @@ def _solved(copies: np.ndarray, ids: np.ndarray, ats: np.ndarray, contexts: list
     return pa.table([pa.array(c, k) for c, k in zip(found, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))], ["copy", "id", "start", "stop"])
 
 
+def _halves(contexts: list[bytes], offsets: list[int]) -> Iterator[tuple[bytes, int, int, bytes]]:
+    """(key, number, shift, part) of each context: its windows with BEFORE bytes or more before the anchor, and the
+    others. Equal windows are in parts of one key."""
+    for k, (c, a) in enumerate(zip(contexts, offsets)):
+        if a >= BEFORE:
+            yield b"<" + c[a - BEFORE : a], k, 0, c[: a - BEFORE + LENGTH]
+        start = max(0, a - BEFORE + 1)
+        if len(c) - start >= LENGTH:
+            yield b">" + c[a + GRAM : a + LENGTH - BEFORE + 1], k, start, c[start:]
+
+
+def _large(copies: np.ndarray, ids: np.ndarray, ats: np.ndarray, contexts: list[bytes], offsets: list[int]) -> Iterator[pa.Table]:
+    """The runs of the contexts of one anchor, by halves and in chunks."""
+    parts = sorted(_halves(contexts, offsets), key=lambda x: x[0])
+    begin = size = 0
+    for k, (key, _, _, piece) in enumerate(parts, 1):
+        size += len(piece)
+        if k == len(parts) or size >= CHUNK and parts[k][0] != key:
+            some = parts[begin:k]
+            own = np.array([x[1] for x in some])
+            yield _solved(copies[own], ids[own], ats[own] + np.array([x[2] for x in some]), [x[3] for x in some])
+            begin, size = k, 0
+
+
 def _removed(contexts: DataFrame, parts: int) -> DataFrame:
     """(copy, id, start, stop) of runs of windows that a smaller document has as well."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        anchors = np.concatenate([_from_six(r["anchors"]) for r in rows])
-        column = lambda name, kind: np.concatenate([np.frombuffer(pa.decompress(r[name], r["n"] * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) for r in rows]).astype(np.int64)
-        ids, copies, ats, lengths = column("ids", "<i8"), column("copies", "<u4"), column("ats", "<u4"), column("lengths", "u1")
-        pieces: list[bytes] = []
+        rows = table.select(CONTEXT_NAMES).to_pylist()
+        read = lambda r, n: np.frombuffer(pa.decompress(r[n], r["n" if n in ("numbers", "ids", "copies", "ats") else "m"] * np.dtype(KINDS[n]).itemsize, "zstd", asbytes=True), KINDS[n]).astype(np.int64)
+        # all bytes end to end, and of each occurrence where its context is in them
+        data, where, size, anchors, offsets, ids, copies, ats = [], [], [], [], [], [], [], []
         done = 0
         for r in rows:
-            sizes = lengths[done : done + r["n"]]
-            done += r["n"]
-            ends = np.cumsum(sizes)
-            data = pa.decompress(r["data"], int(ends[-1]), "zstd", asbytes=True)
-            pieces += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+            lengths, number = read(r, "lengths"), read(r, "numbers")
+            ends = np.cumsum(lengths)
+            where.append((ends - lengths + done)[number])
+            size.append(lengths[number])
+            anchors.append(_from_six(r["anchors"])[number])
+            offsets.append(read(r, "offsets")[number])
+            for name, column in (("ids", ids), ("copies", copies), ("ats", ats)):
+                column.append(read(r, name))
+            data.append(pa.decompress(r["data"], int(ends[-1]), "zstd", asbytes=True))
+            done += int(ends[-1])
             r.clear()
-        order = np.argsort(anchors, kind="stable")
+        whole = b"".join(data)
+        data.clear()
+        where, size, anchors, offsets, ids, copies, ats = map(np.concatenate, (where, size, anchors, offsets, ids, copies, ats))
+        order = np.lexsort((where, anchors))
         groups, starts, stops = _runs(anchors[order])
-        sizes = np.cumsum([len(pieces[k]) for k in order.tolist()])
-        out, begin, done = [], 0, 0
-        for stop in stops.tolist():
-            if sizes[stop - 1] - done >= CHUNK or stop == len(order):
+        total = np.cumsum(size[order])
+        pieces = lambda k: [whole[a:b] for a, b in zip(where[k].tolist(), (where[k] + size[k]).tolist())]
+        out, begin, before = [], 0, 0
+        for start, stop in zip(starts.tolist(), stops.tolist()):
+            own = int(total[stop - 1]) - (int(total[start - 1]) if start else 0)
+            if own >= CHUNK:  # one anchor is a chunk of its own or more
+                if begin < start:
+                    k = order[begin:start]
+                    out.append(_solved(copies[k], ids[k], ats[k], pieces(k)))
+                k = order[start:stop]
+                out += _large(copies[k], ids[k], ats[k], pieces(k), offsets[k].tolist())
+            elif int(total[stop - 1]) - before >= CHUNK or stop == len(order):
                 k = order[begin:stop]
-                out.append(_solved(copies[k], ids[k], ats[k], [pieces[x] for x in k.tolist()]))
-                begin, done = stop, sizes[stop - 1]
+                out.append(_solved(copies[k], ids[k], ats[k], pieces(k)))
+            else:
+                continue
+            begin, before = stop, int(total[stop - 1])
         return pa.concat_tables(out)
 
     return contexts.repartition(parts, "part").groupBy("part").applyInArrow(run, "copy int, id bigint, start int, stop int")
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, sha, n_bytes, spans) of each distinct (doc_id, text) of docs: runs of removed bytes, by start; they may
-    overlap.
-
-    A null text is empty. A null id counts as greater than all others. Equal rows have equal results, and rows with
-    one id and different texts are no sources for each other. An empty table gives no rows.
-    """
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(id, none, sha, class, text): a null id is NO_ID with none set; a null text is empty."""
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), whole.alias("text"))
-    rows = rows.withColumns({"sha": F.sha2("text", 256), "class": F.xxhash64("text")})
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-size // PART))
-    keys = cut(rows.groupBy("id", "sha", "class").agg(F.first("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("long").alias("n_bytes")))
-    owners = keys.groupBy("sha", "class").agg(F.min("id").alias("owner"))
-    # an id may own several texts: they are told apart by a small number
-    owners = owners.withColumn("copy", F.row_number().over(Window.partitionBy("owner").orderBy("sha")) - 1)
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("doc_id").isNull().alias("none"), whole.alias("text"))
+    return rows.select("id", "none", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("class"), "text")
+
+
+def _found(rows: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
+    """(id, none, sha, n_bytes, spans) of each distinct (id, none, sha) of _texts(), whose texts come packed."""
+    keys = cut(rows.groupBy("id", "none", "sha", "class").agg(F.max(F.octet_length("text")).cast("long").alias("n_bytes")))
+    owners = keys.groupBy("sha", "class").agg(F.min(F.struct("id", "none")).alias("o")).select("sha", "class", F.col("o.id").alias("owner"), F.col("o.none").alias("owner_none"))
+    # an id may own several texts: they are told apart by a small number. Two texts may have one class: they list all anchors
+    owners = owners.withColumn("copy", F.row_number().over(Window.partitionBy("owner").orderBy("owner_none", "sha")) - 1)
+    owners = owners.withColumn("clash", F.count("*").over(Window.partitionBy("class")) > 1)
     shared = _shared(_listed(rows.select("class", "text"), parts), parts)
-    wanted = owners.join(shared, "class").select(F.col("sha").alias("k_sha"), F.col("owner").alias("k_id"), "copy", "anchors")
+    wanted = owners.join(shared, "class", "left").where("clash OR anchors IS NOT NULL")
+    wanted = wanted.select(F.col("sha").alias("k_sha"), F.col("owner").alias("k_id"), F.col("owner_none").alias("k_none"), "copy", F.when(~F.col("clash"), F.col("anchors")).alias("anchors"))
     # a text of one class may be in the table more than once under its smallest id: one of them is enough
-    packed = _packed(rows.select("id", "sha", "text"))
-    sources = packed.join(wanted, (F.col("id") == F.col("k_id")) & (F.col("sha") == F.col("k_sha"))).select("copy", "id", "text", "anchors")
+    sources = packed.hint("merge").join(wanted, _same("k_")).select("copy", "id", "text", "anchors")
     runs = _removed(_contexts(sources, parts), parts).groupBy("copy", "id").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs"))
-    known = keys.join(owners, ["sha", "class"])
+    known = keys.drop("class").join(owners.drop("class", "clash"), "sha")
     runs = runs.select(F.col("copy").alias("r_copy"), F.col("id").alias("r_id"), "runs")
     found = known.join(runs, (F.col("copy") == F.col("r_copy")) & (F.col("owner") == F.col("r_id")), "left")
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("stop")))
     nothing = F.array().cast("array<struct<start:int,stop:int>>")
-    spans = F.when((F.col("id") > F.col("owner")) & (F.col("n_bytes") >= LENGTH), all_of_it).when(F.col("id") > F.col("owner"), nothing).otherwise(F.coalesce("runs", nothing))
-    return found.select("doc_id", "sha", "n_bytes", spans.alias("spans"))
+    later = (F.col("id") > F.col("owner")) | (F.col("id") == F.col("owner")) & F.col("none") & ~F.col("owner_none")
+    spans = F.when(later & (F.col("n_bytes") >= LENGTH), all_of_it).when(later, nothing).otherwise(F.coalesce("runs", nothing))
+    return found.select("id", "none", "sha", "n_bytes", spans.alias("spans"))
+
+
+def _same(prefix: str) -> Column:
+    return (F.col("id") == F.col(f"{prefix}id")) & (F.col("none") == F.col(f"{prefix}none")) & (F.col("sha") == F.col(f"{prefix}sha"))
 
 
 def _joined(spans: list[dict]) -> list[tuple[int, int]]:
@@ -404,11 +493,19 @@ def _joined(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each row of docs: the maximal removed runs (start, stop) in bytes, and the
-    bytes that are left. See find() for nulls, repeated rows and equal ids."""
-    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", whole.alias("text")).withColumn("sha", F.sha2("text", 256))
-    found = find(docs, text).select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), "spans")
-    both = _packed(rows).join(found, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left").select("doc_id", "text", "spans")
+    bytes that are left.
+
+    A null text is empty. A null id counts as greater than all others. Equal rows have equal results, and rows with
+    one id and different texts are no sources for each other. Long texts are read whole. An empty table gives no rows.
+    """
+    rows = _texts(docs, text)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4, -(-size // PART))
+    # both joins with the texts take this exchange
+    packed = _packed(rows.select("id", "none", "sha", "text")).repartition(parts, "id", "none", "sha")
+    found = _found(rows, packed, parts).select(*[F.col(c).alias(f"f_{c}") for c in ("id", "none", "sha")], "spans")
+    # each row has a partner; an outer join would not share the exchange, as it keeps null keys
+    both = packed.hint("merge").join(found, _same("f_")).select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "text", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, spans, sizes = [], [], []

@@ -56,6 +56,72 @@ def test_random_texts(spark, alphabet):
     assert digest(repeats.remove(df)) == plain([(i, t.encode()) for i, t in rows])
 
 
+def test_large_anchors_by_halves(spark, monkeypatch):
+    # in one process: the same runs whether the contexts of an anchor are sorted together, in halves or in small chunks
+    rng = random.Random(12)
+    gram = b"SIXTEEN-BYTES-..", "abcdef"
+    contexts, offsets = [], []
+    for _ in range(300):
+        left, right = ("".join(rng.choice("ab") for _ in range(n)).encode() for n in (34, 34))
+        if rng.random() < 0.7 and contexts:
+            old, a = rng.choice(list(zip(contexts, offsets)))
+            cut_at = rng.randint(0, a)
+            left, right = left[: 34 - cut_at] + old[a - cut_at : a], old[a + 16 :] + right[len(old) - a - 16 :]
+        x, y = rng.randint(0, 34), rng.randint(0, 34)
+        if x + y >= 34:
+            contexts.append(left[34 - x :] + gram[0] + right[:y])
+            offsets.append(x)
+    n = len(contexts)
+    copies, ids, ats = np.zeros(n, np.int64), np.array(rng.sample(range(1000), n)), np.arange(n) * 1000
+
+    def gone(tables):
+        return sorted({(i, p) for t in tables for i, a, b in zip(t["id"].to_pylist(), t["start"].to_pylist(), t["stop"].to_pylist()) for p in range(a, b)})
+
+    whole = gone([repeats._solved(copies, ids, ats, contexts)])
+    assert whole and gone(repeats._large(copies, ids, ats, contexts, offsets)) == whole
+    monkeypatch.setattr(repeats, "CHUNK", 500)
+    parts = list(repeats._large(copies, ids, ats, contexts, offsets))
+    assert len(parts) > 10 and gone(parts) == whole
+
+
+def test_a_phrase_and_a_line_in_every_document(spark):
+    rng = random.Random(13)
+    line = "This line stands in each of these documents, and is longer than fifty bytes. "
+    made = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, made(60) + "a common phrase here" + made(60) + (line if i % 3 else "") + made(rng.randint(0, 40))) for i in range(500)]
+    rows += [(1000 + i, rows[i][1][: rng.randint(70, 200)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert digest(repeats.remove(df)) == plain([(i, t.encode()) for i, t in rows])
+
+
+def test_texts_of_one_class(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = repeats._texts
+    monkeypatch.setattr(repeats, "_texts", lambda docs, text: texts(docs, text).withColumn("class", F.col("class") % 2))
+    passage = "A passage of more than fifty bytes that stands in two of the documents here. "
+    rows = [(i, f"{i} head " + (passage if i in (3, 8) else "x") + f" tail {i}") for i in range(12)] + [(20, "9 head x tail 9"), (None, passage)]
+    want = plain([(99 if i is None else i, t.encode()) for i, t in rows])
+    got = digest(repeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert sorted(g[1:] for g in got) == sorted(w[1:] for w in want)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcdefghij") for _ in range(3_000_000))
+    rows = [(2, long + long[:1000]), (1, long[5_000:5_200]), (3, long[1_000_000:2_000_000])]
+    got = digest(repeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [g[:4] for g in got] == [(1, 200, 0, 0), (2, 3_001_000, 200, 1), (3, 1_000_000, 1_000_000, 1)]
+
+
+def test_texts_are_shuffled_once(spark, sf_dir):
+    plan = repeats.remove(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    exchanges = [line for line in final.splitlines() if "Exchange" in line and "REPARTITION_BY_NUM" in line and "none#" in line]
+    assert len(exchanges) == 2 and sum("ReusedExchange" in line for line in exchanges) == 1
+
+
 def test_odd_rows(spark):
     a = "A passage of more than fifty bytes that stands in several of the documents here. "
     rows = [(5, a + "tail five", 0), (3, "head three " + a, 0), (3, "head three " + a, 0), (None, a, 0), (9, None, 0), (8, "", 0), (3, "other text under the same id " + a, 0)]
