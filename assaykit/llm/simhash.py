@@ -18,8 +18,11 @@ Components of the links are found by large-star and small-star rounds.
 A radius of 3 of 64 bits is a similarity far above 0.9: at a Jaccard similarity of 0.8 about 15 % of the bits differ.
 near_copies() looks for those with WORDS x 64 bits: TABLES keys of 28 bits are drawn from them, texts meet where the
 first 6 bits are equal, and there the ball hashing goes on over the other 22 with one flip on either side. What meets is
-held against FAR of all bits, and then against the shingles themselves. Where more than CROWD texts meet, their minimum
-spanning tree by distance takes the place of all pairs: it has the same components at any distance.
+held against FAR of all bits, and then against the shingles themselves. Where more than CROWD texts meet under a variant,
+they are linked to leaders: the smallest that no leader is near becomes the next leader, until each text is near one or is
+one, so that a crowd of near copies costs one pass and one link each. The number of texts that are dealt to one task is
+held at about GROUP by further bits of the key; a text goes to the tasks of all of its variants, so that the pairs found
+don't depend on it.
 """
 
 from __future__ import annotations
@@ -38,12 +41,14 @@ from assaykit.session import cut
 RADIUS = 3
 SHINGLE = 3
 BLOCK = 16
+#: Fingerprints whose variants one task makes.
+SPREAD = 1 << 14
 #: Shingles hashed at a time, so that memory doesn't follow the length of a text.
 STEP = 1 << 17
 #: near_copies(): 64-bit words of a fingerprint, keys drawn from its bits, their bits (equal, and flipped), the distance
-#: of all bits that is looked at (four standard deviations beyond what a similarity of 0.8 has), and the largest number
-#: of texts under a key of which all pairs are taken.
-WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD = 4, 48, 6, 22, 64, 32
+#: of all bits that is looked at (four standard deviations beyond what a similarity of 0.8 has), the largest number of
+#: texts under a variant of which all pairs are taken, and of texts that are meant to meet in one task.
+WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD, GROUP = 4, 36, 6, 22, 64, 32, 1 << 17
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -114,7 +119,9 @@ def _star(rows: DataFrame, centre: Column) -> DataFrame:
 def near_links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints fp at distance 3 or less: not all of them, but enough for every
     connection that all of them would make."""
+    # variants are many: each task makes those of about SPREAD fingerprints, whatever the size of their table
     distinct = fps.select("fp").distinct()
+    distinct = distinct.repartition(max(1, -(-fps.count() // SPREAD)), "fp")
     w = Window.partitionBy("key")
     met = _block_variants(distinct).select("fp", F.count("*").over(w).alias("n"), F.min("fp").over(w).alias("lo")).where("n > 1")
     met = cut(met.distinct())
@@ -187,64 +194,42 @@ def _keys(prints: np.ndarray, table: np.ndarray) -> np.ndarray:
     return bits[:, table].astype(np.int64) @ (1 << np.arange(len(table)))
 
 
-def _spanning(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning tree by Hamming distance (Prim): ends and distance of its edges."""
-    n = len(prints)
-    left, near, gap = np.arange(1, n), np.zeros(n - 1, np.int64), np.full(n - 1, 1 << 30)
-    last, out = 0, []
+def _led(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links (places, place of the leader) of a crowd, whose members come smallest first."""
+    u, v, left, everyone = [], [], np.arange(len(prints)), np.arange(len(prints))
     while len(left):
-        d = np.bitwise_count(prints[left] ^ prints[last]).sum(axis=1, dtype=np.int64)
-        closer = d < gap
-        near[closer], gap[closer] = last, d[closer]
-        k = int(gap.argmin())
-        last = int(left[k])
-        out.append((last, int(near[k]), int(gap[k])))
-        for a in (left, near, gap):
-            a[k] = a[-1]
-        left, near, gap = left[:-1], near[:-1], gap[:-1]
-    a, b, d = np.array(out, np.int64).reshape(-1, 3).T
-    return a, b, d
-
-
-def _meeting(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in keys) at distance FAR or less whose keys of FLIPPED bits differ in two bits at most; of crowds, a
-    spanning tree."""
+        leader = int(left[0])
+        near = np.bitwise_count(prints ^ prints[leader]).sum(axis=1, dtype=np.int64) <= FAR
+        u.append(everyone[near & (everyone != leader)])
+        v.append(np.full(len(u[-1]), leader))
+        left = left[~near[left]]
+    return u, v
+
+
+def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in keys, which come by their node) at distance FAR or less whose keys differ in two bits at most: one
+    flip on either side. bits: which of the key's bits may be flipped, those of a row that was moved being none."""
     n = len(keys)
-    flips = np.append(0, 1 << np.arange(FLIPPED))
-    variants = (keys[:, None] ^ flips).ravel()
+    flips = np.append(0, 1 << np.arange(FLIPPED)) if bits is None else bits
+    owner = np.repeat(np.arange(n), len(flips)) if flips.ndim == 1 else np.nonzero(flips >= 0)[0]
+    variants = (keys[:, None] ^ flips).ravel() if flips.ndim == 1 else (keys[:, None] ^ flips)[flips >= 0]
     order = np.argsort(variants, kind="stable")
-    owner, variants = order // len(flips), variants[order]
+    owner, variants = owner[order], variants[order]
     starts = np.nonzero(np.append(True, variants[1:] != variants[:-1]))[0]
     sizes = np.diff(np.append(starts, len(variants)))
-    pairs = []
+    pairs, u, v = [np.zeros(0, np.int64)], [], []
     for m in np.unique(sizes[(sizes > 1) & (sizes <= CROWD)]).tolist():
         met = owner[starts[sizes == m][:, None] + np.arange(m)]
         a, b = np.triu_indices(m, 1)
         pairs.append(np.unique(met[:, a].ravel() * n + met[:, b].ravel()))
-    root = np.arange(n)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    large = sizes > CROWD
-    for a, m in zip(starts[large].tolist(), sizes[large].tolist()):
-        for x in owner[a + 1 : a + m].tolist():
-            root[find(x)] = find(int(owner[a]))
-    out = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    for a, m in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
+        members = owner[a : a + m]  # by place, as the sort is stable
+        some, leaders = _led(prints[members])
+        pairs += [members[x] * n + members[y] for x, y in zip(some, leaders)]
+    out = np.unique(np.concatenate(pairs))
     u, v = out // n, out % n
     near = np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64) <= FAR
-    u, v = [u[near]], [v[near]]
-    if large.any():
-        tops = np.array([find(x) for x in range(n)])
-        for top in np.unique(tops[owner[starts[large]]]).tolist():
-            members = np.nonzero(tops == top)[0]
-            a, b, d = _spanning(prints[members])
-            u.append(members[a[d <= FAR]])
-            v.append(members[b[d <= FAR]])
-    return np.concatenate(u), np.concatenate(v)
+    return u[near], v[near]
 
 
 def _prepared(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -266,24 +251,36 @@ def _prepared(docs: DataFrame, text: str, size: int) -> DataFrame:
     return map_batches(rows, run, "doc_id bigint, text_hash bigint, node bigint, prints binary, grams binary")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes (node, prints) that meet under a key."""
+def _candidates(nodes: DataFrame, count: int, most: int = GROUP) -> DataFrame:
+    """Links (u, v) between nodes (node, prints), `count` of them, that meet under a key."""
     tables = _tables()
+    split = min(FLIPPED, max(0, (count // (most << EQUAL)).bit_length()))  # bits of the key that deal as well
+    mask = (1 << split) - 1
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, WORDS)
-        group = np.concatenate([k << EQUAL | _keys(prints, t[:EQUAL]) for k, t in enumerate(tables)])
         whole = pa.table({"node": batch.column(0), "prints": batch.column(1)})
-        many = pa.concat_tables([whole] * TABLES).combine_chunks()
-        return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(c.combine_chunks() for c in many.columns)], ["g", "node", "prints"])
+        group, moved = [], []
+        for k, t in enumerate(tables):
+            equal, low = k << EQUAL | _keys(prints, t[:EQUAL]), _keys(prints, t[EQUAL:]) & mask
+            for flip in (0, *(1 << b for b in range(split))):
+                group.append(equal << split | low ^ flip)
+                moved.append(np.full(len(prints), flip != 0))
+        many = pa.concat_tables([whole] * len(group)).combine_chunks()
+        columns = [pa.array(np.concatenate(group), pa.int64()), pa.array(np.concatenate(moved)), *(c.combine_chunks() for c in many.columns)]
+        return pa.RecordBatch.from_arrays(columns, ["g", "moved", "node", "prints"])
 
     def meet(group: pa.Table) -> pa.Table:
-        node = group["node"].to_numpy()
+        group = group.sort_by("node")
+        node, moved = group["node"].to_numpy(), group["moved"].to_numpy(zero_copy_only=False)
         prints = np.frombuffer(b"".join(group["prints"].to_pylist()), "<u8").reshape(-1, WORDS)
-        u, v = _meeting(_keys(prints, tables[group["g"][0].as_py() >> EQUAL][EQUAL:]), prints)
+        keys = _keys(prints, tables[group["g"][0].as_py() >> EQUAL + split][EQUAL:]) & ~mask
+        flips = np.append(0, 1 << np.arange(split, FLIPPED))
+        u, v = _meeting(keys, prints, flips if not split else np.where(moved[:, None] & (flips > 0), -1, flips))
         return pa.table({"u": pa.array(np.maximum(node[u], node[v])), "v": pa.array(np.minimum(node[u], node[v]))})
 
-    return map_batches(nodes, deal, "g int, node bigint, prints binary").groupBy("g").applyInArrow(meet, "u bigint, v bigint").distinct()
+    dealt = map_batches(nodes, deal, "g bigint, moved boolean, node bigint, prints binary")
+    return dealt.groupBy("g").applyInArrow(meet, "u bigint, v bigint").distinct()
 
 
 def _verified(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -311,7 +308,7 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
     words, whatever their ASCII case and white space, are one; null and blank texts as well."""
     rows = cut(_prepared(docs, text, size))
     nodes = rows.groupBy("node").agg(F.first("prints").alias("prints"))
-    links = cut(_candidates(nodes))
+    links = cut(_candidates(nodes, rows.count()))
     linked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     grams = rows.select("node", "grams").join(linked, "node", "left_semi").dropDuplicates(["node"])
     roots = connected_components(_verified(links, grams, similarity))

@@ -126,23 +126,38 @@ def test_keep_first_against_every_pair_at_point_eight(spark):
     assert sorted(kept) == sorted(min(d for d in root if root[d] == r) for r in set(root.values()))
 
 
-def test_spanning_tree_keeps_components():
+def random_prints(rng, n, crowd):
+    """n fingerprints, of which `crowd` are within some bits of one."""
     import numpy as np
 
-    rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**63, simhash.WORDS).astype(np.uint64)
-    prints = np.array([base ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 64, simhash.WORDS).astype(np.uint64) for _ in range(3)]) for _ in range(90)])
-    a, b, d = simhash._spanning(prints)
-    assert len(a) == 89 and set(a) | set(b) == set(range(90))
-    every = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
-    assert all(every[x, y] == g for x, y, g in zip(a, b, d))
-    for most in (4, 8, 12, 16, 20):
-        by_tree, by_all = list(range(90)), list(range(90))
-        for label, links in ((by_tree, [(x, y) for x, y, g in zip(a, b, d) if g <= most]), (by_all, np.argwhere(every <= most))):
-            for x, y in links:
-                old, new = label[x], label[y]
-                label[:] = [new if z == old else z for z in label]
-        assert len(set(by_tree)) == len(set(by_all))
+    prints = rng.integers(0, 2**64, (n, simhash.WORDS), dtype=np.uint64)
+    for k in range(crowd):
+        prints[k] = prints[0]
+        for bit in rng.integers(0, 64 * simhash.WORDS, k % 12).tolist():
+            prints[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    return prints
+
+
+def test_crowds_are_linked_to_leaders():
+    import numpy as np
+
+    prints = random_prints(np.random.default_rng(2), 300, 200)
+    u, v = (np.concatenate(x) for x in simhash._led(prints))
+    distance = np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1)
+    assert (distance <= simhash.FAR).all() and len(u) < 2 * len(prints)
+    every = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= simhash.FAR
+    linked = set(u.tolist()) | set(v.tolist())
+    assert linked == set(np.nonzero(every.sum(axis=1) > 1)[0].tolist())
+
+
+def test_links_do_not_depend_on_how_groups_are_dealt(spark):
+    import numpy as np
+
+    prints = random_prints(np.random.default_rng(3), 3000, 120)
+    rows = [(int(k), bytes(p.astype("<u8").tobytes())) for k, p in enumerate(prints)]
+    nodes = spark.createDataFrame(rows, "node bigint, prints binary").repartition(4)
+    found = [sorted(map(tuple, simhash._candidates(nodes, len(rows), most).collect())) for most in (1 << 20, 8)]
+    assert found[0] and found[0] == found[1]
 
 
 def test_keep_first_with_null_and_repeated_ids(spark):
