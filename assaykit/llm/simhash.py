@@ -19,10 +19,11 @@ A radius of 3 of 64 bits is a similarity far above 0.9: at a Jaccard similarity
 near_copies() looks for those with WORDS x 64 bits: TABLES keys of 28 bits are drawn from them, texts meet where the
 first 6 bits are equal, and there the ball hashing goes on over the other 22 with one flip on either side. What meets is
 held against FAR of all bits, and then against the shingles themselves. Where more than CROWD texts meet under a variant,
-they are linked to leaders: the smallest that no leader is near becomes the next leader, until each text is near one or is
-one, so that a crowd of near copies costs one pass and one link each. The number of texts that are dealt to one task is
-held at about GROUP by further bits of the key; a text goes to the tasks of all of its variants, so that the pairs found
-don't depend on it.
+they are told leaders: the smallest that no leader is near becomes the next leader, until each text is near one or is one. Of
+those that it is told under its variants a text is linked to the nearest, so that a crowd of near copies costs a link for
+each text and key. The number of texts that are dealt to one task is held at about GROUP by further bits of the key; a
+text goes to the tasks of all of its variants, so that all pairs meet that would meet without, and in a crowd a text may
+be linked to one leader in each task.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ SPREAD = 1 << 14
 #: Shingles hashed at a time, so that memory doesn't follow the length of a text.
 STEP = 1 << 17
 #: near_copies(): 64-bit words of a fingerprint, keys drawn from its bits, their bits (equal, and flipped), the distance
-#: of all bits that is looked at (four standard deviations beyond what a similarity of 0.8 has), the largest number of
+#: of all bits that is looked at (over three standard deviations beyond what a similarity of 0.8 has), the largest number of
 #: texts under a variant of which all pairs are taken, and of texts that are meant to meet in one task.
-WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD, GROUP = 4, 36, 6, 22, 64, 32, 1 << 17
+WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD, GROUP = 4, 36, 6, 22, 58, 4, 1 << 17
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -221,11 +222,18 @@ def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = Non
     for m in np.unique(sizes[(sizes > 1) & (sizes <= CROWD)]).tolist():
         met = owner[starts[sizes == m][:, None] + np.arange(m)]
         a, b = np.triu_indices(m, 1)
-        pairs.append(np.unique(met[:, a].ravel() * n + met[:, b].ravel()))
+        pairs.append(np.unique(met[:, b].ravel() * n + met[:, a].ravel()))
     for a, m in zip(starts[sizes > CROWD].tolist(), sizes[sizes > CROWD].tolist()):
         members = owner[a : a + m]  # by place, as the sort is stable
         some, leaders = _led(prints[members])
-        pairs += [members[x] * n + members[y] for x, y in zip(some, leaders)]
+        u += [members[x] for x in some]
+        v += [members[y] for y in leaders]
+    if u:  # of the leaders that a text has under its variants, the nearest
+        u, v = np.concatenate(u), np.concatenate(v)
+        order = np.lexsort((v, np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64), u))
+        u, v = u[order], v[order]
+        first = np.append(True, u[1:] != u[:-1])[: len(u)]
+        pairs.append(np.maximum(u, v)[first] * n + np.minimum(u, v)[first])
     out = np.unique(np.concatenate(pairs))
     u, v = out // n, out % n
     near = np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64) <= FAR

@@ -150,16 +150,28 @@ def test_crowds_are_linked_to_leaders():
     assert linked == set(np.nonzero(every.sum(axis=1) > 1)[0].tolist())
 
 
-def test_links_do_not_depend_on_how_groups_are_dealt(spark):
+def test_pairs_do_not_depend_on_how_groups_are_dealt(spark):
     import numpy as np
 
-    prints = random_prints(np.random.default_rng(3), 3000, 120)
+    rng = np.random.default_rng(3)
+    prints = np.concatenate([random_prints(rng, 3, 3) for _ in range(600)])
     rows = [(int(k), bytes(p.astype("<u8").tobytes())) for k, p in enumerate(prints)]
     nodes = spark.createDataFrame(rows, "node bigint, prints binary").repartition(4)
     found = [sorted(map(tuple, simhash._candidates(nodes, len(rows), most).collect())) for most in (1 << 20, 8)]
     assert found[0] and found[0] == found[1]
 
 
+def test_links_of_a_crowd_follow_its_size(spark):
+    import numpy as np
+
+    counts = []
+    for n in (500, 2000):
+        prints = random_prints(np.random.default_rng(4), n, n)
+        rows = [(int(k), bytes(p.astype("<u8").tobytes())) for k, p in enumerate(prints)]
+        counts.append(simhash._candidates(spark.createDataFrame(rows, "node bigint, prints binary"), n).count())
+    assert 499 <= counts[0] and counts[1] < 6 * counts[0]  # the square would be 16 times
+
+
 def test_keep_first_with_null_and_repeated_ids(spark):
     a, b, c = "one text about the first thing here", "quite another text with other words", "the third of the texts has its own"
     rows = [(None, a, 1), (None, b, 2), (4, c, 3), (4, c, 3), (4, "what else stands under the id of four", 4), (9, a.upper() + " ", 5), (6, None, 6), (7, " ", 7)]
