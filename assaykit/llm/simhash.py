@@ -19,7 +19,7 @@ A radius of 3 of 64 bits is a similarity far above 0.9: at a Jaccard similarity
 near_copies() looks for those with WORDS x 64 bits: TABLES keys of 28 bits are drawn from them, texts meet where the
 first 6 bits are equal, and there the ball hashing goes on over the other 22 with one flip on either side. What meets is
 held against FAR of all bits, and then against the shingles themselves. Where more than CROWD texts meet under a variant,
-they are told leaders: the smallest that no leader is near becomes the next leader, until each text is near one or is one. Of
+they are told leaders: of those that no leader is near, the most central becomes the next, until each is near one or is one. Of
 those that it is told under its variants a text is linked to the nearest, so that a crowd of near copies costs a link for
 each text and key. The number of texts that are dealt to one task is held at about GROUP by further bits of the key; a
 text goes to the tasks of all of its variants, so that all pairs meet that would meet without, and in a crowd a text may
@@ -47,9 +47,9 @@ SPREAD = 1 << 14
 #: Shingles hashed at a time, so that memory doesn't follow the length of a text.
 STEP = 1 << 17
 #: near_copies(): 64-bit words of a fingerprint, keys drawn from its bits, their bits (equal, and flipped), the distance
-#: of all bits that is looked at (over three standard deviations beyond what a similarity of 0.8 has), the largest number of
+#: of all bits that is looked at (four standard deviations beyond what a similarity of 0.8 has), the largest number of
 #: texts under a variant of which all pairs are taken, and of texts that are meant to meet in one task.
-WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD, GROUP = 4, 36, 6, 22, 58, 4, 1 << 17
+WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD, GROUP = 4, 36, 6, 22, 64, 4, 1 << 17
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -196,10 +196,14 @@ def _keys(prints: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _led(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links (places, place of the leader) of a crowd, whose members come smallest first."""
+    """Links (places, place of the leader) of a crowd. The leader is the member that is nearest to what most members have
+    in each bit: where texts are copies of one, with changes of their own, that one."""
     u, v, left, everyone = [], [], np.arange(len(prints)), np.arange(len(prints))
     while len(left):
-        leader = int(left[0])
+        some = prints[left]
+        ones = np.unpackbits(some.astype("<u8").view(np.uint8).reshape(len(left), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        most = np.packbits(2 * ones > len(left), bitorder="little").view("<u8")
+        leader = int(left[np.bitwise_count(some ^ most).sum(axis=1, dtype=np.int64).argmin()])
         near = np.bitwise_count(prints ^ prints[leader]).sum(axis=1, dtype=np.int64) <= FAR
         u.append(everyone[near & (everyone != leader)])
         v.append(np.full(len(u[-1]), leader))
