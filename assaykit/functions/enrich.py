@@ -60,22 +60,46 @@ def compile_policy(countries: DataFrame, default: list[str], conservative: list[
     return countries.select("country", F.array_join(dedup_ordered(F.flatten(parts)), ",").alias("policy"))
 
 
-#: Size classes by upper bound in centimetres, keyword sizes, share of the picture by class.
+#: Size classes by their upper bound in centimetres (not included), what each framing shows of a scene from
+#: top to bottom in centimetres, and the share of the picture's height that the product may take.
 BANDS = [(8, "tiny"), (20, "small"), (45, "medium"), (120, "large")]
-KEYWORDS = [("ECONOMY", 6), ("SMALL", 12), ("STANDARD", 30), ("MEDIUM", 40), ("LARGE", 90), ("PROMO", 150)]
-SHARES = {"tiny": 0.22, "small": 0.3, "medium": 0.4, "large": 0.5, "huge": 0.58}
-
-
-def scale_plan(size_cm: Column, kind: Column, aspect: Column) -> Column:
-    """struct(cm, band, low, high, area): the size (else the kind's), its class, the clamped range of the share of the
-    width it should take, and the area expected for its middle."""
-    known = reduce(lambda acc, kv: acc.when(kind.contains(kv[0]), kv[1]), KEYWORDS[1:], F.when(kind.contains(KEYWORDS[0][0]), KEYWORDS[0][1]))
-    cm = F.coalesce(size_cm.cast("double"), known.cast("double"), F.lit(30.0))
-    band = reduce(lambda acc, b: acc.when(cm <= b[0], b[1]), BANDS[1:], F.when(cm <= BANDS[0][0], BANDS[0][1])).otherwise("huge")
-    share = reduce(lambda acc, kv: acc.when(band == kv[0], kv[1]), list(SHARES.items())[1:], F.when(band == "tiny", SHARES["tiny"]))
-    clamp = lambda x: F.greatest(F.lit(0.18), F.least(F.lit(0.6), x))
-    low, high = F.round(clamp(share * 0.8), 4), F.round(clamp(share * 1.2), 4)
-    return F.struct(cm.alias("cm"), band.alias("band"), low.alias("low"), high.alias("high"), F.round((low + high) / 2 * (low + high) / 2 * aspect, 6).alias("area"))
+FRAMES = {"close_up": (35.0, 55.0), "medium": (80.0, 120.0), "wide": (180.0, 300.0)}
+HERO = (0.18, 0.6)
+
+
+def scale_plan(size_cm: Column, kind: Column, requested: Column, slimness: Column, aspect: float, keywords: list[tuple[str, float]]) -> Column:
+    """struct(cm, band, framing, low, high, note, area_low, area_high); null where no size is known.
+
+    The size is size_cm if it is between 0.5 and 1000, else that of the first of keywords in kind. The framing is the
+    requested one if the product can fill a share of HERO in it, or if it is the tightest that doesn't overfill it; else
+    that one, with a note. low and high are the share of the height, held to HERO and 0.06 apart where both are held to
+    one end. The areas are those of a box of this slimness (short by long side) in a picture of this aspect.
+    """
+    known = F.lit(None).cast("double")
+    for word, cm in reversed(keywords):
+        known = F.when(kind.contains(word), F.lit(float(cm))).otherwise(known)
+    size = size_cm.cast("double")
+    cm = F.when(size.between(0.5, 1000), size).otherwise(known)
+    band = F.when(cm.isNotNull(), reduce(lambda acc, b: acc.when(cm < b[0], b[1]), BANDS[1:], F.when(cm < BANDS[0][0], BANDS[0][1])).otherwise("xlarge"))
+    least, most = HERO
+    tightest = F.when(cm / FRAMES["close_up"][1] <= most, "close_up").when(cm / FRAMES["medium"][1] <= most, "medium").when(cm.isNotNull(), "wide")
+    fits = F.lit(False)
+    for name, (low_cm, high_cm) in FRAMES.items():
+        fits = F.when(requested == name, (cm / high_cm <= most) & (cm / low_cm >= least)).otherwise(fits)
+    taken = (requested == tightest) | fits
+    framing = F.when(taken, requested).otherwise(tightest)
+    note = F.when(requested.isNotNull() & ~taken, F.concat(F.lit("framing "), requested, F.lit(" can't show a "), F.bround(cm).cast("bigint").cast("string"), F.lit(" cm product as the hero; used "), tightest))
+    shown = lambda k: F.when(framing == "close_up", FRAMES["close_up"][k]).when(framing == "medium", FRAMES["medium"][k]).otherwise(FRAMES["wide"][k])
+    held = lambda x: F.greatest(F.lit(least), F.least(x, F.lit(most)))
+    low, high = held(cm / shown(1)), held(cm / shown(0))
+    narrow = high - low < 0.04
+    wider = F.when(narrow & (low <= least), low + 0.06).otherwise(high)
+    lower = F.when(narrow & (low > least), high - 0.06).otherwise(low)
+    low, high = F.round(lower, 3), F.round(wider, 3)
+    slim = F.greatest(F.lit(0.05), F.least(F.lit(1.0), slimness))
+    columns = [cm.alias("cm"), band.alias("band"), framing.alias("framing"), low.alias("low"), high.alias("high"), note.alias("note")]
+    area = lambda x: F.round(x * x * slim / aspect, 6)
+    return F.when(cm.isNotNull(), F.struct(*columns, area(low).alias("area_low"), area(high).alias("area_high")))
 
 
 def json_fields(payload: Column) -> Column:

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters that are written alike.
-DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d\u2e3a\u2e3b"
 QUOTES = "\u2018\u2019\u201a\u201b`\u00b4"
 KEPT = "%.,:/+-"
 #: Latin letters with marks and what they fold to.
 MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
 #: What digits and signs stand for in disguised words.
-SWAPS = ("01345@$!", "oieasasi")
+SWAPS = ("013457@$", "oieastas")
 
 
 def normalise(col: Column) -> Column:
@@ -99,7 +99,7 @@ def validate_text(col: Column, longest: int = 80, lines: int = 3) -> Column:
 
 def blocklist(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, term) of each listed word or phrase in a text, also when digits stand for letters. The list is short."""
-    plain = F.trim(F.regexp_replace(F.translate(F.lower(text), *SWAPS), r"[^\p{L}]+", " "))
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(text), *SWAPS), r"[^\p{L}\p{M}]+", " "))
     rows = df.select(key, plain.alias("__t"))
     words = rows.select(key, F.explode(F.array_distinct(F.split("__t", " "))).alias("term"))
     listed = df.sparkSession.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
@@ -111,9 +111,17 @@ def blocklist(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame
     return found.unionByName(rows.select(key, F.explode(hits).alias("term")))
 
 
+#: Phrases that try to override instructions, marks that pose as another speaker's, hidden tags.
 SIGNALS = {
-    "role_override": r"(?i)ignore (all|any|the|your)? ?(previous|prior|above) (instructions|rules)|you are now|act as (a|an|the) ",
-    "fake_marker": r"(?i)<\|?(system|assistant|user|im_start|im_end)\|?>|^(system|assistant) ?:",
+    "role_override": r"(?i)(ignore|disregard|forget)\s+(all\s+|any\s+)?(the\s+)?(previous|prior|above|earlier)\s+(instructions|prompts?|rules|messages)"
+    r"|(ignore|disregard|forget)\s+(all|any|every)\s+(the\s+|your\s+)?(rules|instructions|guidelines|checks)"
+    r"|\b(approve|pass)\s+(this|the)\s+(ad|image)\b"
+    r"|mark\s+(all|every)\s+(the\s+)?checks?\s+(as\s+)?pass"
+    r"|you\s+are\s+now\s+"
+    r"|new\s+instructions\s*:"
+    r"|reveal\s+(your|the)\s+(system\s+)?prompt"
+    r"|act\s+as\s+(an?\s+)?(unrestricted|jailbroken|dan)\b",
+    "fake_marker": r"(?im)<\s*/?\s*(system|assistant|tool|untrusted[^>]*)\s*>|\[/?(system|inst)\]|<\|(im_start|im_end|system|endoftext)\|>|^\s*(system|assistant)\s*:",
     "unicode_tags": r"[\x{E0000}-\x{E007F}]",
 }
 
@@ -125,10 +133,10 @@ def injection_signals(col: Column) -> Column:
 #: The order matters, each pattern sees what the ones before it left.
 PERSONAL = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("card", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}\b"),
-    ("aadhaar", r"\b\d{4} ?\d{4} ?\d{4}\b"),
+    ("card", r"\b(?:\d[ -]?){13,19}\b"),
+    ("aadhaar", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b"),
     ("pan", r"\b[A-Z]{5}\d{4}[A-Z]\b"),
-    ("phone", r"\+?\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}\b"),
+    ("phone", r"(?<![\w-])\+?\d[\d\s().-]{8,}\d\b"),
 ]
 
 
@@ -137,16 +145,17 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({"redacted": F.col(text), "kinds": F.array().cast("array<string>")})
     for kind, pattern in PERSONAL:
         found = F.when(F.regexp_like("redacted", F.lit(pattern)), F.array_append("kinds", F.lit(kind))).otherwise(F.col("kinds"))
-        df = df.withColumns({"kinds": found, "redacted": F.regexp_replace("redacted", pattern, f"[{kind}]")})
+        df = df.withColumns({"kinds": found, "redacted": F.regexp_replace("redacted", pattern, f"[REDACTED:{kind}]")})
     return df
 
 
-REASONS = ("swap", "recolour", "blur", "crop", "typo")
+#: Why a label failed.
+REASONS = ("scale", "pasted", "shape", "colour", "label_text", "season", "geography", "people", "other")
 
 
 def parse_reasons(col: Column, known: tuple[str, ...] = REASONS) -> Column:
     """Map of the pairs reason:<dimension>=<code>; unknown codes are dropped, the last of a dimension stays."""
-    pairs = F.regexp_extract_all(col, F.lit(r"reason:[a-z]+=[a-z]+"), 0)
+    pairs = F.regexp_extract_all(col, F.lit(r"reason:\w+=\w+"), 0)
     split = F.transform(pairs, lambda p: F.split(F.substring(p, 8, 1000), "="))
     kept = F.filter(split, lambda p: p[1].isin(*known))
     put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p[0]), F.create_map(p[0], p[1]))
@@ -165,17 +174,21 @@ def dedup_ordered(col: Column) -> Column:
     return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(known(acc, x), acc).otherwise(F.array_append(acc, x)))
 
 
-SCRIPTS = {"Latn": "Latin", "Cyrl": "Cyrillic", "Arab": "Arabic", "Deva": "Devanagari", "Hani": "Han"}
+#: Codes of scripts, in the order that decides ties.
+SCRIPTS = {
+    "Latn": "Latin", "Cyrl": "Cyrillic", "Grek": "Greek", "Arab": "Arabic", "Hebr": "Hebrew", "Deva": "Devanagari", "Beng": "Bengali", "Taml": "Tamil",
+    "Thai": "Thai", "Khmr": "Khmer", "Kore": "Hangul", "Hani": "Han", "Ethi": "Ethiopic", "Sinh": "Sinhala",
+}
 
 
 def detect_script(col: Column) -> Column:
-    """Jpan with any kana, Kore with any Hangul, else the script with most letters (in the order above on ties), Zyyy
-    without letters."""
-    count = lambda name: F.regexp_count(col, F.lit(rf"\p{{Is{name}}}"))
+    """Jpan with any kana, else the script with most letters (in the order above on ties; Kore for Hangul), Zyyy without
+    letters."""
+    count = lambda name: F.regexp_count(col, F.lit(rf"[\p{{Is{name}}}&&\p{{L}}]"))
     counts = [F.struct(count(name).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, name) in enumerate(SCRIPTS.items())]
     most = F.array_max(F.array(*counts))
     return (
-        F.when(F.regexp_like(col, F.lit(r"[\p{IsHiragana}\p{IsKatakana}]")), "Jpan").when(F.regexp_like(col, F.lit(r"\p{IsHangul}")), "Kore").when(most["n"] > 0, most["code"]).otherwise("Zyyy")
+        F.when(F.regexp_like(col, F.lit(r"[\p{IsHiragana}\p{IsKatakana}&&\p{L}]")), "Jpan").when(most["n"] > 0, most["code"]).otherwise("Zyyy")
     )
 
 

@@ -333,14 +333,22 @@ def compile_policy(spark, sf_dir):
 
 @query(
     "scale_plan",
-    """WITH c AS (SELECT *, coalesce(CASE WHEN p_size % 5 <> 0 THEN p_size END, CASE WHEN p_type LIKE '%ECONOMY%' THEN 6 WHEN p_type LIKE '%SMALL%' THEN 12 WHEN p_type LIKE '%STANDARD%' THEN 30 WHEN p_type LIKE '%MEDIUM%' THEN 40 WHEN p_type LIKE '%LARGE%' THEN 90 WHEN p_type LIKE '%PROMO%' THEN 150 END, 30)::double AS cm FROM part),
-    b AS (SELECT *, CASE WHEN cm <= 8 THEN 'tiny' WHEN cm <= 20 THEN 'small' WHEN cm <= 45 THEN 'medium' WHEN cm <= 120 THEN 'large' ELSE 'huge' END AS band FROM c),
-    s AS (SELECT *, CASE band WHEN 'tiny' THEN 0.22 WHEN 'small' THEN 0.3 WHEN 'medium' THEN 0.4 WHEN 'large' THEN 0.5 ELSE 0.58 END::double AS share FROM b),
-    r AS (SELECT *, round(greatest(0.18, least(0.6, share * 0.8)), 4) AS low, round(greatest(0.18, least(0.6, share * 1.2)), 4) AS high FROM s)
-    SELECT p_partkey AS part_id, cm, band, low, high, round((low + high) / 2 * (low + high) / 2 * 1.25, 6) AS area FROM r""",
+    """WITH c AS (SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size * 3.5::double WHEN p_type LIKE 'ECONOMY%' THEN 6 WHEN p_type LIKE 'SMALL%' THEN 13 WHEN p_type LIKE 'STANDARD%' THEN 30 WHEN p_type LIKE 'LARGE%' THEN 90 END::double AS cm,
+      CASE p_partkey % 4 WHEN 0 THEN 'close_up' WHEN 1 THEN 'medium' WHEN 2 THEN 'wide' END AS asked FROM part),
+    f AS (SELECT *, CASE WHEN cm / 55 <= 0.6 THEN 'close_up' WHEN cm / 120 <= 0.6 THEN 'medium' ELSE 'wide' END AS tightest FROM c),
+    g AS (SELECT *, coalesce(asked = tightest OR (asked = 'close_up' AND cm / 55 <= 0.6 AND cm / 35 >= 0.18) OR (asked = 'medium' AND cm / 120 <= 0.6 AND cm / 80 >= 0.18) OR (asked = 'wide' AND cm / 300 <= 0.6 AND cm / 180 >= 0.18), false) AS taken FROM f),
+    h AS (SELECT *, CASE WHEN taken THEN asked ELSE tightest END AS framing FROM g),
+    s AS (SELECT *, greatest(0.18::double, least(cm / CASE framing WHEN 'close_up' THEN 55 WHEN 'medium' THEN 120 ELSE 300 END, 0.6::double)) AS l, greatest(0.18::double, least(cm / CASE framing WHEN 'close_up' THEN 35 WHEN 'medium' THEN 80 ELSE 180 END, 0.6::double)) AS u FROM h),
+    r AS (SELECT *, round(CASE WHEN u - l < 0.04 AND l > 0.18 THEN u - 0.06 ELSE l END, 3) AS low, round(CASE WHEN u - l < 0.04 AND l <= 0.18 THEN l + 0.06 ELSE u END, 3) AS high FROM s)
+    SELECT p_partkey AS part_id, cm, CASE WHEN cm < 8 THEN 'tiny' WHEN cm < 20 THEN 'small' WHEN cm < 45 THEN 'medium' WHEN cm < 120 THEN 'large' WHEN cm >= 120 THEN 'xlarge' END AS band,
+      CASE WHEN cm IS NOT NULL THEN framing END AS framing, CASE WHEN cm IS NOT NULL THEN low END AS low, CASE WHEN cm IS NOT NULL THEN high END AS high,
+      CASE WHEN cm IS NOT NULL AND asked IS NOT NULL AND NOT taken THEN 'framing ' || asked || ' can''t show a ' || round_even(cm, 0)::bigint || ' cm product as the hero; used ' || tightest END AS note,
+      CASE WHEN cm IS NOT NULL THEN round(low * low * 0.5 / 0.8, 6) END AS area_low, CASE WHEN cm IS NOT NULL THEN round(high * high * 0.5 / 0.8, 6) END AS area_high FROM r""",
 )
 def scale_plan(spark, sf_dir):
-    plan = N.scale_plan(F.when(F.col("p_size") % 5 != 0, F.col("p_size")), F.col("p_type"), F.lit(1.25))
+    asked = F.when(F.col("p_partkey") % 4 == 0, "close_up").when(F.col("p_partkey") % 4 == 1, "medium").when(F.col("p_partkey") % 4 == 2, "wide")
+    words = [("ECONOMY", 6), ("SMALL", 13), ("STANDARD", 30), ("LARGE", 90)]
+    plan = N.scale_plan(F.when(F.col("p_size") % 5 != 0, F.col("p_size") * F.lit(3.5)), F.col("p_type"), asked, F.lit(0.5), 0.8, words)
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), plan.alias("p")).select("part_id", "p.*")
 
 

@@ -8,7 +8,7 @@ from assaykit.functions import text as X
 from assaykit.plans.registry import query
 from assaykit.sources.bridge import table, twin
 
-NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower({t}), '" + X.DASHES + r"', '-------'), '[^\p{{L}}\p{{N}}\p{{M}}\p{{S}}\p{{Z}}\s%.,:/-]', '', 'g'), '\s+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(regexp_replace(translate(lower({t}), '" + X.DASHES + r"', '------------'), '[^\p{{L}}\p{{N}}\p{{M}}\p{{S}}\p{{Z}}\s%.,:/-]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def normal(t: str) -> str:
@@ -113,7 +113,7 @@ TERMS = ["the", "pour", "schung", "asco", "hatred"]
 
 @query(
     "blocklist",
-    rf"""SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(string_split(regexp_replace(translate(lower(text), '{X.SWAPS[0]}', '{X.SWAPS[1]}'), '[^\p{{L}}]+', ' ', 'g'), ' ')) AS term FROM documents) x
+    rf"""SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(string_split(regexp_replace(translate(lower(text), '013457@$', 'oieastas'), '[^\p{{L}}\p{{M}}]+', ' ', 'g'), ' ')) AS term FROM documents) x
     WHERE term IN ({", ".join(f"'{t}'" for t in TERMS)})""",
 )
 def blocklist(spark, sf_dir):
@@ -122,16 +122,37 @@ def blocklist(spark, sf_dir):
 
 @query(
     "injection_signals",
-    "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in X.SIGNALS.items()) + ") AS signals FROM conversations",
+    r"""SELECT conv_id, turn, concat_ws(',',
+      CASE WHEN regexp_matches(lower(text), '(ignore|disregard|forget)\s+((all|any)\s+)?(the\s+)?(previous|prior|above|earlier)\s+(instructions|prompt|rules|messages)')
+        OR regexp_matches(lower(text), '(ignore|disregard|forget)\s+(all|any|every)\s+((the|your)\s+)?(rules|instructions|guidelines|checks)')
+        OR regexp_matches(lower(text), '\b(approve|pass)\s+(this|the)\s+(ad|image)\b') OR regexp_matches(lower(text), 'mark\s+(all|every)\s+(the\s+)?checks?\s+(as\s+)?pass')
+        OR regexp_matches(lower(text), 'you\s+are\s+now\s') OR regexp_matches(lower(text), 'new\s+instructions\s*:')
+        OR regexp_matches(lower(text), 'reveal\s+(your|the)\s+(system\s+)?prompt') OR regexp_matches(lower(text), 'act\s+as\s+(an?\s+)?(unrestricted|jailbroken|dan)\b') THEN 'role_override' END,
+      CASE WHEN regexp_matches(lower(text), '<\s*/?\s*(system|assistant|tool|untrusted[^>]*)\s*>') OR regexp_matches(lower(text), '\[/?(system|inst)\]')
+        OR regexp_matches(lower(text), '<\|(im_start|im_end|system|endoftext)\|>') OR regexp_matches(lower(text), '(^|\n)\s*(system|assistant)\s*:') THEN 'fake_marker' END,
+      CASE WHEN regexp_matches(text, '[\x{E0000}-\x{E007F}]') THEN 'unicode_tags' END) AS signals FROM conversations""",
 )
 def injection_signals(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.injection_signals(F.col("text")), ",").alias("signals"))
 
 
+# RE2 has no lookbehind: the character before a phone number is taken along and put back. Its words are of ASCII letters:
+# other letters beside a digit get a sign for the while that is one
+OTHER = "À-ÖØ-öø-ɏ"
+PERSONAL_SQL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED:email]"),
+    ("card", r"\b(?:[0-9][ -]?){13,19}\b", "[REDACTED:card]"),
+    ("aadhaar", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "[REDACTED:aadhaar]"),
+    ("pan", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", "[REDACTED:pan]"),
+    ("phone", r"(^|[^\w-])\+?[0-9][0-9\s().-]{8,}[0-9]\b", r"\1[REDACTED:phone]"),
+]
+
+
 def _redacted() -> str:
     sql, kinds = "SELECT doc_id, text AS t0 FROM documents", []
-    for i, (kind, pattern) in enumerate(X.PERSONAL):
-        sql = f"SELECT *, regexp_replace(t{i}, '{pattern}', '[{kind}]', 'g') AS t{i + 1} FROM ({sql}) s{i}"
+    for i, (kind, pattern, mark) in enumerate(PERSONAL_SQL):
+        signed = rf"regexp_replace(regexp_replace(t{i}, '([0-9][ -]?)([{OTHER}])', '\1_QQ_\2', 'g'), '([{OTHER}])([0-9])', '\1_QQ_\2', 'g')"
+        sql = f"SELECT *, replace(regexp_replace({signed if kind == 'card' else f't{i}'}, '{pattern}', '{mark}', 'g'), '_QQ_', '') AS t{i + 1} FROM ({sql}) s{i}"
         kinds.append(f"CASE WHEN regexp_matches(t{i}, '{pattern}') THEN '{kind}' END")
     return f"SELECT doc_id, t{len(kinds)} AS redacted, concat_ws(',', {', '.join(kinds)}) AS kinds FROM ({sql}) s"
 
@@ -143,11 +164,11 @@ def pii_redact(spark, sf_dir):
 
 @query(
     "parse_reasons",
-    """SELECT doc_id, concat_ws(',', CASE doc_id % 3 WHEN 0 THEN 'product=swap' WHEN 1 THEN 'product=blur' END, 'text=' || CASE doc_id % 2 WHEN 0 THEN 'crop' ELSE 'typo' END) AS reasons FROM documents""",
+    """SELECT doc_id, concat_ws(',', CASE doc_id % 3 WHEN 0 THEN 'context=season' WHEN 1 THEN 'context=label_text' END, 'product=' || CASE doc_id % 2 WHEN 0 THEN 'pasted' ELSE 'scale' END) AS reasons FROM documents""",
 )
 def parse_reasons(spark, sf_dir):
     note = F.concat(
-        F.lit("see reason:text=typo, reason:product="), F.expr("CASE doc_id % 3 WHEN 0 THEN 'swap' WHEN 1 THEN 'blur' ELSE 'bogus' END"), F.lit(" reason:text="), F.expr("CASE doc_id % 2 WHEN 0 THEN 'crop' ELSE 'nothing' END")
+        F.lit("see reason:product=scale, reason:context="), F.expr("CASE doc_id % 3 WHEN 0 THEN 'season' WHEN 1 THEN 'label_text' ELSE 'bogus' END"), F.lit(" reason:product="), F.expr("CASE doc_id % 2 WHEN 0 THEN 'pasted' ELSE 'nothing' END")
     )
     entries = F.array_sort(F.transform(F.map_entries(X.parse_reasons(note)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return docs(spark, sf_dir).select("doc_id", F.array_join(entries, ",").alias("reasons"))
