@@ -105,31 +105,71 @@ def run_checks(df: DataFrame, key: str, names: list[str] | None = None) -> DataF
     return df.select(F.col(key).alias("item_id"), F.inline(rows))
 
 
-#: Failure codes by check, and the routes in the order they are tried.
-CODES = {"technical": "technical", "product": "product", "context": "context", "composition": "composition"}
-
-
-def triage(evals: DataFrame, max_repairs: int = 2) -> DataFrame:
-    """Route of each failed evaluation (evaluation_id, *_pass, repairs, affordable, overlay): the first that fits of
-    exhausted, technical, product, context, composition, unverified, text; a text failure goes to the overlay once
-    repairs are used up or not affordable."""
-    false = lambda d: F.coalesce(~F.col(f"{d}_pass"), F.lit(False))
-    passes = [f"{d}_pass" for d in ("technical", "text", "product", "context", "composition")]
-    any_false = reduce(lambda a, b: a | b, [F.coalesce(~F.col(p), F.lit(False)) for p in passes])
-    unknown = reduce(lambda a, b: a | b, [F.col(p).isNull() for p in passes[:4]])
-    spent = (F.col("repairs") >= max_repairs) | ~F.col("affordable")
-    only_text = false("text") & ~reduce(lambda a, b: a | b, [false(d) for d in CODES])
-    route = (
-        F.when(~any_false & ~unknown, "none")
-        .when(spent & only_text & ~F.col("overlay"), "overlay")
-        .when(spent & only_text, "text_exhausted")
-        .when(spent, "exhausted")
-        .when(false("technical"), "regenerate")
-        .when(false("product"), "repair_product")
-        .when(false("context"), "repair_context")
-        .when(false("composition"), "repair_composition")
-        .when(~any_false, "reverify")
-        .otherwise("repair_text")
+#: The failure code of a check by its name; technical checks and those of the vision judge have their own.
+CODES = {
+    "color_delta_e": "PRODUCT_COLOR_DRIFT",
+    "comp.realistic_scale": "COMPOSITION_SCALE",
+    "comp.scale_sanity": "COMPOSITION_SCALE",
+    "comp.scale_ratio": "COMPOSITION_SCALE",
+    "comp.natural_integration": "COMPOSITION_INTEGRATION",
+    "ocr_cer": "TEXT_MISMATCH",
+    "vlm_readback": "TEXT_MISMATCH",
+    "critical_tokens": "TEXT_TOKENS_MISSING",
+    "stray_text": "STRAY_TEXT",
+    "vlm_stray_text": "STRAY_TEXT",
+    "overlay_pending": "OVERLAY_PENDING",
+}
+
+
+def failure_codes(checks: DataFrame) -> DataFrame:
+    """(item_id, code, checks) of the failed checks (item_id, dimension, check_name, passed, value, gating): a code once
+    for each item, with the names of its checks. A product count says missing at 0 or null, else duplicated; context
+    checks count where gating is true. Checks without a code give none."""
+    name, dim = F.col("check_name"), F.col("dimension")
+    known = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
+    code = (
+        F.when(dim == "technical", "TECHNICAL")
+        .when(name == "product_count", F.when(F.floor(F.coalesce("value", F.lit(0))) == 0, "PRODUCT_MISSING").otherwise("PRODUCT_DUPLICATED"))
+        .when((dim == "product") & F.startswith(name, F.lit("vlm_")), "PRODUCT_CHECK")
+        .when((dim == "context") & F.col("gating"), "CONTEXT_CHECK")
+        .otherwise(F.try_element_at(known, name))
     )
-    codes = F.array_join(F.array_compact(F.array(*[F.when(false(d), F.lit(d)) for d in ("technical", "text", "product", "context", "composition")])), ",")
-    return evals.select("evaluation_id", codes.alias("codes"), route.alias("route"))
+    rows = checks.where(~F.col("passed")).select("item_id", code.alias("code"), "check_name").where("code IS NOT NULL")
+    return rows.groupBy("item_id", "code").agg(F.array_join(F.array_sort(F.collect_set("check_name")), ",").alias("checks"))
+
+
+def triage(evals: DataFrame, max_repairs: int = 2, text_repairs: int = 1) -> DataFrame:
+    """(evaluation_id, codes, route, action): the first route that fits an evaluation, and what it does.
+
+    evals: evaluation_id, <dimension>_pass (null: unverified), composition_judged (false: none was asked for), repairs
+    and text_repairs used, affordable, stray (text outside the zone), in_zone (product in it), overlay (overlay-only
+    text, or one pending). Without a repair left a failure that only a new image mends goes to review; text is laid
+    over in any case. codes: the dimensions that failed.
+    """
+    failed = {d: F.coalesce(~F.col(f"{d}_pass"), F.lit(False)) for d in ("technical", "text", "product", "context", "composition")}
+    unjudged = F.coalesce(~F.col("composition_judged"), F.lit(False)) & F.col("composition_pass").isNull()
+    open_ = [F.col("product_pass").isNull(), F.col("context_pass").isNull(), F.col("composition_pass").isNull() & ~unjudged]
+    passes = reduce(lambda a, b: a & b, [F.col(f"{d}_pass") for d in ("technical", "text", "product", "context")]) & (F.col("composition_pass") | unjudged)
+    can = F.coalesce((F.col("repairs") < max_repairs) & F.col("affordable"), F.lit(False))
+    outside = F.coalesce("stray", F.lit(False)) | F.coalesce("in_zone", F.lit(False))
+    routes: list[tuple[Column, str, str]] = [
+        (passes, "passed", "approve"),
+        (~F.coalesce("technical_pass", F.lit(False)), "technical", "regenerate"),
+        *[(failed[d], d, f"repair_{d}") for d in ("product", "context", "composition")],
+        (reduce(lambda a, b: a | b, open_), "unverified", "needs_review"),
+        (outside, "text_outside_zone", "clean_plate"),
+        (F.coalesce("overlay", F.lit(False)), "overlay_only", "overlay"),
+        (failed["text"] & can & (F.col("text_repairs") < text_repairs), "text_in_zone", "repair_text"),
+        (F.lit(True), "text_exhausted", "overlay"),
+    ]
+    needs_image = ("technical", "product", "context", "composition", "text_outside_zone")
+
+    def first(fits: Column, row: str, action: str, rest: Column) -> Column:
+        found = F.struct(F.lit(row).alias("route"), F.lit(action).alias("action"))
+        if row in needs_image:
+            found = F.when(can, found).otherwise(F.struct(F.lit("exhausted").alias("route"), F.lit("needs_review").alias("action")))
+        return F.when(fits, found).otherwise(rest)
+
+    route = reduce(lambda rest, r: first(*r, rest), reversed(routes), F.lit(None).cast("struct<route:string,action:string>"))
+    codes = F.array_join(F.array_compact(F.array(*[F.when(f, F.lit(d)) for d, f in failed.items()])), ",")
+    return evals.select("evaluation_id", codes.alias("codes"), route.alias("r")).select("evaluation_id", "codes", "r.route", "r.action")

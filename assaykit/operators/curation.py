@@ -119,13 +119,19 @@ def dataset_version(frames: dict[str, DataFrame]) -> DataFrame:
     return pool(*out)
 
 
+PARTS = 256
+
+
 def quota_sample(bases: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """Bases for each class of plan (mutation, k, capability): of the capable ones k by a seeded hash rank, every class
     starting at another place of the ranking so that bases are used evenly; shortfall where there aren't enough."""
     rank = F.md5(F.concat_ws("-", F.lit(seed), F.col("base_id"), F.col("mutation")))
     rows = bases.join(F.broadcast(plan), F.col("capabilities").bitwiseAND(F.col("capability")) == F.col("capability"))
-    w = Window.partitionBy("mutation").orderBy(rank, "base_id")
-    taken = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("k"))
+    # the best k of each of many parts first, so that one task ranks few rows of a class
+    part = Window.partitionBy("mutation", F.pmod(F.xxhash64("base_id"), F.lit(PARTS))).orderBy(rank, "base_id")
+    best = rows.withColumn("place", F.row_number().over(part)).where(F.col("place") <= F.col("k"))
+    whole = Window.partitionBy("mutation").orderBy(rank, "base_id")
+    taken = best.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= F.col("k"))
     listed = taken.groupBy("mutation").agg(F.count("*").alias("taken"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "base_id"))), lambda s: s["base_id"].cast("string")), ",").alias("bases"))
     return plan.join(listed, "mutation", "left").select("mutation", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), (F.col("k") - F.coalesce("taken", F.lit(0))).cast("long").alias("shortfall"), "bases")
 

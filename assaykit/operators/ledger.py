@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +56,14 @@ def daily_budget(calls: DataFrame, cap: float) -> DataFrame:
 
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of each call (call_id, model, unit_type, units) by the price whose prefix of the model is the longest of
-    its unit type; 0 where none fits; prices of tokens are for a million. prices: a short list (prefix, unit_type, price)."""
-    p = F.broadcast(prices.select("prefix", F.col("unit_type").alias("p_unit"), "price"))
-    rows = calls.join(p, (F.col("unit_type") == F.col("p_unit")) & F.startswith("model", F.col("prefix")), "left")
-    best = rows.groupBy("call_id", "model", "unit_type", "units").agg(F.max_by("price", F.length("prefix")).alias("price"))
+    its unit type; 0 where none fits; prices of tokens are for a million. prices: (prefix, unit_type, price), gathered
+    to one list for each unit type, from which each call takes its price in place."""
+    listed = F.sort_array(F.collect_list(F.struct(F.length("prefix").alias("n"), "prefix", "price")), asc=False)
+    p = prices.groupBy(F.col("unit_type").alias("p_unit")).agg(listed.alias("list"))
+    fits = F.filter("list", lambda x: F.startswith(F.col("model"), x["prefix"]))
+    rows = calls.join(p, F.col("unit_type") == F.col("p_unit"), "left").withColumn("price", F.get(fits, F.lit(0))["price"])
     scale = F.when(F.col("unit_type") == "tokens", 1_000_000).otherwise(1)
-    return best.select("call_id", F.round(F.coalesce(F.col("units") * F.col("price") / scale, F.lit(0.0)), 8).alias("cost"))
+    return rows.select("call_id", F.round(F.coalesce(F.col("units") * F.col("price") / scale, F.lit(0.0)), 8).alias("cost"))
 
 
 def demand(calls: DataFrame, key: str, window_s: int = 3600) -> DataFrame:
@@ -69,80 +73,128 @@ def demand(calls: DataFrame, key: str, window_s: int = 3600) -> DataFrame:
     return calls.select("call_id", key, F.count("*").over(w).alias("in_window"))
 
 
+def _walk(rows: DataFrame, by: list[str], schema: str, start: Callable[[tuple], dict], step: Callable[[dict, tuple], tuple]) -> DataFrame:
+    """step() over the rows of each key in order of at and call_id. Rows stream through their partition; only the state
+    of the key at hand is held. rows: the columns of by, at, call_id, then what step needs; step sees those from at on."""
+    width = len(by)
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in fields])
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if state is None or row[:width] != key:
+                    key, state = row[:width], start(row[width:])
+                out.append(step(state, row[width:]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "at", "call_id").mapInArrow(run, schema)
+
+
 def rate_limit(calls: DataFrame, key: str, most: int, window_s: int = 3600) -> DataFrame:
     """(call_id, admitted, retry_after): at most `most` admitted calls of a key in any window. Only admitted calls hold
     slots, so a call depends on those before it: state of one key, its admitted times of the last window."""
-    rows = calls.select("call_id", F.col(key).alias("key"), F.unix_micros("created_at").alias("at"))
+    rows = calls.select(F.col(key).alias("key"), F.unix_micros("created_at").alias("at"), "call_id")
+    window = window_s * 1_000_000
 
-    def admit(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[int] = []
-        out = []
-        for call, at in pdf.sort_values(["at", "call_id"])[["call_id", "at"]].itertuples(index=False):
-            held = [h for h in held if at - h < window_s * 1_000_000]
-            if len(held) < most:
-                held.append(at)
-                out.append((call, True, None))
-            else:
-                out.append((call, False, -((at - held[0] - window_s * 1_000_000) // 1_000_000)))
-        return pd.DataFrame(out, columns=["call_id", "admitted", "retry_after"])
+    def admit(state: dict, row: tuple) -> tuple:
+        at, call = row
+        held = state["held"] = [h for h in state["held"] if at - h < window]
+        if len(held) < most:
+            held.append(at)
+            return call, True, None
+        return call, False, -((at - held[0] - window) // 1_000_000)
 
-    return rows.groupBy("key").applyInPandas(admit, "call_id bigint, admitted boolean, retry_after bigint")
+    return _walk(rows, ["key"], "call_id bigint, admitted boolean, retry_after bigint", lambda row: {"held": []}, admit)
 
 
 def budget_walk(calls: DataFrame, cap: float, most: int, deadline_ms: int, warn: float = 0.8) -> DataFrame:
     """(call_id, blocked_by, warned, spent): calls of a run in order; a call is blocked by deadline, calls or budget, in
     that order, and then spends nothing. warned marks the one call that first passes the warning share of the cap."""
-    rows = calls.select("run_id", "call_id", F.unix_micros("created_at").alias("at"), F.col("est_cost_usd").alias("cost"))
+    rows = calls.select("run_id", F.unix_micros("created_at").alias("at"), "call_id", F.coalesce(F.col("est_cost_usd").cast("double"), F.lit(0.0)).alias("cost"))
+
+    def spend(state: dict, row: tuple) -> tuple:
+        at, call, cost = row
+        spent = state["spent"] + cost
+        reason = "deadline" if at - state["start"] > deadline_ms * 1000 else "calls" if state["n"] >= most else "budget" if spent > cap + 1e-9 else None
+        now = reason is None and not state["warned"] and spent >= warn * cap
+        if reason is None:
+            state |= {"spent": spent, "n": state["n"] + 1, "warned": state["warned"] or now}
+        return call, reason, now, round(state["spent"], 6)
+
+    return _walk(rows, ["run_id"], "call_id bigint, blocked_by string, warned boolean, spent double", lambda row: {"start": row[0], "spent": 0.0, "n": 0, "warned": False}, spend)
+
+
+#: Seconds of the slots that a key's calls are split by, so that a busy key isn't one task.
+SLOT_S = 86_400
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "call_id"])
-        spent, n, warned, start, out = 0.0, 0, False, int(pdf["at"].iloc[0]), []
-        for call, at, cost in pdf[["call_id", "at", "cost"]].itertuples(index=False):
-            cost = 0.0 if pd.isna(cost) else cost
-            reason = "deadline" if at - start > deadline_ms * 1000 else "calls" if n >= most else "budget" if spent + cost > cap + 1e-9 else None
-            now = False
-            if reason is None:
-                spent, n = spent + cost, n + 1
-                now = not warned and spent >= warn * cap
-                warned = warned or now
-            out.append((call, reason, now, round(spent, 6)))
-        return pd.DataFrame(out, columns=["call_id", "blocked_by", "warned", "spent"])
 
-    return rows.groupBy("run_id").applyInPandas(walk, "call_id bigint, blocked_by string, warned boolean, spent double")
+def _carried(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """rows with what slots (key, slot, ...) holds for their slot; slots is a row for each key and slot."""
+    names = [c for c in slots.columns if c not in ("key", "slot")]
+    s = slots.select(F.col("key").alias("__k"), F.col("slot").alias("__s"), *names)
+    return rows.join(s, F.col("key").eqNullSafe(F.col("__k")) & (F.col("slot") == F.col("__s")), "left").drop("__k", "__s")
 
 
 def failure_streaks(calls: DataFrame, key: str = "model") -> DataFrame:
-    """Length of the run of failures that ends at each failed call of a key: where a breaker would open."""
-    order = [F.col("created_at"), F.col("call_id")]
-    w = Window.partitionBy(key).orderBy(*order)
-    good = F.sum((F.col("status") == "ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = calls.withColumn("island", good)
-    at = Window.partitionBy(key, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("streak", F.count_if(F.col("status") == "error").over(at)).where("status = 'error'").select("call_id", key, "streak")
+    """Length of the run of failures that ends at each failed call of a key: where a breaker would open. Runs are
+    counted within a key's slots of time; what is open at a slot's end is carried to the next."""
+    rows = calls.select("call_id", F.col(key).alias("key"), F.unix_micros("created_at").alias("at"), "status").withColumn("slot", F.floor(F.col("at") / (SLOT_S * 1_000_000)))
+    inside = Window.partitionBy("key", "slot").orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("island", F.sum((F.col("status") == "ok").cast("int")).over(inside))
+    here = Window.partitionBy("key", "slot", "island").orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, 0)
+    bad = F.col("status") == "error"
+    ends = rows.groupBy("key", "slot", "island").agg(F.count_if(bad).alias("n")).groupBy("key", "slot").agg(F.max_by("n", "island").alias("n"), (F.max("island") > 0).alias("cut"))
+    order = Window.partitionBy("key").orderBy("slot")
+    ends = ends.withColumn("era", F.sum(F.col("cut").cast("int")).over(order))
+    ends = ends.withColumn("open", F.sum("n").over(Window.partitionBy("key", "era").orderBy("slot"))).withColumn("carry", F.lag("open").over(order)).select("key", "slot", "carry")
+    counted = rows.withColumn("streak", F.count_if(bad).over(here)).where(bad)
+    carry = F.when(F.col("island") == 0, F.coalesce("carry", F.lit(0))).otherwise(0)
+    return _carried(counted, ends).select("call_id", F.col("key").alias(key), (F.col("streak") + carry).alias("streak"))
 
 
 def breaker_states(calls: DataFrame, key: str = "model", failures: int = 5, reset_s: int = 30) -> DataFrame:
     """(call_id, state): closed, open or half_open as each call finds it. After `failures` in a row it opens, after
     reset_s seconds one call is let through; its success closes, its failure opens again. A call that finds it open is
-    refused and changes nothing, nor does a blocked one."""
-    rows = calls.select("call_id", F.col(key).alias("key"), F.unix_micros("created_at").alias("at"), "status")
-
-    def audit(pdf: pd.DataFrame) -> pd.DataFrame:
-        bad, opened, out = 0, None, []
-        for call, at, status in pdf.sort_values(["at", "call_id"])[["call_id", "at", "status"]].itertuples(index=False):
-            state = "closed" if opened is None else "half_open" if at - opened >= reset_s * 1_000_000 else "open"
-            out.append((call, state))
-            if state == "open" or status == "blocked":
-                continue
-            if status == "ok":
-                bad, opened = 0, None
-            else:
-                bad += 1
-                if state == "half_open" or bad >= failures:
-                    opened = at
-        return pd.DataFrame(out, columns=["call_id", "state"])
-
-    return rows.groupBy("key").applyInPandas(audit, "call_id bigint, state string")
+    refused and changes nothing, nor does a blocked one.
+
+    A success without a failure in the reset_s seconds before it surely leaves the breaker closed. A key's calls are
+    cut after such successes, which are found by slots of time, and each part is walked by itself.
+    """
+    reset = reset_s * 1_000_000
+    rows = calls.select(F.col(key).alias("key"), F.unix_micros("created_at").alias("at"), "call_id", F.coalesce("status", F.lit("")).alias("status"))
+    rows = rows.withColumn("slot", F.floor(F.col("at") / (max(reset_s, SLOT_S) * 1_000_000)))
+    inside = Window.partitionBy("key", "slot").orderBy("at", "call_id")
+    earlier = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    failed_at = F.when(~F.col("status").isin("ok", "blocked"), F.col("at"))
+    before = rows.groupBy("key", "slot").agg(F.max(failed_at).alias("f")).select("key", "slot", F.max("f").over(earlier).alias("before"))
+    rows = _carried(rows.withColumn("failed", F.max(failed_at).over(inside.rowsBetween(Window.unboundedPreceding, 0))), before)
+    last = F.greatest("failed", "before")
+    sure = F.when((F.col("status") == "ok") & (last.isNull() | (F.col("at") - last >= reset)), F.struct("at", "call_id"))
+    rows = rows.withColumn("sure", sure)
+    cuts = rows.groupBy("key", "slot").agg(F.max("sure").alias("c")).select("key", "slot", F.max("c").over(earlier).alias("cut"))
+    rows = _carried(rows.withColumn("own", F.max("sure").over(inside.rowsBetween(Window.unboundedPreceding, -1))), cuts)
+    part = F.coalesce("own", "cut")
+    rows = rows.select("key", part["at"].alias("part_at"), part["call_id"].alias("part_id"), "at", "call_id", "status")
+
+    def audit(state: dict, row: tuple) -> tuple:
+        at, call, status = row
+        opened = state["opened"]
+        found = "closed" if opened is None else "half_open" if at - opened >= reset else "open"
+        if found == "open" or status == "blocked":
+            return call, found
+        if status == "ok":
+            state |= {"bad": 0, "opened": None}
+        else:
+            state["bad"] += 1
+            if found == "half_open" or state["bad"] >= failures:
+                state["opened"] = at
+        return call, found
+
+    return _walk(rows, ["key", "part_at", "part_id"], "call_id bigint, state string", lambda row: {"bad": 0, "opened": None}, audit)
 
 
 def count_by(df: DataFrame, *keys: str | Column) -> DataFrame:

@@ -137,12 +137,14 @@ def work_list(briefs: DataFrame, runs: DataFrame, fresh_s: int = 60, force: bool
 
 
 def nearest_rank(df: DataFrame, column: str, p: float, *by: str) -> DataFrame:
-    """Percentile by nearest rank: place round(p (n - 1)), half to even."""
+    """Percentile by nearest rank: place round(p (n - 1)), half to even. Values are counted first, so that what is
+    sorted are distinct values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__c"))
     part = Window.partitionBy(*by)
-    rows = df.where(F.col(column).isNotNull())
-    ranked = rows.withColumns({"__r": F.row_number().over(part.orderBy(column)) - 1, "__n": F.count("*").over(part)})
+    upto = part.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"__to": F.sum("__c").over(upto), "__n": F.sum("__c").over(part)})
     at = F.bround(F.lit(float(p)) * (F.col("__n") - 1), 0).cast("long")
-    return ranked.where(F.col("__r") == at).select(*by, F.col(column).alias("value"))
+    return ranked.where((at < F.col("__to")) & (at >= F.col("__to") - F.col("__c"))).select(*by, F.col(column).alias("value"))
 
 
 def _rank_of(values: str, p: float) -> Column:
@@ -230,19 +232,17 @@ def verify_refs(cited: DataFrame, allowed: DataFrame, key: str = "ref") -> DataF
     return cited.select(key).distinct().join(known, key, "left").select(key, F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
-def lineage(candidates: DataFrame) -> DataFrame:
-    """(candidate_id, label): roots are A, B, ... by (attempt, slot) in their run; a child has its parent's label and a
-    prime, its later siblings one more each. Depth is at most 10; ids that name no parent make roots."""
-    spark = candidates.sparkSession
-    known = candidates.select(F.col("candidate_id").alias("pid"))
-    rows = candidates.join(known, F.col("parent_id") == F.col("pid"), "left").select("run_id", "candidate_id", F.col("pid").alias("parent_id"), "attempt", "slot")
-    w = Window.partitionBy("run_id", "parent_id").orderBy("attempt", "slot", "candidate_id")
-    ranked = rows.withColumn("place", F.row_number().over(w))
-    return spark.sql(
-        """WITH RECURSIVE tree AS (
-             SELECT candidate_id, chr(64 + place) AS label, 0 AS depth FROM {c} WHERE parent_id IS NULL
-             UNION ALL
-             SELECT c.candidate_id, t.label || repeat('*', c.place), t.depth + 1 FROM tree t JOIN {c} c ON c.parent_id = t.candidate_id WHERE t.depth < 10)
-           SELECT candidate_id, replace(label, '*', '′') AS label FROM tree""",
-        c=ranked,
-    )
+def lineage(candidates: DataFrame, doublings: int = 4) -> DataFrame:
+    """(candidate_id, label) of every candidate: roots are A, B, ... by (attempt, slot) in their run; a child has its
+    parent's label and a prime, its later siblings one more each. Ids that name no parent make roots. Each join doubles
+    the steps up that a row knows; deeper than 2^doublings, or in a ring of parents, the label is null."""
+    known = candidates.select(F.col("candidate_id").alias("pid")).distinct()
+    rows = candidates.join(known, F.col("parent_id") == F.col("pid"), "left")
+    place = F.row_number().over(Window.partitionBy("run_id", "pid").orderBy("attempt", "slot", "candidate_id"))
+    root = F.col("pid").isNull()
+    rows = rows.select("candidate_id", F.col("pid").alias("up"), F.when(root, F.chr(64 + place)).alias("letter"), F.when(root, 0).otherwise(place).alias("primes"))
+    for _ in range(doublings):
+        above = rows.select(F.col("candidate_id").alias("id"), F.col("up").alias("up2"), F.col("letter").alias("letter2"), F.col("primes").alias("primes2"))
+        met = rows.join(above, F.col("up") == F.col("id"), "left")
+        rows = met.select("candidate_id", F.col("up2").alias("up"), F.coalesce("letter", "letter2").alias("letter"), (F.col("primes") + F.coalesce("primes2", F.lit(0))).alias("primes"))
+    return rows.select("candidate_id", F.concat("letter", F.repeat(F.lit("′"), F.col("primes"))).alias("label"))

@@ -272,17 +272,16 @@ def append_events(spark, sf_dir):
     return W.append_events(numbered, ev)
 
 
-@query("snapshot_merge", twin("SELECT coalesce(a.key, b.key) AS key, coalesce(a.output, b.output) AS output FROM (SELECT call_id AS key, kind AS output FROM v_calls WHERE call_id % 3 <> 0) a FULL JOIN (SELECT call_id AS key, model AS output FROM v_calls WHERE call_id % 2 = 0) b ON a.key = b.key"))
+@query("snapshot_merge", twin("SELECT coalesce(a.key, b.key) AS key, coalesce(a.output, b.output) AS output FROM (SELECT call_id AS key, kind AS output FROM v_calls) a FULL JOIN (SELECT run_id AS key, status AS output FROM v_runs) b ON a.key = b.key"))
 def snapshot_merge(spark, sf_dir):
-    calls = table(spark, sf_dir, "v_calls")
-    old, new = calls.where("call_id % 3 <> 0").select(F.col("call_id").alias("key"), F.col("kind").alias("output")), calls.where("call_id % 2 = 0").select(F.col("call_id").alias("key"), F.col("model").alias("output"))
-    return W.snapshot_merge(old, new)
+    old = table(spark, sf_dir, "v_calls").select(F.col("call_id").alias("key"), F.col("kind").alias("output"))
+    return W.snapshot_merge(old, table(spark, sf_dir, "v_runs").select(F.col("run_id").alias("key"), F.col("status").alias("output")))
 
 
-@query("snapshot_replay", twin("SELECT call_id AS key, kind AS output FROM v_calls WHERE call_id % 6 = 1"))
+@query("snapshot_replay", twin("SELECT call_id AS key, kind AS output FROM v_calls"))
 def snapshot_replay(spark, sf_dir):
     calls = table(spark, sf_dir, "v_calls").select(F.col("call_id").alias("key"), F.col("kind").alias("output"))
-    return W.replay(calls.where("key % 6 = 1").select("key"), calls.where("key % 2 = 1"))
+    return W.replay(calls.select("key"), calls)
 
 
 ALIASES = [("nation_1", 1, "AA"), ("Nation 2", 2, "BB"), ("nation 2", 1, "CC"), ("NÄTION-3", 1, "DD"), ("nation 4", 3, "EE"), ("nation 4", 3, "AB")]

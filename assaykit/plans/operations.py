@@ -239,8 +239,8 @@ def verify_refs(spark, sf_dir):
     twin("""WITH RECURSIVE k AS (SELECT run_id, candidate_id, CASE WHEN parent_id IN (SELECT candidate_id FROM v_candidates) THEN parent_id END AS parent_id, attempt, slot FROM v_candidates),
     c AS (SELECT *, row_number() OVER (PARTITION BY run_id, parent_id ORDER BY attempt, slot, candidate_id) AS place FROM k),
     tree AS (SELECT candidate_id, chr(CAST(64 + place AS int)) AS label, 0 AS depth FROM c WHERE parent_id IS NULL
-      UNION ALL SELECT c.candidate_id, t.label || repeat('′', c.place), t.depth + 1 FROM tree t JOIN c ON c.parent_id = t.candidate_id WHERE t.depth < 10)
-    SELECT candidate_id, label FROM tree""").replace("WITH v_candidates", "WITH RECURSIVE v_candidates", 1).replace(", RECURSIVE k AS", ", k AS", 1),
+      UNION ALL SELECT c.candidate_id, t.label || repeat('′', c.place), t.depth + 1 FROM tree t JOIN c ON c.parent_id = t.candidate_id WHERE t.depth < 16)
+    SELECT k.candidate_id, label FROM k LEFT JOIN tree ON tree.candidate_id = k.candidate_id""").replace("WITH v_candidates", "WITH RECURSIVE v_candidates", 1).replace(", RECURSIVE k AS", ", k AS", 1),
 )
 def lineage(spark, sf_dir):
     return R.lineage(table(spark, sf_dir, "v_candidates"))
@@ -316,12 +316,38 @@ def call_demand(spark, sf_dir):
     return L.demand(table(spark, sf_dir, "v_calls"), "run_id", 86400)
 
 
-@query("rate_limit")
+def steps(columns: str, by: str, start: str, step: str, result: str) -> str:
+    """SQL that walks the calls of each key in order: state at the start, then a step for each call."""
+    text = twin(f"""WITH s AS (SELECT {by} AS key, epoch_us(created_at) AS us, call_id, row_number() OVER (PARTITION BY {by} ORDER BY created_at, call_id) AS n, {columns} FROM v_calls),
+    w AS ({start} UNION ALL {step}) SELECT {result} FROM w WHERE n > 0""")
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "rate_limit",
+    steps(
+        "status", "run_id",
+        "SELECT key, CAST(0 AS bigint) AS n, CAST(NULL AS bigint) AS call_id, CAST([] AS bigint[]) AS held, false AS admitted, CAST(NULL AS bigint) AS retry_after FROM s WHERE n = 1",
+        """SELECT key, n, call_id, CASE WHEN len(live) < 2 THEN list_append(live, us) ELSE live END, len(live) < 2, CASE WHEN len(live) >= 2 THEN CAST(ceil((live[1] + 86400000000 - us) / 1000000) AS bigint) END
+          FROM (SELECT s.key, s.n, s.call_id, s.us, [h FOR h IN w.held IF s.us - h < 86400000000] AS live FROM w JOIN s ON s.key = w.key AND s.n = w.n + 1) x""",
+        "call_id, admitted, retry_after",
+    ),
+)
 def rate_limit(spark, sf_dir):
     return L.rate_limit(table(spark, sf_dir, "v_calls"), "run_id", 2, 86400)
 
 
-@query("budget_walk")
+@query(
+    "budget_walk",
+    steps(
+        "coalesce(est_cost_usd, 0) AS cost", "run_id",
+        "SELECT key, CAST(0 AS bigint) AS n, CAST(NULL AS bigint) AS call_id, us AS began, CAST(0 AS double) AS total, 0 AS used, false AS told, CAST(NULL AS varchar) AS blocked_by, false AS warned FROM s WHERE n = 1",
+        """SELECT key, n, call_id, began, CASE WHEN b IS NULL THEN total + cost ELSE total END, CASE WHEN b IS NULL THEN used + 1 ELSE used END, told OR (b IS NULL AND total + cost >= 0.8 * 1.5), b, b IS NULL AND NOT told AND total + cost >= 0.8 * 1.5
+          FROM (SELECT s.key, s.n, s.call_id, s.cost, w.began, w.total, w.used, w.told, CASE WHEN s.us - w.began > 1728000000000 THEN 'deadline' WHEN w.used >= 40 THEN 'calls' WHEN w.total + s.cost > 1.5 + 1e-9 THEN 'budget' END AS b
+            FROM w JOIN s ON s.key = w.key AND s.n = w.n + 1) x""",
+        "call_id, blocked_by, warned, round(total, 6) AS spent",
+    ),
+)
 def budget_walk(spark, sf_dir):
     return L.budget_walk(table(spark, sf_dir, "v_calls"), 1.5, 40, 20 * 86_400_000)
 
@@ -335,7 +361,18 @@ def failure_streaks(spark, sf_dir):
     return L.failure_streaks(table(spark, sf_dir, "v_calls"))
 
 
-@query("breaker_states")
+@query(
+    "breaker_states",
+    steps(
+        "status", "run_id",
+        "SELECT key, CAST(0 AS bigint) AS n, CAST(NULL AS bigint) AS call_id, CAST(NULL AS varchar) AS state, 0 AS bad, CAST(NULL AS bigint) AS opened FROM s WHERE n = 1",
+        """SELECT key, n, call_id, state, CASE WHEN state = 'open' OR status = 'blocked' THEN bad WHEN status = 'ok' THEN 0 ELSE bad + 1 END,
+          CASE WHEN state = 'open' OR status = 'blocked' THEN opened WHEN status = 'ok' THEN NULL WHEN state = 'half_open' OR bad + 1 >= 2 THEN us ELSE opened END
+          FROM (SELECT s.key, s.n, s.call_id, s.us, s.status, w.bad, w.opened, CASE WHEN w.opened IS NULL THEN 'closed' WHEN s.us - w.opened >= 86400000000 THEN 'half_open' ELSE 'open' END AS state
+            FROM w JOIN s ON s.key = w.key AND s.n = w.n + 1) x""",
+        "call_id, state",
+    ),
+)
 def breaker_states(spark, sf_dir):
     return L.breaker_states(table(spark, sf_dir, "v_calls"), "run_id", 2, 86400)
 
@@ -419,20 +456,43 @@ def run_checks(spark, sf_dir):
     return C.run_checks(table(spark, sf_dir, "v_items"), "item_id", ["length", "digits", "lines"]).select("item_id", "dimension", "check_name", "severity", "passed", "value")
 
 
-FALSE = {d: f"coalesce(NOT {d}_pass, false)" for d in DIMENSIONS}
-SPENT = "(repairs >= 2 OR NOT affordable)"
-OTHERS = " OR ".join(FALSE[d] for d in ("technical", "product", "context", "composition"))
-TRIAGE = "SELECT *, attempt AS repairs, part_id % 4 <> 0 AS affordable, run_id % 2 = 0 AS overlay FROM (SELECT e.*, c.part_id FROM {v_evaluations} e JOIN (SELECT candidate_id, part_id FROM {v_candidates}) c ON c.candidate_id = e.candidate_id) x"
+NAMES = """SELECT candidate_id AS item_id, CAST(part_id % 4 AS double) AS value, part_id % 2 = 0 AS gating, x.dimension, x.check_name, CASE WHEN (part_id + x.n) % 11 = 0 THEN NULL ELSE (part_id + x.n) % 5 <> 0 END AS passed
+FROM {v_candidates} CROSS JOIN (VALUES (1, 'technical', 'blank'), (2, 'product', 'product_count'), (3, 'product', 'vlm_shape'), (4, 'product', 'color_delta_e'), (5, 'context', 'snow'), (6, 'composition', 'comp.scale_ratio'),
+  (7, 'composition', 'comp.realistic_scale'), (8, 'composition', 'comp.natural_integration'), (9, 'text', 'ocr_cer'), (10, 'text', 'vlm_readback'), (11, 'text', 'critical_tokens'), (12, 'text', 'stray_text'), (13, 'text', 'legibility')) AS x(n, dimension, check_name)"""
+
+
+@query(
+    "failure_codes",
+    twin(f"""WITH c AS ({NAMES.replace("{", "").replace("}", "")})
+    SELECT item_id, code, string_agg(DISTINCT check_name, ',' ORDER BY check_name) AS checks FROM (SELECT item_id, check_name, CASE
+      WHEN dimension = 'technical' THEN 'TECHNICAL' WHEN check_name = 'product_count' AND value < 1 THEN 'PRODUCT_MISSING' WHEN check_name = 'product_count' THEN 'PRODUCT_DUPLICATED'
+      WHEN check_name LIKE 'vlm!_%' ESCAPE '!' AND dimension = 'product' THEN 'PRODUCT_CHECK' WHEN dimension = 'context' AND gating THEN 'CONTEXT_CHECK' WHEN check_name = 'color_delta_e' THEN 'PRODUCT_COLOR_DRIFT'
+      WHEN check_name IN ('comp.realistic_scale', 'comp.scale_sanity', 'comp.scale_ratio') THEN 'COMPOSITION_SCALE' WHEN check_name = 'comp.natural_integration' THEN 'COMPOSITION_INTEGRATION'
+      WHEN check_name IN ('ocr_cer', 'vlm_readback') THEN 'TEXT_MISMATCH' WHEN check_name = 'critical_tokens' THEN 'TEXT_TOKENS_MISSING' WHEN check_name IN ('stray_text', 'vlm_stray_text') THEN 'STRAY_TEXT'
+      WHEN check_name = 'overlay_pending' THEN 'OVERLAY_PENDING' END AS code FROM c WHERE NOT passed) x WHERE code IS NOT NULL GROUP BY item_id, code"""),
+)
+def failure_codes(spark, sf_dir):
+    return C.failure_codes(spark.sql(NAMES, v_candidates=table(spark, sf_dir, "v_candidates")))
+
+
+TRIAGE = """SELECT e.*, attempt AS repairs, CAST(e.candidate_no % 2 AS int) AS text_repairs, c.part_id % 4 <> 0 AS affordable, e.run_id % 6 = 0 AS overlay,
+  c.part_id % 9 = 1 AS stray, c.part_id % 10 = 2 AS in_zone, e.candidate_no % 4 <> 0 AS composition_judged FROM {v_evaluations} e JOIN (SELECT candidate_id, part_id FROM {v_candidates}) c ON c.candidate_id = e.candidate_id"""
 
 
 @query(
     "triage",
-    twin(f"""WITH t AS ({TRIAGE.replace("{", "").replace("}", "")})
-    SELECT evaluation_id, concat_ws(',', {", ".join(f"CASE WHEN {FALSE[d]} THEN '{d}' END" for d in DIMENSIONS)}) AS codes,
-      CASE WHEN NOT ({OTHERS} OR {FALSE["text"]}) AND technical_pass IS NOT NULL AND text_pass IS NOT NULL AND product_pass IS NOT NULL AND context_pass IS NOT NULL THEN 'none'
-        WHEN {SPENT} AND {FALSE["text"]} AND NOT ({OTHERS}) AND NOT overlay THEN 'overlay' WHEN {SPENT} AND {FALSE["text"]} AND NOT ({OTHERS}) THEN 'text_exhausted' WHEN {SPENT} THEN 'exhausted'
-        WHEN {FALSE["technical"]} THEN 'regenerate' WHEN {FALSE["product"]} THEN 'repair_product' WHEN {FALSE["context"]} THEN 'repair_context' WHEN {FALSE["composition"]} THEN 'repair_composition'
-        WHEN NOT ({OTHERS} OR {FALSE["text"]}) THEN 'reverify' ELSE 'repair_text' END AS route FROM t"""),
+    twin(f"""WITH t AS (SELECT *, repairs < 2 AND affordable AS can FROM ({TRIAGE.replace("{", "").replace("}", "")}) x), r AS (SELECT evaluation_id,
+      concat_ws(',', CASE WHEN NOT technical_pass THEN 'technical' END, CASE WHEN NOT text_pass THEN 'text' END, CASE WHEN NOT product_pass THEN 'product' END, CASE WHEN NOT context_pass THEN 'context' END,
+        CASE WHEN NOT composition_pass THEN 'composition' END) AS codes,
+      CASE WHEN technical_pass AND text_pass AND product_pass AND context_pass AND (composition_pass OR composition_pass IS NULL AND NOT composition_judged) THEN 'passed'
+        WHEN technical_pass IS DISTINCT FROM true THEN CASE WHEN can THEN 'technical' ELSE 'exhausted' END
+        WHEN product_pass = false OR context_pass = false OR composition_pass = false THEN
+          CASE WHEN NOT can THEN 'exhausted' WHEN product_pass = false THEN 'product' WHEN context_pass = false THEN 'context' ELSE 'composition' END
+        WHEN product_pass IS NULL OR context_pass IS NULL OR composition_pass IS NULL AND composition_judged THEN 'unverified'
+        WHEN stray OR in_zone THEN CASE WHEN can THEN 'text_outside_zone' ELSE 'exhausted' END
+        WHEN overlay THEN 'overlay_only' WHEN text_pass = false AND can AND text_repairs < 1 THEN 'text_in_zone' ELSE 'text_exhausted' END AS route FROM t)
+    SELECT *, CASE route WHEN 'passed' THEN 'approve' WHEN 'technical' THEN 'regenerate' WHEN 'text_outside_zone' THEN 'clean_plate' WHEN 'text_in_zone' THEN 'repair_text' WHEN 'overlay_only' THEN 'overlay'
+      WHEN 'text_exhausted' THEN 'overlay' WHEN 'unverified' THEN 'needs_review' WHEN 'exhausted' THEN 'needs_review' ELSE 'repair_' || route END AS action FROM r"""),
 )
 def triage(spark, sf_dir):
     return C.triage(spark.sql(TRIAGE, v_evaluations=table(spark, sf_dir, "v_evaluations"), v_candidates=table(spark, sf_dir, "v_candidates")))

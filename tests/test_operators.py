@@ -1,11 +1,13 @@
 """Selection, budgets, paging, writes, enrichment and the event log on small cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions import enrich as N
+from assaykit.operators import checks as C
 from assaykit.operators import curation as K
 from assaykit.operators import ledger as L
 from assaykit.operators import runs as R
@@ -166,3 +168,69 @@ def test_table_versions_dont_depend_on_order(spark):
     df = spark.range(500).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE cast(id AS string) END AS s")
     a, b = (K.dataset_version({"t": x}).first().version for x in (df, df.orderBy(F.desc("id")).repartition(7)))
     assert a == b != K.dataset_version({"t": df.limit(499)}).first().version
+
+
+def test_triage_takes_the_first_route(spark):
+    t, f, n = True, False, None
+    names = "technical_pass text_pass product_pass context_pass composition_pass composition_judged repairs text_repairs affordable stray in_zone overlay"
+    base = dict(zip(names.split(), (t, t, t, t, t, t, 0, 0, t, f, f, f)))
+    cases = [
+        ({}, "passed", "approve"),
+        ({"technical_pass": n}, "technical", "regenerate"),
+        ({"technical_pass": f, "repairs": 2}, "exhausted", "needs_review"),
+        ({"product_pass": f, "context_pass": f}, "product", "repair_product"),
+        ({"context_pass": f, "composition_pass": f}, "context", "repair_context"),
+        ({"context_pass": f, "affordable": f}, "exhausted", "needs_review"),
+        ({"composition_pass": f, "product_pass": n}, "composition", "repair_composition"),
+        ({"composition_pass": n}, "unverified", "needs_review"),
+        ({"composition_pass": n, "composition_judged": f}, "passed", "approve"),
+        ({"context_pass": n, "repairs": 2}, "unverified", "needs_review"),
+        ({"text_pass": f, "stray": t}, "text_outside_zone", "clean_plate"),
+        ({"text_pass": f, "in_zone": t, "repairs": 2}, "exhausted", "needs_review"),
+        ({"text_pass": f, "overlay": t}, "overlay_only", "overlay"),
+        ({"text_pass": f}, "text_in_zone", "repair_text"),
+        ({"text_pass": f, "text_repairs": 1}, "text_exhausted", "overlay"),
+        ({"text_pass": n}, "text_exhausted", "overlay"),
+    ]
+    schema = "evaluation_id int, " + ", ".join(f"{c} {'int' if 'repairs' in c else 'boolean'}" for c in names.split())
+    df = spark.createDataFrame([(i, *(base | c).values()) for i, (c, _, _) in enumerate(cases)], schema)
+    got = {r.evaluation_id: (r.route, r.action) for r in C.triage(df).collect()}
+    assert got == {i: (route, action) for i, (_, route, action) in enumerate(cases)}
+
+
+def test_lineage_keeps_every_candidate(spark):
+    chain = [(1, i, i - 1 if i else None, i, 0) for i in range(15)] + [(1, 100, 0, 3, 1), (1, 101, 999, 0, 1), (2, 200, 201, 0, 0), (2, 201, 200, 0, 1)]
+    df = spark.createDataFrame(chain, "run_id int, candidate_id int, parent_id int, attempt int, slot int")
+    got = {r.candidate_id: r.label for r in R.lineage(df).collect()}
+    assert all(got[i] == "A" + "′" * i for i in range(15)) and got[100] == "A′′" and got[101] == "B" and got[200] is None and len(got) == 19
+
+
+def plain_breaker(rows, failures, reset):
+    bad, opened, out = 0, None, {}
+    for at, call, status in sorted(rows):
+        state = "closed" if opened is None else "half_open" if at - opened >= reset else "open"
+        out[call] = state
+        if state != "open" and status != "blocked":
+            bad, opened = (0, None) if status == "ok" else (bad + 1, at if state == "half_open" or bad + 1 >= failures else opened)
+    return out
+
+
+def test_breaker_and_streaks_across_slots(spark):
+    rng = random.Random(5)
+    for reset in (30, 3_600, 400_000):
+        rows, at = {"a": [], "b": []}, 0
+        for call in range(600):
+            at += rng.choice((0, 1, 20, 3_000, 40_000))
+            rows[rng.choice("aab")].append((at, call, rng.choices(("ok", "error", "blocked"), (5, 4, 1))[0]))
+        start = dt.datetime(2026, 1, 1)
+        df = spark.createDataFrame([(c, k, start + dt.timedelta(seconds=s), st) for k in rows for s, c, st in rows[k]], "call_id bigint, model string, created_at timestamp, status string")
+        got = {r.call_id: r.state for r in L.breaker_states(df, "model", 2, reset).collect()}
+        assert got == plain_breaker(rows["a"], 2, reset) | plain_breaker(rows["b"], 2, reset)
+        streaks = {}
+        for k in rows:
+            n = 0
+            for _, c, st in sorted(rows[k]):
+                n = 0 if st == "ok" else n + (st == "error")
+                if st == "error":
+                    streaks[c] = n
+        assert {r.call_id: r.streak for r in L.failure_streaks(df).collect()} == streaks
