@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,20 +81,22 @@ def missing_tokens(read: Column, tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~found(t))
 
 
-#: What a text may not hold.
-HIDDEN = r"[\x{AD}\x{61C}\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FEFF}\x{E0000}-\x{E007F}]"
+#: The format characters that a text may hold, since some scripts need them.
+JOINERS = r"\x{200C}\x{200D}"
 
 
-def validate_text(col: Column, longest: int = 80, lines: int = 3) -> Column:
-    """The first rule that a text breaks, or null."""
-    t = F.trim(col, F.lit(" \t\r\n"))
+def validate_text(col: Column, longest: int = 80, lines: int = 3, blocked: Column | None = None) -> Column:
+    """The first rule that a text breaks, or null. White space around it doesn't count; blocked says of each row
+    whether the text is on a list (see blocklist). Lengths are of the text as it is, without composition."""
+    t = F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$", "")
     return (
         F.when(col.isNull() | (F.length(t) == 0), "empty")
         .when(F.length(t) > longest, "too_long")
         .when(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) >= lines, "too_many_lines")
-        .when(F.regexp_like(t, F.lit(r"[\x00-\x09\x0B-\x1F\x7F-\x9F]")), "control")
-        .when(F.regexp_like(t, F.lit(HIDDEN)), "hidden")
+        .when(F.regexp_like(t, F.lit(r"[\p{Cc}&&[^\n]]")), "control")
+        .when(F.regexp_like(t, F.lit(rf"[\p{{Cf}}\x{{180E}}\x{{E0000}}-\x{{E007F}}&&[^{JOINERS}]]")), "hidden")
         .when(F.regexp_like(t, F.lit(r"[\x{2028}\x{2029}]")), "hidden_break")
+        .when(F.coalesce(F.lit(False) if blocked is None else blocked, F.lit(False)), "policy")
     )
 
 
@@ -201,71 +204,109 @@ def vote(reads: DataFrame, k: int = 2) -> DataFrame:
 
 
 def substring_distance(read: str, wanted: str) -> tuple[int, int]:
-    """Least edit distance of wanted to any part of read, and the earliest end of such a part."""
-    row = list(range(len(wanted) + 1))
-    best, end = row[-1], 0
+    """Least edit distance of wanted to any part of read, and the earliest end of such a part.
+
+    Myers' bit vectors: a column of the distance table is two integers, so a character of read costs a few operations
+    whatever the length of wanted.
+    """
+    size = len(wanted)
+    if not size:
+        return 0, 0
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    places: dict[str, int] = {}
+    for i, c in enumerate(wanted):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, here, best, end = full, 0, size, size, 0
     for j, c in enumerate(read, 1):
-        left, row[0] = row[0], 0
-        for i, w in enumerate(wanted, 1):
-            here = min(row[i] + 1, row[i - 1] + 1, left + (w != c))
-            left, row[i] = row[i], here
-        if row[-1] < best:
-            best, end = row[-1], j
+        same = places.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(across | up)) & full, up & across
+        here += bool(more & top) - bool(less & top)
+        if here < best:
+            best, end = here, j
+        more = more << 1 & full
+        both = same | down
+        up, down = (less << 1 | ~(both | more)) & full, more & both
     return best, end
 
 
 def approx_find(texts: DataFrame, wanted: DataFrame, gram: int = 5) -> DataFrame:
     """(item_id, doc_id, distance, cer) of each wanted text (item_id, required) in each text (doc_id, text) that shares
-    a run of `gram` words with it: the least edit distance to any part of the text.
+    a run of `gram` words with it, or the whole of a wanted text of fewer words: the least edit distance to any part of
+    the text, in lower case with single spaces.
 
-    Runs of words are joined by hash; a hit gives a piece of the text long enough for the whole of the wanted text
-    around it, and only pieces are compared, exactly. Equal pieces are compared once.
+    Runs of words are joined by hash and only say which pairs are compared; the distance is that over the whole text.
+    Equal texts are compared once, whatever their ids. Null and empty texts are in no pair.
     """
-    split = lambda c: F.array_remove(F.split(F.regexp_replace(F.lower(c), r"\s+", " "), " "), "")
-
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
-        n = F.greatest(F.size("w") - gram + 1, F.lit(0))
-        runs = F.transform(F.slice("w", 1, n), lambda x, i: F.xxhash64(*[F.get("w", i + d) for d in range(gram)]))
-        return df.select(*keep, F.size("w").alias("len"), F.posexplode(runs).alias("at", "g"))
-
-    items = grams(wanted.select("item_id", F.lower("required").alias("required"), split(F.col("required")).alias("w")), "item_id", "required").select(
-        "item_id", "required", "len", F.col("at").alias("item_at"), "g"
-    )
-    docs = texts.select("doc_id", split(F.col("text")).alias("w"))
-    first = F.greatest(F.col("at") - F.col("item_at") - 2, F.lit(0))
-    # only runs are joined; the words are fetched for the hits
-    hits = grams(docs, "doc_id").drop("len").join(items, "g").select("item_id", "doc_id", "required", "len", first.alias("first")).distinct()
-    words = docs.select(F.col("doc_id").alias("d"), "w")
-    hits = hits.join(words, F.col("doc_id") == F.col("d")).select("item_id", "doc_id", "required", F.array_join(F.slice("w", F.col("first") + 1, F.col("len") + 4), " ").alias("piece")).distinct()
+    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    split = lambda c: F.split(c, " ")
+
+    def runs(words: str, size: Column) -> Column:
+        n = F.size(words) - size + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+
+    items = wanted.select("item_id", clean(F.col("required")).alias("required")).where("required <> ''").withColumn("w", split(F.col("required")))
+    items = items.withColumn("size", F.least(F.size("w"), F.lit(gram)))
+    sizes = items.agg(F.collect_set("size").alias("sizes"))  # one row of at most gram numbers
+    keys = items.select("item_id", "required", F.explode(F.array_distinct(runs("w", F.col("size")))).alias("g"))
+    named = texts.select("doc_id", clean(F.col("text")).alias("text")).where("text <> ''").withColumn("key", F.sha2("text", 256))
+    words = named.select("key", split(F.col("text")).alias("w")).join(F.broadcast(sizes))
+    grams = words.select("key", F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda s: runs("w", s))))).alias("g"))
+    pairs = grams.join(keys, "g").select("key", "item_id", "required").distinct()
 
     @F.pandas_udf(T.IntegerType())
-    def distance(pieces: pd.Series, required: pd.Series) -> pd.Series:
-        return pd.Series([substring_distance(p, re.sub(r"\s+", " ", r).strip())[0] for p, r in zip(pieces, required)], dtype="int32")
-
-    found = hits.select("item_id", "doc_id", "required", distance("piece", "required").alias("d")).groupBy("item_id", "doc_id", "required").agg(F.min("d").alias("distance"))
-    return found.select("item_id", "doc_id", "distance", F.round(F.col("distance") / F.length(F.trim(F.regexp_replace("required", r"\s+", " "))), 6).alias("cer"))
+    def distance(read: pd.Series, required: pd.Series) -> pd.Series:
+        return pd.Series([substring_distance(t, r)[0] for t, r in zip(read, required)], dtype="int32")
+
+    met = pairs.join(named.select("key", "text").dropDuplicates(["key"]), "key").select("key", "item_id", distance("text", "required").alias("distance"), F.length("required").alias("n"))
+    return met.join(named.select("key", "doc_id"), "key").select("item_id", "doc_id", "distance", F.round(F.col("distance") / F.col("n"), 6).alias("cer"))
+
+
+def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
+    """The fewest edits that turn required into read, as (chg, place, None) and (ins, place before, character). Equal
+    ends are set aside; of equal scripts the one that keeps or changes characters latest."""
+    low, high = 0, min(len(required), len(read))
+    while low < high and required[low] == read[low]:
+        low += 1
+    tail = 0
+    while tail < high - low and required[-1 - tail] == read[-1 - tail]:
+        tail += 1
+    a, b = required[low : len(required) - tail], read[low : len(read) - tail]
+    codes, steps = np.array([ord(c) for c in b], np.int32), np.arange(len(b) + 1, dtype=np.int32)
+    table = np.empty((len(a) + 1, len(b) + 1), np.int32)
+    table[0] = steps
+    for i, c in enumerate(a, 1):
+        row = table[i]
+        row[0] = i
+        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (codes != ord(c)))
+        row[:] = np.minimum.accumulate(row - steps) + steps  # an insertion costs one for each place
+    i, j, out = len(a), len(b), []
+    while i or j:
+        if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            if a[i] != b[j]:
+                out.append(("chg", low + i, None))
+        elif j and table[i, j] == table[i, j - 1] + 1:
+            j -= 1
+            out.append(("ins", low + i, b[j]))
+        else:
+            i -= 1
+            out.append(("chg", low + i, None))
+    return out[::-1]
 
 
 def error_keys(df: DataFrame) -> DataFrame:
-    """(item_id, reader, kind, pos, glyph) of each edit that turns required into read: chg at a position of required,
-    ins before one, with the inserted character. df: (item_id, reader, required, read)."""
-    from difflib import SequenceMatcher
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for item, reader, required, read in pdf[["item_id", "reader", "required", "read"]].itertuples(index=False):
-                if required == read:
-                    continue
-                for op, a, b, c, d in SequenceMatcher(None, required or "", read or "", autojunk=False).get_opcodes():
-                    if op in ("replace", "delete"):
-                        out += [(item, reader, "chg", p, None) for p in range(a, b)]
-                    if op == "insert" or op == "replace" and d - c > b - a:
-                        extra = read[c + (b - a if op == "replace" else 0) : d]
-                        out += [(item, reader, "ins", b, g) for g in extra]
-            yield pd.DataFrame(out, columns=["item_id", "reader", "kind", "pos", "glyph"])
-
-    return df.select("item_id", "reader", "required", "read").repartition("item_id", "reader").mapInPandas(run, "item_id bigint, reader string, kind string, pos int, glyph string")
+    """(item_id, reader, kind, pos, glyph) of a read against what was required: chg at a changed or left-out character
+    of required, ins before one with the inserted character, by the fewest edits; missing (pos -1) with each critical
+    token that the read lacks. df: (item_id, reader, required, read); null texts are empty."""
+    both = df.select("item_id", "reader", F.coalesce("required", F.lit("")).alias("required"), F.coalesce("read", F.lit("")).alias("read")).where("required <> read")
+
+    @F.pandas_udf("array<struct<kind:string,pos:int,glyph:string>>")
+    def script(required: pd.Series, read: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "pos": p, "glyph": g} for k, p, g in edits(a, b)] for a, b in zip(required, read)])
+
+    lacking = F.transform(missing_tokens(F.lower("read"), critical_tokens(F.col("required"))), lambda t: F.struct(F.lit("missing").alias("kind"), F.lit(-1).alias("pos"), t.alias("glyph")))
+    return both.select("item_id", "reader", F.inline(F.concat(script("required", "read"), lacking)))
 
 
 def text_decision(reads: DataFrame, errors: DataFrame) -> DataFrame:

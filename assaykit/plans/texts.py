@@ -99,13 +99,14 @@ def stray_agreement(spark, sf_dir):
 
 @query(
     "validate_text",
-    rf"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) > 80 THEN 'too_long' WHEN regexp_matches(t, '[\x00-\x09\x0B-\x1F\x{{7F}}-\x{{9F}}]') THEN 'control'
-      WHEN regexp_matches(t, '{X.HIDDEN}') THEN 'hidden' WHEN regexp_matches(t, '[\x{{2028}}\x{{2029}}]') THEN 'hidden_break' END AS problem
-    FROM (SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents) l) p GROUP BY problem""",
+    r"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) > 80 THEN 'too_long' WHEN regexp_matches(t, '\p{Cc}') THEN 'control'
+      WHEN regexp_matches(replace(replace(t, chr(8204), ''), chr(8205), ''), '[\p{Cf}\x{180E}\x{E0000}-\x{E007F}]') THEN 'hidden' WHEN regexp_matches(t, '[\x{2028}\x{2029}]') THEN 'hidden_break'
+      WHEN contains(lower(t), 'spam') THEN 'policy' END AS problem
+    FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^[\s\p{Z}\x1C-\x1F\x{85}]+|[\s\p{Z}\x1C-\x1F\x{85}]+$', '', 'g') AS t FROM documents) l) p GROUP BY problem""",
 )
 def validate_text(spark, sf_dir):
     lines = docs(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy(X.validate_text(F.col("line")).alias("problem")).agg(F.count("*").alias("n"))
+    return lines.groupBy(X.validate_text(F.col("line"), blocked=F.contains(F.lower("line"), F.lit("spam"))).alias("problem")).agg(F.count("*").alias("n"))
 
 
 TERMS = ["the", "pour", "schung", "asco", "hatred"]

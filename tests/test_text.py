@@ -1,5 +1,7 @@
 """Text functions on cases with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,68 @@ def test_scale_plan_by_framing(spark):
     for r, (cm, asked, framing, low, high, note) in zip(rows, cases):
         assert r.p.framing == framing and r.p.high == high and (r.p.note == note or note is None), (cm, asked, r)
         assert abs(r.p.low - low) < 0.001 or r.p.high - r.p.low >= 0.059, (cm, r)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_distances_and_edits_against_plain_ones():
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(rng.randrange(n)))
+    for _ in range(300):
+        a, b = word(14), word(9)
+        parts = {a[i:j] for i in range(len(a) + 1) for j in range(i, len(a) + 1)}
+        best, end = X.substring_distance(a, b)
+        assert best == min(plain_distance(p, b) for p in parts)
+        assert not b or best == min(plain_distance(a[i:end], b) for i in range(end + 1))
+        script = X.edits(a, b)
+        assert len(script) == plain_distance(a, b)
+        # each character of a stays, is changed, or goes; what is inserted must be in b
+        assert all(0 <= p < len(a) for k, p, _ in script if k == "chg") and all(0 <= p <= len(a) and g in b for k, p, g in script if k == "ins")
+    assert X.edits("sale", "sale") == [] and X.edits("sale 30%", "sael 30%x")[-1] == ("ins", 8, "x")
+    long = "the quick brown fox " * 200
+    assert X.substring_distance("x" * 500 + long + "y", long)[0] == 0
+
+
+def test_error_keys_name_missing_tokens(spark):
+    rows = [(1, "a", "SALE 30% OFF", "SALE 38% OFF"), (1, "b", "SALE 30% OFF", None), (2, "a", None, None), (3, "a", "Sale", "Sale")]
+    df = spark.createDataFrame(rows, "item_id bigint, reader string, required string, read string")
+    got = sorted((r.item_id, r.reader, r.kind, r.pos, r.glyph) for r in X.error_keys(df).where("reader = 'a'").collect())
+    assert got == [(1, "a", "chg", 6, None), (1, "a", "missing", -1, "30%")]
+    assert {r.glyph for r in X.error_keys(df).where("reader = 'b' AND kind = 'missing'").collect()} == {"30%", "off", "sale"}
+
+
+def test_approx_find_by_whole_texts(spark):
+    rng = random.Random(11)
+    words = [f"{c}{n}" for c in "abcdefgh" for n in range(6)]
+    required = [" ".join(rng.choices(words, k=rng.choice((1, 3, 8, 14)))) for _ in range(8)]
+    texts = []
+    for i in range(30):
+        t = rng.choices(words, k=20) + required[i % 8].split()
+        for _ in range(rng.randrange(4)):
+            t.insert(rng.randrange(len(t)), rng.choice(words))
+        texts.append("  ".join(t).upper())
+    texts += texts[:3]
+    docs = spark.createDataFrame([(None if i > 30 else i, t) for i, t in enumerate(texts)] + [(50, None), (51, " ")], "doc_id bigint, text string")
+    wanted = spark.createDataFrame([(i, r) for i, r in enumerate(required)] + [(90, ""), (91, None)], "item_id bigint, required string")
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = []
+    for i, t in enumerate(texts):
+        t = " ".join(t.lower().split())
+        for j, r in enumerate(required):
+            n = min(5, len(r.split()))
+            if runs(t.split(), n) & runs(r.split(), n):
+                want.append((j, None if i > 30 else i, X.substring_distance(t, r)[0]))
+    got = [(r.item_id, r.doc_id, r.distance) for r in X.approx_find(docs, wanted).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_admission_by_list_and_format_characters(spark):
+    df = texts(spark, ["a\u070fb", "a\u200db", "\u00a0\u2028ok\u2029", "buy SPAM", "a\r\nb\r\nc"])
+    assert column(df, X.validate_text(F.col("text"), blocked=F.contains(F.lower("text"), F.lit("spam")))) == ["hidden", None, None, "policy", None]
