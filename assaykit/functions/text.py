@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -264,7 +263,7 @@ def approx_find(texts: DataFrame, wanted: DataFrame, gram: int = 5) -> DataFrame
 
 def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
     """The fewest edits that turn required into read, as (chg, place, None) and (ins, place before, character). Equal
-    ends are set aside; of equal scripts the one that keeps or changes characters latest."""
+    ends are set aside; of equal scripts the one that keeps or changes characters latest. By Myers' bit vectors, walked back."""
     low, high = 0, min(len(required), len(read))
     while low < high and required[low] == read[low]:
         low += 1
@@ -272,21 +271,31 @@ def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
     while tail < high - low and required[-1 - tail] == read[-1 - tail]:
         tail += 1
     a, b = required[low : len(required) - tail], read[low : len(read) - tail]
-    codes, steps = np.array([ord(c) for c in b], np.int32), np.arange(len(b) + 1, dtype=np.int32)
-    table = np.empty((len(a) + 1, len(b) + 1), np.int32)
-    table[0] = steps
-    for i, c in enumerate(a, 1):
-        row = table[i]
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (codes != ord(c)))
-        row[:] = np.minimum.accumulate(row - steps) + steps  # an insertion costs one for each place
+    full = (1 << len(a)) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    # columns of the distance table: where it rises and falls downwards, and from the column before
+    columns = [(full, 0, 0, 0)]
+    for c in b:
+        up, down = columns[-1][:2]
+        same = places.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = (down | ~(across | up)) & full, up & across
+        more, less, both = (rise << 1 | 1) & full, fall << 1 & full, same | down
+        columns.append(((less | ~(both | more)) & full, more & both, rise, fall))
     i, j, out = len(a), len(b), []
     while i or j:
-        if i and j and table[i, j] == table[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+        left = diagonal = 0
+        if i and j:
+            at = i - 1
+            left = (columns[j][3] >> at & 1) - (columns[j][2] >> at & 1)
+            diagonal = left + (columns[j - 1][1] >> at & 1) - (columns[j - 1][0] >> at & 1)
+        if i and j and diagonal + (a[i - 1] != b[j - 1]) == 0:
             i, j = i - 1, j - 1
             if a[i] != b[j]:
                 out.append(("chg", low + i, None))
-        elif j and table[i, j] == table[i, j - 1] + 1:
+        elif j and (not i or left == -1):
             j -= 1
             out.append(("ins", low + i, b[j]))
         else:
@@ -300,6 +309,8 @@ def error_keys(df: DataFrame) -> DataFrame:
     of required, ins before one with the inserted character, by the fewest edits; missing (pos -1) with each critical
     token that the read lacks. df: (item_id, reader, required, read); null texts are empty."""
     both = df.select("item_id", "reader", F.coalesce("required", F.lit("")).alias("required"), F.coalesce("read", F.lit("")).alias("read")).where("required <> read")
+    # a script costs far more than its bytes: spread what few files hold over as many tasks as a shuffle has
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id", "reader")
 
     @F.pandas_udf("array<struct<kind:string,pos:int,glyph:string>>")
     def script(required: pd.Series, read: pd.Series) -> pd.Series:
