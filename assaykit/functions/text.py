@@ -240,17 +240,18 @@ def approx_find(texts: DataFrame, wanted: DataFrame, gram: int = 5) -> DataFrame
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     split = lambda c: F.split(c, " ")
 
-    def runs(words: str, size: Column) -> Column:
-        n = F.size(words) - size + 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    def runs(df: DataFrame, *keep: str) -> DataFrame:
+        """The hash of each run of each of the row's sizes. Words are exploded first, so that hashing is compiled."""
+        each = df.select(*keep, "w", "sizes", F.posexplode("w").alias("i", "x"))
+        hashes = [F.when(F.array_contains("sizes", n) & (F.col("i") + n <= F.size("w")), F.xxhash64("x", *[F.get("w", F.col("i") + d) for d in range(1, n)])) for n in range(1, gram + 1)]
+        return each.select(*keep, F.explode(F.array(*hashes)).alias("g")).where("g IS NOT NULL")
 
     items = wanted.select("item_id", clean(F.col("required")).alias("required")).where("required <> ''").withColumn("w", split(F.col("required")))
-    items = items.withColumn("size", F.least(F.size("w"), F.lit(gram)))
-    sizes = items.agg(F.collect_set("size").alias("sizes"))  # one row of at most gram numbers
-    keys = items.select("item_id", "required", F.explode(F.array_distinct(runs("w", F.col("size")))).alias("g"))
+    items = items.withColumn("sizes", F.array(F.least(F.size("w"), F.lit(gram))))
+    sizes = items.agg(F.array_distinct(F.flatten(F.collect_set("sizes"))).alias("sizes"))  # one row of at most gram numbers
+    keys = runs(items, "item_id", "required").distinct()
     named = texts.select("doc_id", clean(F.col("text")).alias("text")).where("text <> ''").withColumn("key", F.sha2("text", 256))
-    words = named.select("key", split(F.col("text")).alias("w")).join(F.broadcast(sizes))
-    grams = words.select("key", F.explode(F.array_distinct(F.flatten(F.transform("sizes", lambda s: runs("w", s))))).alias("g"))
+    grams = runs(named.select("key", split(F.col("text")).alias("w")).join(F.broadcast(sizes)), "key")
     pairs = grams.join(keys, "g").select("key", "item_id", "required").distinct()
 
     @F.pandas_udf(T.IntegerType())
