@@ -79,20 +79,34 @@ STATE = "run_id bigint, last_seq bigint, events bigint, candidates bigint, repai
 
 
 class RunFolder(StatefulProcessor):
-    """Folds one run's events as they come; an event that is already in is ignored, a late one is put in its place."""
+    """Folds one run's events as they come; an event that is already in is ignored, a late one is put in its place.
+
+    Kept of a run are its counts, the number up to which it has every event, and those beyond that number: nothing
+    more once a run is whole, so copies are known at any time without keeping what was read.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "seq bigint", "type string")
+        self.beyond = handle.getMapState("beyond", "seq bigint", "here boolean")
+        self.totals = handle.getValueState("totals", "upto bigint, last bigint, events bigint, candidates bigint, repairs bigint, finished boolean, failed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        upto, last, events, candidates, repairs, finished, failed = self.totals.get() if self.totals.exists() else (0, None, 0, 0, 0, False, False)
         for pdf in rows:
-            for seq, kind in zip(pdf["seq"].tolist(), pdf["type"].tolist()):
-                if not self.seen.containsKey((int(seq),)):
-                    self.seen.updateValue((int(seq),), (kind,))
-        events = {k[0]: v[0] for k, v in self.seen.iterator()}
-        kinds = list(events.values())
-        status = "finished" if "run.finished" in kinds else "failed" if "run.failed" in kinds else "active"
-        yield pd.DataFrame([(int(key[0]), max(events), len(events), kinds.count("candidate.created"), kinds.count("repair.planned"), status)], columns=["run_id", "last_seq", "events", "candidates", "repairs", "status"])
+            for seq, kind in zip(map(int, pdf["seq"].tolist()), pdf["type"].tolist()):
+                if 1 <= seq <= upto or self.beyond.containsKey((seq,)):
+                    continue
+                self.beyond.updateValue((seq,), (True,))
+                while self.beyond.containsKey((upto + 1,)):
+                    upto += 1
+                    self.beyond.removeKey((upto,))
+                last = seq if last is None else max(last, seq)
+                events += 1
+                candidates += kind == "candidate.created"
+                repairs += kind == "repair.planned"
+                finished, failed = finished or kind == "run.finished", failed or kind == "run.failed"
+        self.totals.update((upto, last, events, candidates, repairs, finished, failed))
+        status = "finished" if finished else "failed" if failed else "active"
+        yield pd.DataFrame([(int(key[0]), last, events, candidates, repairs, status)], columns=["run_id", "last_seq", "events", "candidates", "repairs", "status"])
 
     def close(self) -> None:
         pass

@@ -234,3 +234,39 @@ def test_breaker_and_streaks_across_slots(spark):
                 if st == "error":
                     streaks[c] = n
         assert {r.call_id: r.streak for r in L.failure_streaks(df).collect()} == streaks
+
+
+class Kept(dict):
+    """The state calls that the fold makes, over a dict."""
+
+    containsKey, updateValue = dict.__contains__, dict.__setitem__
+
+    def removeKey(self, key):
+        del self[key]
+
+    def exists(self):
+        return "v" in self
+
+    def get(self):
+        return self["v"]
+
+    def update(self, value):
+        self["v"] = value
+
+
+def test_stream_fold_keeps_only_what_is_out_of_order():
+    import pandas as pd
+
+    rng = random.Random(2)
+    kinds = ["run.created", "candidate.created", "repair.planned", "candidate.evaluated"]
+    for _ in range(40):
+        log = [(i, "run.finished" if i == 20 else rng.choice(kinds)) for i in range(rng.choice((0, 1, 3)), 21)]
+        sent = log + rng.choices(log, k=15)
+        rng.shuffle(sent)
+        folder = E.RunFolder()
+        folder.beyond, folder.totals = Kept(), Kept()
+        for at in range(0, len(sent), 4):
+            got = next(folder.handleInputRows((7,), iter([pd.DataFrame(sent[at : at + 4], columns=["seq", "type"])]), None)).iloc[0]
+        names = [k for _, k in log]
+        assert tuple(got) == (7, 20, len(log), names.count("candidate.created"), names.count("repair.planned"), "finished")
+        assert len(folder.beyond) == sum(not (log[0][0] <= 1 and 1 <= i <= 20) for i, _ in log)
