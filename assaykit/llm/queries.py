@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm import bpe, decontamination, html, langid, quality, repeats, secrets, simhash, tokenfile, urls
+from assaykit.llm import bpe, decontamination, html, infill, langid, mixing, negatives, quality, repeats, secrets, simhash, tokenfile, urls
 from assaykit.llm.common import table
 from assaykit.session import shared_path
 
@@ -75,6 +75,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return each.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.transform(table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_decontamination": op2_decontamination,
@@ -86,6 +102,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_urls": op9_urls,
     "op10_secrets": op10_secrets,
+    "op11_mixing": op11_mixing,
+    "op12_negatives": op12_negatives,
+    "op13_infill": op13_infill,
 }
 _LISTED = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 SQL: dict[str, str] = {
@@ -113,4 +132,39 @@ SELECT page_id, host, path, rule, CASE
     OR list_has_any(list_transform(string_split(query, '=')[:-2], lambda s: regexp_extract(s, '[a-z0-9]*$')), {_LISTED(urls.QUERIES)})
     OR contains(lower(path), ';jsessionid=') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op12_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3""",
+    "op13_infill": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(d, i, 8) AS BIGINT)) AS h FROM d
+), k AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS one, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS two,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+      WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT doc_id, t, n, form, array_to_string(units[1:one], '') AS a, array_to_string(units[one + 1:two], '') AS m, array_to_string(units[two + 1:n], '') AS z FROM k
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""",
 }
