@@ -1,4 +1,4 @@
-"""Text functions as column expressions; the two exact Unicode forms and the edit-distance search are Arrow functions."""
+"""Text functions as column expressions; the exact Unicode forms and edit scripts are Arrow functions."""
 
 from __future__ import annotations
 
@@ -229,39 +229,6 @@ def substring_distance(read: str, wanted: str) -> tuple[int, int]:
     return best, end
 
 
-def approx_find(texts: DataFrame, wanted: DataFrame, gram: int = 5) -> DataFrame:
-    """(item_id, doc_id, distance, cer) of each wanted text (item_id, required) in each text (doc_id, text) that shares
-    a run of `gram` words with it, or the whole of a wanted text of fewer words: the least edit distance to any part of
-    the text, in lower case with single spaces.
-
-    Runs of words are joined by hash and only say which pairs are compared; the distance is that over the whole text.
-    Equal texts are compared once, whatever their ids. Null and empty texts are in no pair.
-    """
-    clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    split = lambda c: F.split(c, " ")
-
-    def runs(df: DataFrame, *keep: str) -> DataFrame:
-        """The hash of each run of each of the row's sizes. Words are exploded first, so that hashing is compiled."""
-        each = df.select(*keep, "w", "sizes", F.posexplode("w").alias("i", "x"))
-        hashes = [F.when(F.array_contains("sizes", n) & (F.col("i") + n <= F.size("w")), F.xxhash64("x", *[F.get("w", F.col("i") + d) for d in range(1, n)])) for n in range(1, gram + 1)]
-        return each.select(*keep, F.explode(F.array(*hashes)).alias("g")).where("g IS NOT NULL")
-
-    items = wanted.select("item_id", clean(F.col("required")).alias("required")).where("required <> ''").withColumn("w", split(F.col("required")))
-    items = items.withColumn("sizes", F.array(F.least(F.size("w"), F.lit(gram))))
-    sizes = items.agg(F.array_distinct(F.flatten(F.collect_set("sizes"))).alias("sizes"))  # one row of at most gram numbers
-    keys = runs(items, "item_id", "required").distinct()
-    named = texts.select("doc_id", clean(F.col("text")).alias("text")).where("text <> ''").withColumn("key", F.sha2("text", 256))
-    grams = runs(named.select("key", split(F.col("text")).alias("w")).join(F.broadcast(sizes)), "key")
-    pairs = grams.join(keys, "g").select("key", "item_id", "required").distinct()
-
-    @F.pandas_udf(T.IntegerType())
-    def distance(read: pd.Series, required: pd.Series) -> pd.Series:
-        return pd.Series([substring_distance(t, r)[0] for t, r in zip(read, required)], dtype="int32")
-
-    met = pairs.join(named.select("key", "text").dropDuplicates(["key"]), "key").select("key", "item_id", distance("text", "required").alias("distance"), F.length("required").alias("n"))
-    return met.join(named.select("key", "doc_id"), "key").select("item_id", "doc_id", "distance", F.round(F.col("distance") / F.col("n"), 6).alias("cer"))
-
-
 def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
     """The fewest edits that turn required into read, as (chg, place, None) and (ins, place before, character). Equal
     ends are set aside; of equal scripts the one that keeps or changes characters latest. By Myers' bit vectors, walked back."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaykit.functions import search
 from assaykit.functions import text as X
 from assaykit.plans.registry import query
 from assaykit.sources.bridge import table, twin
@@ -70,7 +71,7 @@ def reader_vote(spark, sf_dir):
 
 @query("approx_find")
 def approx_find(spark, sf_dir):
-    return X.approx_find(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("required")))
+    return search.approx_find(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("required")))
 
 
 @query("error_keys")

@@ -55,13 +55,6 @@ def test_substring_distance(read, wanted, distance):
     assert X.substring_distance(read, wanted)[0] == distance
 
 
-def test_approx_find_against_every_window(spark):
-    wanted = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today"), (2, "no such words are in any of the texts here"), (3, None)], "item_id bigint, required string")
-    docs = spark.createDataFrame([(1, "so The quick brown fox jumps ovr the lazy dog today, yes"), (2, None), (3, "quick the brown jumps fox"), (4, "")], "doc_id bigint, text string")
-    got = [(r.item_id, r.doc_id, r.distance) for r in X.approx_find(docs, wanted).collect()]
-    assert got == [(1, 1, X.substring_distance("so the quick brown fox jumps ovr the lazy dog today, yes", "the quick brown fox jumps over the lazy dog today")[0])] == [(1, 1, 1)]
-
-
 def test_validate(spark):
     bad = ["Sale ‮%03‬ OFF", "Sale ⁦AED⁩ 49", "Price‎ 49", "Big\U000e0041 Sale", "Big​ Sale", "Big﻿Sale", "Big⁠Sale", "Big\x00Sale".replace("\x00", "\x01"), "Big\tSale", "Big\u0085Sale", "Big Sale", "Big Sale", "Big­Sale", "x" * 81, "one\ntwo\nthree\nfour", "  \n ", None]
     good = ["क्‍ष सेल", "می‌خواهم", "  Café Sale\r\n", "x" * 80, "one\ntwo\nthree"]
@@ -158,31 +151,6 @@ def test_error_keys_name_missing_tokens(spark):
     assert {r.glyph for r in X.error_keys(df).where("reader = 'b' AND kind = 'missing'").collect()} == {"30%", "off", "sale"}
 
 
-def test_approx_find_by_whole_texts(spark):
-    rng = random.Random(11)
-    words = [f"{c}{n}" for c in "abcdefgh" for n in range(6)]
-    required = [" ".join(rng.choices(words, k=rng.choice((1, 3, 8, 14)))) for _ in range(8)]
-    texts = []
-    for i in range(30):
-        t = rng.choices(words, k=20) + required[i % 8].split()
-        for _ in range(rng.randrange(4)):
-            t.insert(rng.randrange(len(t)), rng.choice(words))
-        texts.append("  ".join(t).upper())
-    texts += texts[:3]
-    docs = spark.createDataFrame([(None if i > 30 else i, t) for i, t in enumerate(texts)] + [(50, None), (51, " ")], "doc_id bigint, text string")
-    wanted = spark.createDataFrame([(i, r) for i, r in enumerate(required)] + [(90, ""), (91, None)], "item_id bigint, required string")
-    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-    want = []
-    for i, t in enumerate(texts):
-        t = " ".join(t.lower().split())
-        for j, r in enumerate(required):
-            n = min(5, len(r.split()))
-            if runs(t.split(), n) & runs(r.split(), n):
-                want.append((j, None if i > 30 else i, X.substring_distance(t, r)[0]))
-    got = [(r.item_id, r.doc_id, r.distance) for r in X.approx_find(docs, wanted).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-
-
 def test_admission_by_list_and_format_characters(spark):
     df = texts(spark, ["a\u070fb", "a\u200db", "\u00a0\u2028ok\u2029", "buy SPAM", "a\r\nb\r\nc"])
     assert column(df, X.validate_text(F.col("text"), blocked=F.contains(F.lower("text"), F.lit("spam")))) == ["hidden", None, None, "policy", None]
