@@ -11,6 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 
 DIMENSIONS = ("technical", "text", "product", "context", "composition")
 
+_EVENT = {
+    "status": "string", "spec_summary": "string", "candidate_id": "bigint", "parent_candidate_id": "bigint", "from_candidate_id": "bigint", "kind": "string", "slot": "int", "attempt": "int", "model": "string",
+    "verdict": "string", "target_dimension": "string", "action": "string", "reason": "string", "outcome": "string", "best_candidate_id": "bigint", "problem": "string",
+}
+
+
+def _events(source: str, *kinds: tuple[str, str, str, dict[str, str]]) -> str:
+    """A SELECT of the events (place in the run, type, condition, fields) that each row of source gives, in one pass over it."""
+
+    def case(values: list[str | None]) -> str:
+        some = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None)
+        return f"CASE n {some} END" if some else "NULL"
+
+    places, types, when = (case(list(x)) for x in ([k[0] for k in kinds], [f"'{k[1]}'" for k in kinds], [k[2] for k in kinds]))
+    fields = ", ".join(f"CAST({case([k[3].get(f) for k in kinds])} AS {t}) AS {f}" for f, t in _EVENT.items())
+    numbers = ", ".join(f"({i})" for i in range(len(kinds)))
+    return f"SELECT run_id, {places} AS place, {types} AS type, {fields} FROM {source} r CROSS JOIN (VALUES {numbers}) k(n) WHERE {when}"
+
+
+_PLANNED = "CASE WHEN part_id % 6 = 0 THEN 'clean_plate' ELSE 'repair' END"
+_LOG = "\nUNION ALL ".join([
+    _events(
+        "{v_runs}",
+        ("1", "run.status", "true", dict(status="'planning'")),
+        ("2", "plan.done", "run_id % 13 <> 0", dict(spec_summary="batch_label")),
+        ("3", "run.status", "true", dict(status="'generating'")),
+        ("25", "run.status", "run_id % 3 = 0", dict(status="'evaluating'")),
+        ("85", "budget.warning", "run_id % 11 = 0", dict(reason="CASE WHEN run_id % 2 = 0 THEN 'deadline' END")),
+        ("90", "run.error", "status = 'failed'", dict(problem="'internal-error'")),
+        ("95", "run.finished", "status <> 'generating'", dict(status="CASE WHEN status IN ('failed', 'interrupted') THEN status WHEN status IN ('held', 'rejected') THEN 'needs_review' ELSE 'passed' END", outcome="outcome", best_candidate_id="CASE WHEN run_id % 10 > 2 THEN run_id * 10 + 1 END")),
+        ("97", "run.status", "status IN ('approved', 'rejected')", dict(status="status")),
+    ),
+    _events(
+        "{v_candidates}",
+        ("CASE WHEN candidate_no = 4 THEN 32 ELSE candidate_no * 10 + 1 END", "repair.started", "candidate_no BETWEEN 3 AND 6", dict(from_candidate_id="parent_id", target_dimension="CASE WHEN part_id % 2 = 0 THEN 'text' ELSE 'product' END", action=_PLANNED)),
+        ("CASE WHEN run_id % 4 = 0 THEN 75 ELSE 72 END", "fallback.applied", "candidate_no = 7", dict(candidate_id="CASE WHEN run_id % 4 = 0 THEN candidate_id ELSE parent_id END", reason="'text'")),
+        ("candidate_no * 10 + 3", "candidate.created", "true", dict(status="CASE WHEN part_id % 31 = 0 THEN 'blocked' ELSE 'pending' END", candidate_id="candidate_id", parent_candidate_id="CASE WHEN supplier_id % 5 = 0 THEN NULL ELSE parent_id END", kind=f"CASE WHEN candidate_no < 3 THEN 'initial' WHEN candidate_no = 7 THEN 'overlay' ELSE {_PLANNED} END", slot="slot", attempt="attempt", model="served_model")),
+        ("candidate_no * 10 + 4", "evaluation.done", "part_id % 23 <> 0", dict(candidate_id="candidate_id", verdict="CASE WHEN supplier_id % 17 = 0 THEN 'unverified' WHEN part_id % 5 = 0 THEN 'fail' ELSE 'pass' END")),
+    ),
+])
+
 VIEWS = {
     "v_runs": """
 SELECT o_orderkey AS run_id, o_custkey % 4 AS tenant, o_custkey AS brief_id, CAST(o_orderdate AS timestamp) AS created_at,
@@ -89,6 +130,7 @@ SELECT conv_id * 100 + turn AS item_id, 'a' AS reader, 1 AS read_no, text AS req
 UNION ALL SELECT conv_id * 100 + turn, 'b', 2, text, CASE WHEN turn % 2 = 0 THEN text ELSE replace(text, 'th', 'tb') END, conv_id % 10 / 10.0 + 0.01, turn / 10.0 FROM {conversations}
 UNION ALL SELECT conv_id * 100 + turn, 'c', 3, text, CASE WHEN conv_id % 3 = 0 THEN replace(text, 'e', '') WHEN conv_id % 3 = 1 THEN replace(text, 'th', 'tb') ELSE text END,
   conv_id % 10 / 10.0, turn / 10.0 + CASE WHEN turn % 5 = 0 THEN 0.05 ELSE 0.015 END FROM {conversations}""",
+    "v_log": f"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS seq, type, 1700000000000000 + run_id * 60000000 + place * 1500000 AS at_us, {', '.join(_EVENT)} FROM (\n{_LOG}) l",
     "v_vectors": "SELECT vec_id, label, embedding FROM {embeddings}",
 }
 
