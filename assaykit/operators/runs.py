@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaykit.session import cut
+
 ACTIVE = ("queued", "generating", "evaluating")
 
 
@@ -232,17 +234,56 @@ def verify_refs(cited: DataFrame, allowed: DataFrame, key: str = "ref") -> DataF
     return cited.select(key).distinct().join(known, key, "left").select(key, F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
-def lineage(candidates: DataFrame, doublings: int = 4) -> DataFrame:
-    """(candidate_id, label) of every candidate: roots are A, B, ... by (attempt, slot) in their run; a child has its
-    parent's label and a prime, its later siblings one more each. Ids that name no parent make roots. Each join doubles
-    the steps up that a row knows; deeper than 2^doublings, or in a ring of parents, the label is null."""
-    known = candidates.select(F.col("candidate_id").alias("pid")).distinct()
-    rows = candidates.join(known, F.col("parent_id") == F.col("pid"), "left")
-    place = F.row_number().over(Window.partitionBy("run_id", "pid").orderBy("attempt", "slot", "candidate_id"))
-    root = F.col("pid").isNull()
-    rows = rows.select("candidate_id", F.col("pid").alias("up"), F.when(root, F.chr(64 + place)).alias("letter"), F.when(root, 0).otherwise(place).alias("primes"))
-    for _ in range(doublings):
-        above = rows.select(F.col("candidate_id").alias("id"), F.col("up").alias("up2"), F.col("letter").alias("letter2"), F.col("primes").alias("primes2"))
-        met = rows.join(above, F.col("up") == F.col("id"), "left")
-        rows = met.select("candidate_id", F.col("up2").alias("up"), F.coalesce("letter", "letter2").alias("letter"), (F.col("primes") + F.coalesce("primes2", F.lit(0))).alias("primes"))
-    return rows.select("candidate_id", F.concat("letter", F.repeat(F.lit("′"), F.col("primes"))).alias("label"))
+def _climbed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (id, up, root, primes, least, depth) once every row knows the root above it, and how many are left without one.
+
+    Each round doubles the steps up that an open row knows; only open rows are joined. Rounds end when one settles no row: what is left
+    then is below a ring or on it."""
+    rows, before = cut(rows), None
+    left = rows.where("up IS NOT NULL").count()
+    while left and left != before:
+        rows, before = cut(_doubled(rows)), left
+        left = rows.where("up IS NOT NULL").count()
+    return rows, left
+
+
+def _doubled(rows: DataFrame) -> DataFrame:
+    above = rows.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("primes").alias("__primes"), F.col("least").alias("__least"), F.col("depth").alias("__depth"))
+    met = rows.where("up IS NOT NULL").join(above, F.col("up") == F.col("__id"))
+    moved = met.select("id", F.col("__up").alias("up"), F.coalesce("root", "__root").alias("root"), (F.col("primes") + F.col("__primes")).alias("primes"), F.least("least", "__least").alias("least"), (F.col("depth") + F.col("__depth")).alias("depth"))
+    return rows.where("up IS NULL").unionByName(moved)
+
+
+def lineage(candidates: DataFrame, repairs: DataFrame | None = None, fallbacks: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, label, depth) of every candidate: roots are A, B, ... by (attempt, slot) in their run; a child has its
+    parent's label and a prime, its later siblings one more each; depth is the number of steps down from the root.
+
+    A candidate without a parent_id has that of the repair (from_id, result_id) or else of the fallback (source_id, result_id) that
+    it is the result of. Ids that name no candidate make roots. In a ring of parents the smallest id is a root. Any depth: pointers
+    are doubled until all have met their roots, one checkpoint a round. Candidate ids are unique."""
+    rows = candidates.select("run_id", "candidate_id", "attempt", "slot", "parent_id")
+    for links, source in ((repairs, "from_id"), (fallbacks, "source_id")):
+        if links is not None:
+            of = links.where("result_id IS NOT NULL").groupBy(F.col("result_id").alias("__of")).agg(F.min(source).alias("__source"))
+            rows = rows.join(of, F.col("candidate_id") == F.col("__of"), "left").withColumn("parent_id", F.coalesce("parent_id", "__source")).drop("__of", "__source")
+    known = rows.select(F.col("candidate_id").alias("pid"))
+    rows = cut(rows.join(known, F.col("parent_id") == F.col("pid"), "left").drop("parent_id"))
+
+    def start(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("run_id", "pid").orderBy("attempt", "slot", "candidate_id")).cast("long")
+        top = F.col("pid").isNull()
+        return rows.select(
+            F.col("candidate_id").alias("id"), F.col("pid").alias("up"), F.when(top, F.struct("run_id", place.alias("place"))).alias("root"), F.when(top, F.lit(0).cast("long")).otherwise(place).alias("primes"),
+            F.col("candidate_id").alias("least"), F.when(top, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"),
+        )
+
+    told, left = _climbed(start(rows))
+    if left:  # rings: after as many doublings as rows are left, each open row points into its ring and a ring's rows have seen all of it
+        for _ in range(left.bit_length()):
+            told = cut(_doubled(told))
+        rings = told.where("up IS NOT NULL").select(F.col("up").alias("id")).distinct()
+        heads = told.join(rings, "id", "left_semi").select(F.col("least").alias("__head")).distinct()
+        rows = cut(rows.join(heads, F.col("candidate_id") == F.col("__head"), "left").withColumn("pid", F.when(F.col("__head").isNull(), F.col("pid"))).drop("__head"))
+        told, _ = _climbed(start(rows))
+    label = F.concat(F.chr(64 + F.col("root.place")), F.repeat(F.lit("\u2032"), F.col("primes").cast("int")))
+    return told.select(F.col("id").alias("candidate_id"), label.alias("label"), "depth")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaykit.operators import runs
 from assaykit.plans.registry import query
-from assaykit.session import shared_path
+from assaykit.session import cut, shared_path
 from assaykit.sources.bridge import table, twin
 from assaykit.streaming import log as L
 from assaykit.streaming import stale
@@ -124,6 +125,21 @@ def log_timeline(spark, sf_dir):
     return L.timeline(L.fold_log(L.parse_log(lines(spark, sf_dir))))
 
 
+@query(
+    "lineage_links",
+    recursive(f"""WITH {LINKS}, made AS (SELECT c.run_id, c.candidate_id, c.attempt, c.slot, coalesce(c.parent_candidate_id, r.src, f.src) AS parent_id FROM cands c
+      LEFT JOIN (SELECT r.src, r.res FROM (SELECT unnest(reps) AS r FROM links) q) r ON r.res = c.candidate_id LEFT JOIN (SELECT f.src, f.res FROM (SELECT unnest(falls) AS f FROM links) q) f ON f.res = c.candidate_id),
+    placed AS (SELECT m.run_id, m.candidate_id, p.candidate_id AS up, row_number() OVER (PARTITION BY m.run_id, p.candidate_id ORDER BY m.attempt, m.slot, m.candidate_id) AS place FROM made m LEFT JOIN made p ON p.candidate_id = m.parent_id),
+    tree AS (SELECT candidate_id, chr(CAST(64 + place AS int)) AS label, CAST(0 AS bigint) AS depth FROM placed WHERE up IS NULL UNION ALL SELECT p.candidate_id, t.label || repeat('′', p.place), t.depth + 1 FROM tree t JOIN placed p ON p.up = t.candidate_id)
+    SELECT * FROM tree"""),
+)
+def lineage_links(spark, sf_dir):
+    """Labels of the candidates of the log; where one names no parent, by the repair or fallback that it is the result of."""
+    states = cut(L.fold_log(L.parse_log(lines(spark, sf_dir))).select("run_id", "candidates", "repairs", "fallbacks"))
+    made = states.select("run_id", F.inline("candidates")).select("run_id", F.col("id").alias("candidate_id"), "attempt", "slot", "parent_id")
+    return runs.lineage(made, states.select(F.inline("repairs")), states.select(F.inline("fallbacks")))
+
+
 @query(
     "tail_log",
     twin("""SELECT run_id, seq, type FROM (SELECT *, min(CASE WHEN type = 'run.finished' THEN seq END) OVER (PARTITION BY run_id) AS ended FROM v_log) l WHERE seq > 2 AND NOT (coalesce(ended, 99) <= 7 AND seq > 7)"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assaykit.functions import search
+from assaykit.functions import reading, search
 from assaykit.functions import text as X
 from assaykit.plans.registry import query
 from assaykit.sources.bridge import table, twin
@@ -74,17 +74,68 @@ def approx_find(spark, sf_dir):
     return search.approx_find(docs(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("required")))
 
 
-@query("error_keys")
+#: The reads of v_reads with what was done to each, from which its errors follow without a distance.
+FAULTS = "f AS (SELECT *, CASE WHEN reader = 'b' AND item_id % 100 % 2 = 1 THEN 'th' WHEN reader = 'c' AND (item_id // 100) % 3 = 0 THEN 'e' WHEN reader = 'c' AND (item_id // 100) % 3 = 1 THEN 'th' ELSE 'none' END AS fault FROM v_reads)"
+LACKING = rf"""list_filter({TOKENS.format(t="required")}, lambda t: NOT regexp_matches(lower(read), CASE WHEN regexp_matches(t, '\d') THEN '(^|[^\p{{N}}.,])' || regexp_escape(t) || '($|[^\p{{N}}])' ELSE '(^|[^\p{{L}}\p{{N}}])' || t || '($|[^\p{{L}}\p{{N}}])' END))"""
+CHANGED = "CASE fault WHEN 'th' THEN list_filter(range(1, length(required)), lambda i: substr(required, i, 2) = 'th') WHEN 'e' THEN list_filter(range(0, length(required)), lambda i: substr(required, i + 1, 1) = 'e') ELSE [] END"
+
+
+def known_keys(source: str, *keep: str) -> str:
+    columns = ", ".join(("item_id", "reader", *keep))
+    return f"""SELECT {columns}, 'chg' AS kind, CAST(unnest({CHANGED}) AS int) AS pos, CAST(NULL AS varchar) AS glyph FROM {source} WHERE required <> read
+    UNION ALL SELECT {columns}, 'missing', -1, unnest({LACKING}) FROM {source} WHERE required <> read"""
+
+
+@query("error_keys", twin(f"WITH {FAULTS} {known_keys('f')}"))
 def error_keys(spark, sf_dir):
     return X.error_keys(table(spark, sf_dir, "v_reads"))
 
 
-@query("text_decision")
+@query(
+    "text_decision",
+    twin(f"""WITH {FAULTS}, k AS (SELECT DISTINCT * FROM ({known_keys("f")}) q), r AS (SELECT item_id, count(DISTINCT reader) AS readers FROM v_reads GROUP BY item_id),
+    a AS (SELECT x.item_id, count(DISTINCT concat_ws(':', x.kind, x.pos, x.glyph)) AS agreed FROM k x JOIN k y ON x.item_id = y.item_id AND x.kind = y.kind AND x.pos = y.pos AND x.glyph IS NOT DISTINCT FROM y.glyph AND x.reader < y.reader GROUP BY x.item_id),
+    e AS (SELECT item_id, count(*) AS errors FROM k GROUP BY item_id)
+    SELECT r.item_id, readers, coalesce(agreed, 0) AS agreed, CASE WHEN errors IS NULL THEN 'all_exact' WHEN readers = 1 THEN 'single_reader' WHEN agreed > 0 THEN 'failed' ELSE 'reread' END AS decision
+    FROM r LEFT JOIN a ON a.item_id = r.item_id LEFT JOIN e ON e.item_id = r.item_id"""),
+)
 def text_decision(spark, sf_dir):
     reads = table(spark, sf_dir, "v_reads")
     return X.text_decision(reads, X.error_keys(reads))
 
 
+SAME = "(x.kind = y.kind AND CASE x.kind WHEN 'chg' THEN x.pos = y.pos ELSE x.glyph = y.glyph OR (least(length(x.glyph), length(y.glyph)) >= 3 AND (contains(x.glyph, y.glyph) OR contains(y.glyph, x.glyph))) END)"
+
+
+@query(
+    "read_decisions",
+    twin(f"""WITH k AS ({known_keys("v_allreads", "read_no", "again", "fault")}), firsts AS (SELECT * FROM k WHERE NOT again),
+    i AS (SELECT r.item_id, r.readers, EXISTS (SELECT 1 FROM firsts x WHERE x.item_id = r.item_id) AS errors, EXISTS (SELECT 1 FROM firsts x JOIN firsts y ON x.item_id = y.item_id AND x.reader < y.reader AND {SAME} WHERE x.item_id = r.item_id) AS agreed
+      FROM (SELECT item_id, count(DISTINCT reader) AS readers FROM v_allreads GROUP BY item_id) r),
+    every AS (SELECT x.* FROM firsts x WHERE NOT EXISTS (SELECT 1 FROM v_allreads o WHERE o.item_id = x.item_id AND o.reader = x.reader AND o.again AND o.fault <> 'junk'
+      AND NOT EXISTS (SELECT 1 FROM k y WHERE y.item_id = o.item_id AND y.reader = o.reader AND y.read_no = o.read_no AND {SAME}))),
+    p AS (SELECT item_id, readers, CASE WHEN agreed THEN 'agreed' WHEN NOT errors THEN 'all_exact' WHEN readers < 2 THEN 'single_reader'
+      WHEN EXISTS (SELECT 1 FROM every x JOIN every y ON x.item_id = y.item_id AND x.reader < y.reader AND {SAME} WHERE x.item_id = i.item_id) THEN 'reread_agreed'
+      WHEN EXISTS (SELECT 1 FROM every x WHERE x.item_id = i.item_id) THEN 'reread_disagrees' ELSE 'reread_resolved' END AS path FROM i)
+    SELECT item_id, readers, CASE WHEN path IN ('all_exact', 'reread_resolved') THEN 'pass' WHEN path = 'reread_disagrees' THEN 'unverified' ELSE 'fail' END AS status, path FROM p"""),
+)
+def read_decisions(spark, sf_dir):
+    return reading.read_decisions(table(spark, sf_dir, "v_allreads").drop("fault"))
+
+
+@query(
+    "diff_ops",
+    twin(f"""WITH {FAULTS}, s AS (SELECT *, string_split(required, 'th') AS parts FROM f), o AS (SELECT item_id, reader, CASE WHEN required = '' THEN [] WHEN fault = 'th' THEN list_concat(
+        flatten(list_transform(parts[1:len(parts) - 1], lambda p: [{{'op': 'equal', 'x': p || 't', 'y': p || 't'}}, {{'op': 'replace', 'x': 'h', 'y': 'b'}}])), CASE WHEN parts[-1] = '' THEN [] ELSE [{{'op': 'equal', 'x': parts[-1], 'y': parts[-1]}}] END)
+      WHEN fault = 'e' THEN list_transform(regexp_extract_all(required, 'e+|[^e]+'), lambda p: CASE WHEN starts_with(p, 'e') THEN {{'op': 'delete', 'x': p, 'y': ''}} ELSE {{'op': 'equal', 'x': p, 'y': p}} END)
+      ELSE [{{'op': 'equal', 'x': required, 'y': required}}] END AS ops FROM s)
+    SELECT item_id, reader, CAST(i AS int) AS place, op.op AS op, op.x AS expected, op.y AS got FROM (SELECT item_id, reader, unnest(ops) AS op, unnest(range(len(ops))) AS i FROM o) q"""),
+)
+def diff_ops(spark, sf_dir):
+    rows = table(spark, sf_dir, "v_reads").select("item_id", "reader", "required", "read")
+    return reading.with_diff(rows, "required", "read").select("item_id", "reader", "place", "op", "expected", "got")
+
+
 C1, C2 = (f"replace({normal(x)}, ' ', '')" for x in ("a.read", "b.read"))
 
 

@@ -130,6 +130,18 @@ SELECT conv_id * 100 + turn AS item_id, 'a' AS reader, 1 AS read_no, text AS req
 UNION ALL SELECT conv_id * 100 + turn, 'b', 2, text, CASE WHEN turn % 2 = 0 THEN text ELSE replace(text, 'th', 'tb') END, conv_id % 10 / 10.0 + 0.01, turn / 10.0 FROM {conversations}
 UNION ALL SELECT conv_id * 100 + turn, 'c', 3, text, CASE WHEN conv_id % 3 = 0 THEN replace(text, 'e', '') WHEN conv_id % 3 = 1 THEN replace(text, 'th', 'tb') ELSE text END,
   conv_id % 10 / 10.0, turn / 10.0 + CASE WHEN turn % 5 = 0 THEN 0.05 ELSE 0.015 END FROM {conversations}""",
+    "v_allreads": """
+SELECT item_id, reader, read_no, again, required, fault, CASE fault WHEN 'th' THEN replace(required, 'th', 'tb') WHEN 'e' THEN replace(required, 'e', '') WHEN 'junk' THEN '#' ELSE required END AS read
+FROM (SELECT conv_id * 100 + turn AS item_id, reader, read_no, again, text AS required, CASE read_no
+    WHEN 1 THEN 'none'
+    WHEN 2 THEN CASE WHEN turn % 2 = 0 THEN 'none' ELSE 'th' END
+    WHEN 3 THEN CASE conv_id % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'th' ELSE 'none' END
+    WHEN 4 THEN 'none'
+    WHEN 5 THEN CASE WHEN conv_id % 2 = 0 OR turn % 2 = 0 THEN 'none' ELSE 'th' END
+    WHEN 6 THEN CASE conv_id % 5 WHEN 0 THEN 'junk' WHEN 1 THEN 'none' WHEN 2 THEN 'th' ELSE 'e' END
+    ELSE CASE WHEN conv_id % 7 = 0 THEN 'th' ELSE 'e' END END AS fault
+  FROM {conversations} CROSS JOIN (VALUES ('a', 1, false), ('b', 2, false), ('c', 3, false), ('a', 4, true), ('b', 5, true), ('c', 6, true), ('c', 7, true)) k(reader, read_no, again)
+  WHERE conv_id % 11 <> 0 OR read_no = 3) r""",
     "v_log": f"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS seq, type, 1700000000000000 + run_id * 60000000 + place * 1500000 AS at_us, {', '.join(_EVENT)} FROM (\n{_LOG}) l",
     "v_vectors": "SELECT vec_id, label, embedding FROM {embeddings}",
 }

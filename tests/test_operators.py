@@ -202,7 +202,24 @@ def test_lineage_keeps_every_candidate(spark):
     chain = [(1, i, i - 1 if i else None, i, 0) for i in range(15)] + [(1, 100, 0, 3, 1), (1, 101, 999, 0, 1), (2, 200, 201, 0, 0), (2, 201, 200, 0, 1)]
     df = spark.createDataFrame(chain, "run_id int, candidate_id int, parent_id int, attempt int, slot int")
     got = {r.candidate_id: r.label for r in R.lineage(df).collect()}
-    assert all(got[i] == "A" + "′" * i for i in range(15)) and got[100] == "A′′" and got[101] == "B" and got[200] is None and len(got) == 19
+    assert all(got[i] == "A" + "′" * i for i in range(15)) and got[100] == "A′′" and got[101] == "B" and len(got) == 19
+    assert got[200] == "A" and got[201] == "A′"  # a ring starts at its smallest id
+
+
+def test_lineage_of_any_depth(spark):
+    rows = [(1, i, i - 1 if i else None, i, 0) for i in range(1000)]  # a chain
+    rows += [(2, 2000 + i, 2000 + (i + 1) % 7, i, 0) for i in range(7)] + [(2, 2100 + i, 2000 if not i else 2099 + i, 9, i) for i in range(40)]  # a ring and a chain that hangs on it
+    rows += [(3, 3000, 3000, 0, 0)]  # its own parent
+    rows += [(4, 4000, None, 0, 0), (4, 4001, None, 0, 1), (4, 4002, None, 1, 0), (4, 4003, None, 1, 1), (4, 4004, 4001, 2, 0), (4, 4005, None, 2, 1)]
+    df = spark.createDataFrame(rows, "run_id int, candidate_id int, parent_id int, attempt int, slot int")
+    repairs = spark.createDataFrame([(4000, 4002), (4001, 4004), (4002, None)], "from_id int, result_id int")
+    fallbacks = spark.createDataFrame([(4002, 4003), (None, 4005)], "source_id int, result_id int")
+    got = {r.candidate_id: (r.label, r.depth) for r in R.lineage(df, repairs, fallbacks).collect()}
+    assert len(got) == len(rows) and all(got[i] == ("A" + "′" * i, i) for i in range(1000))
+    assert got[2000][0] == "A" and [got[2000 + i][1] for i in range(7)] == [0, 6, 5, 4, 3, 2, 1]
+    assert [got[2100 + i][1] for i in range(40)] == list(range(1, 41)) and got[3000] == ("A", 0)
+    assert [got[4000 + i][0] for i in range(6)] == ["A", "B", "A′", "A′′", "B′", "C"]
+    assert R.lineage(df.limit(0)).collect() == []
 
 
 def plain_breaker(rows, failures, reset):
