@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.session import cut
+from assaykit.session import written
 
 ACTIVE = ("queued", "generating", "evaluating")
 
@@ -239,10 +239,10 @@ def _climbed(rows: DataFrame) -> tuple[DataFrame, int]:
 
     Each round doubles the steps up that an open row knows; only open rows are joined. Rounds end when one settles no row: what is left
     then is below a ring or on it."""
-    rows, before = cut(rows), None
+    rows, before = written(rows), None
     left = rows.where("up IS NOT NULL").count()
     while left and left != before:
-        rows, before = cut(_doubled(rows)), left
+        rows, before = written(_doubled(rows)), left
         left = rows.where("up IS NOT NULL").count()
     return rows, left
 
@@ -251,7 +251,8 @@ def _doubled(rows: DataFrame) -> DataFrame:
     above = rows.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("primes").alias("__primes"), F.col("least").alias("__least"), F.col("depth").alias("__depth"))
     met = rows.where("up IS NOT NULL").join(above, F.col("up") == F.col("__id"))
     moved = met.select("id", F.col("__up").alias("up"), F.coalesce("root", "__root").alias("root"), (F.col("primes") + F.col("__primes")).alias("primes"), F.least("least", "__least").alias("least"), (F.col("depth") + F.col("__depth")).alias("depth"))
-    return rows.where("up IS NULL").unionByName(moved)
+    # a union has the partitions of both sides, whose number would grow with each round
+    return rows.where("up IS NULL").unionByName(moved).coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def lineage(candidates: DataFrame, repairs: DataFrame | None = None, fallbacks: DataFrame | None = None) -> DataFrame:
@@ -260,14 +261,14 @@ def lineage(candidates: DataFrame, repairs: DataFrame | None = None, fallbacks:
 
     A candidate without a parent_id has that of the repair (from_id, result_id) or else of the fallback (source_id, result_id) that
     it is the result of. Ids that name no candidate make roots. In a ring of parents the smallest id is a root. Any depth: pointers
-    are doubled until all have met their roots, one checkpoint a round. Candidate ids are unique."""
+    are doubled until all have met their roots, one written table a round. Candidate ids are unique."""
     rows = candidates.select("run_id", "candidate_id", "attempt", "slot", "parent_id")
     for links, source in ((repairs, "from_id"), (fallbacks, "source_id")):
         if links is not None:
             of = links.where("result_id IS NOT NULL").groupBy(F.col("result_id").alias("__of")).agg(F.min(source).alias("__source"))
             rows = rows.join(of, F.col("candidate_id") == F.col("__of"), "left").withColumn("parent_id", F.coalesce("parent_id", "__source")).drop("__of", "__source")
     known = rows.select(F.col("candidate_id").alias("pid"))
-    rows = cut(rows.join(known, F.col("parent_id") == F.col("pid"), "left").drop("parent_id"))
+    rows = written(rows.join(known, F.col("parent_id") == F.col("pid"), "left").drop("parent_id"))
 
     def start(rows: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("run_id", "pid").orderBy("attempt", "slot", "candidate_id")).cast("long")
@@ -280,10 +281,10 @@ def lineage(candidates: DataFrame, repairs: DataFrame | None = None, fallbacks:
     told, left = _climbed(start(rows))
     if left:  # rings: after as many doublings as rows are left, each open row points into its ring and a ring's rows have seen all of it
         for _ in range(left.bit_length()):
-            told = cut(_doubled(told))
+            told = written(_doubled(told))
         rings = told.where("up IS NOT NULL").select(F.col("up").alias("id")).distinct()
         heads = told.join(rings, "id", "left_semi").select(F.col("least").alias("__head")).distinct()
-        rows = cut(rows.join(heads, F.col("candidate_id") == F.col("__head"), "left").withColumn("pid", F.when(F.col("__head").isNull(), F.col("pid"))).drop("__head"))
+        rows = written(rows.join(heads, F.col("candidate_id") == F.col("__head"), "left").withColumn("pid", F.when(F.col("__head").isNull(), F.col("pid"))).drop("__head"))
         told, _ = _climbed(start(rows))
     label = F.concat(F.chr(64 + F.col("root.place")), F.repeat(F.lit("\u2032"), F.col("primes").cast("int")))
     return told.select(F.col("id").alias("candidate_id"), label.alias("label"), "depth")

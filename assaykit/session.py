@@ -47,3 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that its lineage ends here."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again. For loops of joins: a checkpoint keeps the estimated size of the plan it
+    cuts, which a join squares each round; a table has the size of its files."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
