@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -154,19 +155,27 @@ def drawn() -> list[tuple[int, str]]:
     return [(k, "".join(rng.choices(a, k=DRAWN_LENGTH))) for k, a in enumerate(ALPHABETS, 1) for _ in range(DRAWN)]
 
 
-def identifiers(words: list[str]) -> list[str]:
-    """Neighbouring words joined as identifiers are; how depends on the words alone."""
-    out = []
+def identifiers(words: list[str], seed: int) -> list[str]:
+    """Neighbouring words joined as identifiers are; how depends on the text's seed alone."""
+    rng, out = random.Random(seed), []
     for at in range(0, len(words) - 2, 3):
-        a, b, c = words[at : at + 3]
-        rng = random.Random(f"{a} {b} {c}")
-        number = rng.choice([str(rng.randint(0, 99)), f"{rng.randint(0, 9999):04d}", f"{rng.randint(1990, 2030)}{rng.randint(1, 12):02d}{rng.randint(1, 31):02d}", f"{rng.randint(0, 10**9)}", "0" * rng.randint(2, 9)])
-        sign = rng.choice("__--/.")
-        some = [a, b, c][: rng.randint(1, 3)]
-        style = rng.randint(0, 5)
+        some, c, bits = words[at : at + 3], words[at + 2], rng.getrandbits(80)
+
+        def below(n: int) -> int:
+            nonlocal bits
+            bits, value = divmod(bits, n)
+            return value
+
+        some = some[: 1 + below(3)]
+        sign, style = "__--/."[below(6)], below(6)
         some = [w.lower() for w in some] if style == 0 else [w.upper() for w in some] if style == 1 else [w.capitalize() for w in some] if style == 2 else some
         joined = ("" if style == 2 else sign).join(some)
-        out.append(joined + rng.choice(["", "", "", sign, "_"]) + rng.choice(["", number, number, f"{number}{sign}{rng.randint(0, 999999)}{sign}{c}"]) if rng.random() < 0.5 else joined)
+        if below(2):
+            tail, end = below(5), below(4)
+            kind = below(5)
+            number = str(below(100)) if kind == 0 else f"{below(10_000):04d}" if kind == 1 else f"{1990 + below(41)}{1 + below(12):02d}{1 + below(31):02d}" if kind == 2 else str(below(10**9)) if kind == 3 else "0" * (2 + below(8))
+            joined += ("", "", "", sign, "_")[tail] + ("", number, number, f"{number}{sign}{below(1_000_000)}{sign}{c}")[end]
+        out.append(joined)
     return out
 
 
@@ -180,6 +189,7 @@ def transitions(docs: DataFrame, text: str = "text") -> DataFrame:
             value = value or ""
             base = base_spans(value)
             samples: dict[int, list[str]] = {}
+            seed = crc32(value.encode("utf-8", "surrogatepass"))
             for _, _, _, v in base:
                 samples.setdefault(narrowest(v), []).append(v)
             at = 0
@@ -187,7 +197,7 @@ def transitions(docs: DataFrame, text: str = "text") -> DataFrame:
                 part = value[at:start]
                 at = end
                 samples.setdefault(0, []).extend(SHORT.findall(part))
-                samples[0] += identifiers(WORD.findall(part))
+                samples[0] += identifiers(WORD.findall(part), seed + start)
             for label, some in samples.items():
                 # runs are parted by a sign that has no place
                 c = np.concatenate([np.append(_codes(v), -1) for v in some]) if some else np.zeros(0, np.int64)
@@ -202,7 +212,8 @@ def transitions(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Markov:
     """The models of a bounded sample of docs and of what is drawn; without any ordinary sample nothing is found by them."""
-    chosen = bounded_sample(docs, sample, docs.count(), "doc_id", text)
+    # the sample is bounded: its rows are spread, whatever number of files holds them
+    chosen = bounded_sample(docs, sample, docs.count(), "doc_id", text).select(text).repartition(docs.sparkSession.sparkContext.defaultParallelism, text)
     n = len(ALPHABET)
     counts: dict[int, np.ndarray] = {}
     for r in transitions(chosen, text).collect():  # at most 15 x 68 x 68 rows
