@@ -21,6 +21,16 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
 SWAPS = ("013457@$", "oieastas")
 
 
+#: Full-width forms of the printable ASCII characters and of the space, which compatibility folding makes plain.
+WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
+NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
+
+
+def narrow(col: Column) -> Column:
+    """The text with full-width letters, digits and signs made plain."""
+    return F.when(F.regexp_like(col, F.lit(r"[\x{3000}\x{FF01}-\x{FF5E}]")), F.translate(col, WIDE, NARROW)).otherwise(col)
+
+
 def normalise(col: Column) -> Column:
     """Lower case, one kind of dash, no punctuation but KEPT, single spaces. Latin text; normalise_exact for any."""
     one = F.translate(F.lower(col), DASHES, "-" * len(DASHES))
@@ -60,9 +70,10 @@ def fold_key(col: Column) -> Column:
 
 
 def critical_tokens(col: Column) -> Column:
-    """Numbers, prices and percents, then words of 2 to 4 capitals; trailing signs off, lower case, each once."""
-    text = F.translate(col, DASHES, "-" * len(DASHES))
-    numbers = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}])([-+]?\p{Sc}?\d[\d.,:/]*%?\p{Sc}?)"), 1)
+    """Numbers, prices and percents, then words of 2 to 4 capitals; trailing signs off, lower case, each once. Digits of any
+    script count, full-width forms as plain ones."""
+    text = F.translate(narrow(col), DASHES, "-" * len(DASHES))
+    numbers = F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}])([-+]?\p{Sc}?\p{Nd}[\p{Nd}.,:/]*%?\p{Sc}?)"), 1)
     capitals = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])\p{Lu}{2,4}(?![\p{L}\p{N}])"), 0)
     return F.array_distinct(F.transform(F.concat(numbers, capitals), lambda t: F.lower(F.rtrim(t, F.lit(".,:/")))))
 
@@ -75,7 +86,7 @@ def missing_tokens(read: Column, tokens: Column) -> Column:
         quoted = F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))
         number = F.concat(F.lit(r"(?<![\p{N}.,])"), quoted, F.lit(r"(?!\p{N})"))
         word = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
-        return F.regexp_like(read, F.when(F.regexp_like(t, F.lit(r"\d")), number).otherwise(word))
+        return F.regexp_like(read, F.when(F.regexp_like(t, F.lit(r"\p{Nd}")), number).otherwise(word))
 
     return F.filter(tokens, lambda t: ~found(t))
 
@@ -101,7 +112,7 @@ def validate_text(col: Column, longest: int = 80, lines: int = 3, blocked: Colum
 
 def blocklist(df: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, term) of each listed word or phrase in a text, also when digits stand for letters. The list is short."""
-    plain = F.trim(F.regexp_replace(F.translate(F.lower(text), *SWAPS), r"[^\p{L}\p{M}]+", " "))
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(narrow(F.col(text))), *SWAPS), r"[^\p{L}\p{M}]+", " "))
     rows = df.select(key, plain.alias("__t"))
     words = rows.select(key, F.explode(F.array_distinct(F.split("__t", " "))).alias("term"))
     listed = df.sparkSession.createDataFrame([(t,) for t in sorted(set(terms))], "term string")
@@ -143,9 +154,10 @@ PERSONAL = [
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with redacted and kinds: the text with a mark for each personal detail, and which kinds were found."""
+    """df with redacted and kinds: the text with a mark for each personal detail, and which kinds were found. Digits, letters
+    and spaces are those of any script."""
     df = df.withColumns({"redacted": F.col(text), "kinds": F.array().cast("array<string>")})
-    for kind, pattern in PERSONAL:
+    for kind, pattern in ((k, f"(?U){p}") for k, p in PERSONAL):
         found = F.when(F.regexp_like("redacted", F.lit(pattern)), F.array_append("kinds", F.lit(kind))).otherwise(F.col("kinds"))
         df = df.withColumns({"kinds": found, "redacted": F.regexp_replace("redacted", pattern, f"[REDACTED:{kind}]")})
     return df
@@ -176,7 +188,7 @@ def dedup_ordered(col: Column) -> Column:
     return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(known(acc, x), acc).otherwise(F.array_append(acc, x)))
 
 
-#: Codes of scripts, in the order that decides ties.
+#: Codes of scripts.
 SCRIPTS = {
     "Latn": "Latin", "Cyrl": "Cyrillic", "Grek": "Greek", "Arab": "Arabic", "Hebr": "Hebrew", "Deva": "Devanagari", "Beng": "Bengali", "Taml": "Tamil",
     "Thai": "Thai", "Khmr": "Khmer", "Kore": "Hangul", "Hani": "Han", "Ethi": "Ethiopic", "Sinh": "Sinhala",
@@ -184,10 +196,11 @@ SCRIPTS = {
 
 
 def detect_script(col: Column) -> Column:
-    """Jpan with any kana, else the script with most letters (in the order above on ties; Kore for Hangul), Zyyy without
-    letters."""
-    count = lambda name: F.regexp_count(col, F.lit(rf"[\p{{Is{name}}}&&\p{{L}}]"))
-    counts = [F.struct(count(name).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, name) in enumerate(SCRIPTS.items())]
+    """Jpan with any kana, else the script with most letters (the first seen on ties; Kore for Hangul). Letters of other
+    scripts count together as Zyyy, which is also the script of a text without letters."""
+    inside = {code: rf"[\p{{Is{name}}}&&\p{{L}}]" for code, name in SCRIPTS.items()}
+    inside["Zyyy"] = rf"[\p{{L}}&&[^{''.join(rf'\p{{Is{name}}}' for name in SCRIPTS.values())}\p{{IsHiragana}}\p{{IsKatakana}}]]"
+    counts = [F.struct(F.regexp_count(col, F.lit(p)).alias("n"), (-F.regexp_instr(col, F.lit(p))).alias("i"), F.lit(code).alias("code")) for code, p in inside.items()]
     most = F.array_max(F.array(*counts))
     return (
         F.when(F.regexp_like(col, F.lit(r"[\p{IsHiragana}\p{IsKatakana}&&\p{L}]")), "Jpan").when(most["n"] > 0, most["code"]).otherwise("Zyyy")

@@ -154,3 +154,13 @@ def test_error_keys_name_missing_tokens(spark):
 def test_admission_by_list_and_format_characters(spark):
     df = texts(spark, ["a\u070fb", "a\u200db", "\u00a0\u2028ok\u2029", "buy SPAM", "a\r\nb\r\nc"])
     assert column(df, X.validate_text(F.col("text"), blocked=F.contains(F.lower("text"), F.lit("spam")))) == ["hidden", None, None, "policy", None]
+
+
+def test_digits_and_scripts_of_any_kind(spark):
+    df = texts(spark, ["\uff15\uff10\uff05 \uff2f\uff26\uff26", "\u0661\u0662\u0663 off", "Sale \uff04\uff11\uff19\uff0e\uff19\uff10", None])
+    assert column(df, X.critical_tokens(F.col("text"))) == [["50%", "off"], ["\u0661\u0662\u0663"], ["$19.90"], None]
+    phone = texts(spark, ["call +\u0669\u0661 \u0669\u0668\u0667\u0666\u0665 \u0664\u0663\u0662\u0661\u0660 now", "call +91 98765 43210 now"])
+    assert [r.redacted for r in X.redact(phone).orderBy("id").collect()] == ["call [REDACTED:phone] now"] * 2
+    assert sorted((r.id, r.term) for r in X.blocklist(texts(spark, ["\uff33\uff30\uff21\uff2d deals"]), "id", "text", ["spam"]).collect()) == [(0, "spam")]
+    scripts = texts(spark, ["\u10d0\u10d1\u10d2 ok", "ok \u0434\u0430", "\u0434\u0430 ok", "\u0434\u0430 okay", "\u304b ok ok", "\ud55c\uae00 a", "12 !", None])
+    assert column(scripts, X.detect_script(F.col("text"))) == ["Zyyy", "Latn", "Cyrl", "Latn", "Jpan", "Kore", "Zyyy", "Zyyy"]
