@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import enrich as N
@@ -180,6 +181,17 @@ def order_checks(spark, sf_dir):
     return K.order_checks(table(spark, sf_dir, "v_checks"))
 
 
+@query(
+    "numeric_order",
+    twin(r"""SELECT split, product_id, row_number() OVER (PARTITION BY split ORDER BY regexp_extract(product_id, '^(\D*)', 1), coalesce(TRY_CAST(regexp_extract(product_id, '(\d+)', 1) AS bigint), 0), product_id) AS place
+    FROM (SELECT DISTINCT split, product_id FROM v_items) x"""),
+)
+def numeric_order(spark, sf_dir):
+    rows = table(spark, sf_dir, "v_items").select("split", "product_id").distinct()
+    place = F.row_number().over(Window.partitionBy("split").orderBy(*K.numeric_order(F.col("product_id"))))
+    return rows.select("split", "product_id", place.alias("place"))
+
+
 @query(
     "facets",
     twin(f"""SELECT product_id, min_by(CASE WHEN item_id % 3 <> 0 THEN 'N' || item_id END, CASE WHEN item_id % 3 <> 0 THEN item_id END) AS name, count(*) AS items,
