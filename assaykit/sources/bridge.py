@@ -143,6 +143,16 @@ FROM (SELECT conv_id * 100 + turn AS item_id, reader, read_no, again, text AS re
   FROM {conversations} CROSS JOIN (VALUES ('a', 1, false), ('b', 2, false), ('c', 3, false), ('a', 4, true), ('b', 5, true), ('c', 6, true), ('c', 7, true)) k(reader, read_no, again)
   WHERE conv_id % 11 <> 0 OR read_no = 3) r""",
     "v_log": f"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY place) AS seq, type, 1700000000000000 + run_id * 60000000 + place * 1500000 AS at_us, {', '.join(_EVENT)} FROM (\n{_LOG}) l",
+    "v_outputs": """
+SELECT run_id AS item_id, CASE WHEN run_id % 5 = 4 THEN 'nat' ELSE 'final' END AS item_set, 'product' || CAST(tenant AS string) AS group_id, status, outcome, first_attempt_pass, repair_count, cost_usd, latency_ms,
+  CASE run_id % 4 WHEN 1 THEN 'construction' WHEN 2 THEN 'ocr' END AS text_verification, run_id % 8 = 6 AS exclude_native,
+  CASE WHEN run_id % 17 = 0 THEN NULL ELSE 512 + run_id % 3 * 256 END AS width, CASE WHEN run_id % 23 = 0 THEN NULL ELSE 768 + run_id % 7 * 64 END AS height, run_id % 19 <> 0 AS evaluated
+FROM {v_runs}""",
+    "v_outputchecks": """
+SELECT run_id AS item_id, CASE candidate_no WHEN 1 THEN 'ocr_cer' WHEN 2 THEN 'hue_drift' WHEN 3 THEN 'vlm_label_subtext_preserved' ELSE 'blank' END AS name,
+  CASE WHEN part_id % 13 = 0 THEN NULL ELSE part_id % 5 <> 0 END AS passed, CASE WHEN part_id % 7 = 0 THEN NULL WHEN quantity > 25 THEN 0.0 ELSE CAST(quantity AS double) / 100 END AS value,
+  CASE WHEN part_id % 11 = 0 THEN NULL ELSE supplier_id % 6 = 0 END AS note
+FROM {v_candidates}""",
     "v_vectors": "SELECT vec_id, label, embedding FROM {embeddings}",
 }
 
