@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 #: Characters that are written alike.
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe58\ufe63\uff0d\u2e3a\u2e3b"
-QUOTES = "\u2018\u2019\u201a\u201b`\u00b4"
+QUOTES = "\u2018\u2019\u201a\u201b\u2032\u00b4`"
+DOUBLE = "\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb\u2039\u203a"
 KEPT = "%.,:/+-"
+#: Quotes and brackets that can be extra in a read, and scripts whose words have no spaces between them.
+DELIMITERS = "'\"()[]{}<>「」『』【】〔〕"
+UNSPACED = ("Jpan", "Hans", "Hant", "Hani", "Thai", "Khmr", "Laoo", "Mymr")
 #: Latin letters with marks and what they fold to.
 MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
@@ -53,6 +57,57 @@ def fold_text(text: str) -> str:
     return re.sub(r"[^\w]+", " ", "".join(c for c in marked if not unicodedata.combining(c))).strip()
 
 
+_ALIKE = {ord(c): "-" for c in DASHES} | {ord(c): "'" for c in QUOTES} | {ord(c): '"' for c in DOUBLE}
+
+
+def alike(text: str) -> str:
+    """Compatibility forms and case folded, one kind of dash and of each quote; no character dropped."""
+    return unicodedata.normalize("NFKC", text).casefold().translate(_ALIKE)
+
+
+def normalise_keeping(text: str, keep: str = "") -> str:
+    """normalise_text() that also keeps the punctuation in keep."""
+    kept = "".join(c for c in alike(text) if c in KEPT or c in keep or not unicodedata.category(c).startswith("P"))
+    return re.sub(r"\s+", " ", kept).strip()
+
+
+def once_each(df: DataFrame, columns: list[str], form: Column, out: str) -> DataFrame:
+    """df with form, an expression of columns that is dear, worked out once for each distinct row of them and joined back."""
+    keys = [f"__{c}" for c in columns]
+    distinct = df.select(*columns).distinct()
+    known = distinct.select(*[F.col(c).alias(k) for c, k in zip(columns, keys)], form.alias(out))
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(columns, keys)]
+    return df.drop(out).join(known, same, "left").drop(*keys)
+
+
+@F.pandas_udf(T.StructType([T.StructField("read", T.StringType()), T.StructField("required", T.StringType())]))
+def _forms(reads: pd.Series, required: pd.Series, scripts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for read, wanted, script in zip(reads, required, scripts):
+        if wanted is None:
+            rows.append((None, None))
+            continue
+        present = set(alike(wanted))
+        keep = "".join(c for c in DELIMITERS if c not in present)
+        spaces = "" if script in UNSPACED else " "
+        rows.append(tuple(None if t is None else normalise_keeping(t, keep).replace(" ", spaces) for t in (read, wanted)))
+    return pd.DataFrame(rows, columns=["read", "required"])
+
+
+def comparable(df: DataFrame, read: str = "read", required: str = "required") -> DataFrame:
+    """df with forms.read and forms.required, the texts as they are compared. Quotes and brackets that the required text has
+    are dropped on both sides, as reads often miss them; those that it lacks are kept, each an extra character. Scripts
+    without spaces between words lose theirs. Null where a text is null; each distinct pair is worked out once."""
+    script = F.coalesce(detect_script(F.col(required)), F.lit("Zyyy"))
+    return once_each(df, [read, required], _forms(F.col(read), F.col(required), script), "forms")
+
+
+@F.pandas_udf(T.StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Letters and the marks on them as one character, where there is one (NFC)."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def normalise_exact(texts: pd.Series) -> pd.Series:
     """With compatibility forms and case folding ("Straße" gives "strasse")."""
@@ -97,7 +152,8 @@ JOINERS = r"\x{200C}\x{200D}"
 
 def validate_text(col: Column, longest: int = 80, lines: int = 3, blocked: Column | None = None) -> Column:
     """The first rule that a text breaks, or null. White space around it doesn't count; blocked says of each row
-    whether the text is on a list (see blocklist). Lengths are of the text as it is, without composition."""
+    whether the text is on a list (see blocklist). Lengths are of the text as it is; give composed() of it for those with
+    marks composed."""
     t = F.regexp_replace(F.replace(col, F.lit("\r\n"), F.lit("\n")), r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$", "")
     return (
         F.when(col.isNull() | (F.length(t) == 0), "empty")
@@ -184,8 +240,11 @@ def canonical_hash(*names: str) -> Column:
 def dedup_ordered(col: Column) -> Column:
     """First occurrences of an array's strings, trimmed, whatever their case; empty ones go."""
     clean = F.filter(F.transform(col, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    known = lambda acc, x: F.exists(acc, lambda y: F.lower(y) == F.lower(x))
-    return F.aggregate(clean, F.array().cast("array<string>"), lambda acc, x: F.when(known(acc, x), acc).otherwise(F.array_append(acc, x)))
+    # sorted by key and place, each word whose key differs from the one before it; then back in order of place
+    placed = F.array_sort(F.transform(clean, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(placed, lambda e: e["k"]))
+    pairs = F.filter(F.arrays_zip(placed.alias("e"), before.alias("b")), lambda z: z["e"].isNotNull() & ~z["e"]["k"].eqNullSafe(z["b"]))
+    return F.transform(F.array_sort(F.transform(pairs, lambda z: F.struct(z["e"]["i"].alias("i"), z["e"]["x"].alias("x")))), lambda e: e["x"])
 
 
 #: Codes of scripts.

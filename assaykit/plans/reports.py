@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assaykit.operators import golden as G
 from assaykit.operators import metrics as M
 from assaykit.operators import reports as R
 from assaykit.plans.evaluation import OUTCOME, VERDICT, items
 from assaykit.plans.registry import query
+from assaykit.session import written
 from assaykit.sources.bridge import DIMENSIONS, table, twin
 
 SHIPS = "item_set = 'final' AND status IN ('passed', 'approved')"
@@ -126,3 +128,58 @@ def item_tags(spark, sf_dir):
     status = F.when(F.col("status").isin("held", "rejected"), "needs_review").otherwise(F.col("status"))
     runs = table(spark, sf_dir, "v_runs").select(F.col("run_id").alias("item_id"), "first_attempt_pass", "repair_count", "outcome", status.alias("status"))
     return R.derive_tags(M.items_from_wide(table(spark, sf_dir, "v_items")), runs).select("item_id", F.array_join("tags", "|").alias("tags"))
+
+
+EMPTY = {
+    "images": "image_sha string, origin string",
+    "runs": "run_id bigint, brief_id bigint, status string, outcome string, approved_id bigint, best_id bigint",
+    "candidates": "candidate_id bigint, run_id bigint, image_sha string, parent_id bigint, attempt int, slot int",
+    "labels": "image_sha string, labeller string, rubric_version string, text boolean, product boolean, context boolean, composition boolean",
+    "planted": "image_sha string, source_sha string, mutation string",
+    "evaluations": "image_sha string, candidate_id bigint, version string, verdict string, n_checks bigint, technical boolean, text boolean, product boolean, context boolean, composition boolean",
+    "events": "run_id bigint, seq bigint, type string, candidate_id bigint, status string",
+}
+
+
+def golden_files(spark, sf_dir) -> G.Files:
+    """A data set's files: items of brief b and version belong to run b of it, natural ones before final ones."""
+    rows = table(spark, sf_dir, "v_items").select(
+        F.concat(F.lit("sha"), F.col("item_id")).alias("image_sha"), "item_id", "item_set", F.floor(F.col("item_id") / 5).alias("run_id"), "brief_id", "version", "mutation", "source_id", "label_source",
+        *[f"label_{d}" for d in DIMENSIONS], *[F.when(F.col(f"assessed_{d}"), F.col(f"pred_{d}")).alias(d) for d in DIMENSIONS],
+    )
+    labels = [F.col(f"label_{d}").alias(d) for d in G.LABELLED]
+    status = F.when(F.col("run_id") % 4 == 0, "approved").when(F.col("run_id") % 4 == 1, "passed").otherwise("needs_review")
+    first = rows.where("(item_set = 'nat' AND item_id % 5 = 0) OR item_set = 'final'")
+    outputs = first.select(
+        "image_sha", "item_set", "run_id", "brief_id", F.when(F.col("item_set") == "nat", 0).otherwise(1).alias("attempt"), F.lit(0).alias("slot"), status.alias("status"),
+        F.lit("native").alias("outcome"), F.when(F.col("run_id") % 8 != 4, "pass").alias("verdict"), F.when(F.col("item_id") % 7 == 0, "old").otherwise("new").alias("evaluator_version"),
+    )
+    planted = rows.where("item_set = 'plant'").select("image_sha", F.concat(F.lit("sha"), F.col("source_id")).alias("source_sha"), "mutation", *labels)
+    verdict = F.when(F.col("technical"), "pass").otherwise("fail")
+    return G.Files(
+        outputs, rows.where("label_source = 'human'").select("image_sha", F.lit("1").alias("rubric_version"), *labels), planted,
+        rows.where("item_id % 3 <> 0").select("image_sha", F.lit("new").alias("version"), verdict.alias("verdict"), *DIMENSIONS),
+        table(spark, sf_dir, "v_checks").select(F.concat(F.lit("sha"), F.col("item_id")).alias("image_sha"), F.col("check_name").alias("name"), "passed"),
+    )
+
+
+_FINALS = "SELECT item_id, CAST(floor(item_id / 5) AS bigint) AS run_id FROM v_items WHERE item_set = 'final'"
+
+
+@query(
+    "golden_import",
+    twin(f"""WITH f AS ({_FINALS}), k AS (SELECT item_id, CAST(floor(item_id / 5) AS bigint) AS run_id, item_set FROM v_items WHERE item_set = 'final' OR (item_set = 'nat' AND item_id % 5 = 0)),
+      c AS (SELECT k.* FROM k WHERE run_id IN (SELECT run_id FROM f)), known AS (SELECT item_id FROM k UNION SELECT item_id FROM v_items WHERE item_set = 'plant'),
+      e AS (SELECT item_id FROM c WHERE item_id % 3 <> 0 AND item_id % 7 <> 0)
+    SELECT 'images' AS name, count(*) AS n FROM known UNION ALL SELECT 'runs', count(*) FROM f UNION ALL SELECT 'candidates', count(*) FROM c
+    UNION ALL SELECT 'labels', count(*) + (SELECT count(*) FROM v_items WHERE item_set = 'plant') FROM v_items WHERE label_source = 'human' AND item_id IN (SELECT item_id FROM known)
+    UNION ALL SELECT 'planted', count(*) FROM v_items WHERE item_set = 'plant'
+    UNION ALL SELECT 'evaluations', (SELECT count(*) FROM e) + count(*) FROM known WHERE item_id % 3 <> 0
+    UNION ALL SELECT 'events', 2 * (SELECT count(*) FROM f) + (SELECT count(*) FROM c) + count(*) FROM e"""),
+)
+def golden_import(spark, sf_dir):
+    """Rows of each table after two imports, the second of which adds nothing."""
+    files = golden_files(spark, sf_dir)
+    nothing = G.Tables(**{name: spark.createDataFrame([], schema) for name, schema in EMPTY.items()})
+    once = G.golden_import(files, nothing)
+    return G.golden_import(files, G.Tables(**{name: written(getattr(once, name)) for name in EMPTY})).counts()

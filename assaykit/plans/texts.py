@@ -30,6 +30,20 @@ def normalise_exact(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.normalise_exact("text").alias("normal"))
 
 
+def _form(t: str) -> str:
+    """A text as it is compared: by character, with the delimiters that the required text lacks."""
+    one = f"translate(replace(lower({t}), 'ß', 'ss'), '{X.DASHES}', '{'-' * len(X.DASHES)}')"
+    delimiters = X.DELIMITERS.replace("'", "''")
+    kept = rf"NOT regexp_matches(c, '\p{{P}}') OR contains('{X.KEPT}', c) OR (contains('{delimiters}', c) AND NOT contains(required, c))"
+    return rf"trim(regexp_replace(array_to_string(list_filter(string_split({one}, ''), lambda c: {kept}), ''), '\s+', ' ', 'g'))"
+
+
+@query("comparable", twin(f"SELECT item_id, reader, {_form('read')} AS read, {_form('required')} AS required FROM (SELECT item_id, reader, required, replace(read, 'e', '(e)') AS read FROM v_reads) r"))
+def comparable(spark, sf_dir):
+    rows = table(spark, sf_dir, "v_reads").select("item_id", "reader", "required", F.replace("read", F.lit("e"), F.lit("(e)")).alias("read"))
+    return X.comparable(rows).select("item_id", "reader", "forms.read", "forms.required")
+
+
 @query("fold_key", rf"SELECT doc_id, trim(regexp_replace(lower(translate(text, '{X.MARKED}', '{X.PLAIN}')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS folded FROM documents")
 def fold_key(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.fold_key(F.col("text")).alias("folded"))
@@ -149,6 +163,16 @@ def stray_agreement(spark, sf_dir):
     return X.stray_agreement(table(spark, sf_dir, "v_reads").select("item_id", "reader", "read_no", F.col("read").alias("text"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
 
 
+@query(
+    "composed_lengths",
+    r"""SELECT n, count(*) AS lines FROM (SELECT length(nfc_normalize(replace(replace(unnest(string_split(text, chr(10))), 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)))) AS n FROM documents) l GROUP BY n""",
+)
+def composed_lengths(spark, sf_dir):
+    """Lengths of lines whose marks were taken apart and are composed again."""
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return docs(spark, sf_dir).select(F.explode(F.split(apart, "\n")).alias("line")).groupBy(F.length(X.composed("line")).cast("long").alias("n")).agg(F.count("*").alias("lines"))
+
+
 @query(
     "validate_text",
     r"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN length(t) = 0 THEN 'empty' WHEN length(t) > 80 THEN 'too_long' WHEN regexp_matches(t, '\p{Cc}') THEN 'control'

@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assaykit.operators import golden as G
 from assaykit.operators import reports as R
+from assaykit.plans.reports import EMPTY
 
 
 def test_exact_percentiles_against_sorting(spark):
@@ -75,3 +77,46 @@ def test_tags(spark):
         1: ["held-out split", "human-labelled", "disagrees with human", "first-attempt pass", "repaired", "text fallback", "held for review"],
         2: ["calibration split", "human-labelled"], 3: ["calibration split"], 4: ["held-out split", "human-labelled", "disagrees with human"],
     }
+
+
+FLAGS = "text boolean, product boolean, context boolean, composition boolean"
+
+
+def test_golden_import_twice(spark):
+    outputs = [
+        ("a", "nat", 1, 7, 0, 0, "passed", "native", "pass", "ev"), ("b", "final", 1, 7, 1, 0, "passed", "native", "pass", "ev"), ("c", "nat", 2, 8, 0, 0, "held", None, None, "old"), ("c", "final", 2, 8, 0, 0, "held", None, None, "old"),
+        ("d", "nat", 3, 9, 0, 0, "approved", "native", "pass", "ev"), ("e", "final", 4, 9, 0, 1, "approved", "overlay", "fail", "ev"), ("b", "final", 1, 7, 1, 0, "passed", "native", "pass", "ev"), (None, "final", 5, 9, 0, 1, "approved", None, None, None),
+        ("f", "final", 6, 9, 0, 0, "passed", "native", "pass", "ev"), ("g", "final", 7, 9, 0, 0, "passed", "native", "pass", "ev"),
+    ]
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    files = G.Files(
+        make(outputs, "image_sha string, item_set string, run_id long, brief_id long, attempt int, slot int, status string, outcome string, verdict string, evaluator_version string"),
+        make([("a", "1", True, False, None, None), ("z", "1", True, True, True, True)], f"image_sha string, rubric_version string, {FLAGS}"),
+        make([("p", "b", "typo", False, True, True, None)], f"image_sha string, source_sha string, mutation string, {FLAGS}"),
+        make([("a", "ev", "pass", True, True, True, True, None), ("c", "ev", "fail", True, False, True, True, None), ("z", "ev", "pass", True, True, True, True, None)], f"image_sha string, version string, verdict string, technical boolean, {FLAGS}"),
+        make([("a", "ocr", True), ("a", "blank", None), ("a", "ocr", True)], "image_sha string, name string, passed boolean"),
+    )
+    known = {name: make([], schema) for name, schema in EMPTY.items()}
+    known["runs"] = make([(6, 9, "passed", "native", 1, None)], EMPTY["runs"])
+    known["candidates"] = make([(77, 70, "g", None, 0, 0)], EMPTY["candidates"])
+    before = G.Tables(**known)
+    assert {r.run_id: r.link for r in G.linked_runs(files.outputs.where("image_sha IS NOT NULL"), before).collect()} == {1: "create", 2: "create", 4: "create", 6: "id", 7: "image"}
+    once = G.golden_import(files, before)
+    twice = G.golden_import(files, once)
+    for name in EMPTY:
+        assert sorted(map(str, getattr(once, name).collect())) == sorted(map(str, getattr(twice, name).collect())), name
+    ids = {(r.run_id, r.image_sha): r for r in once.candidates.collect()}
+    assert set(ids) == {(1, "a"), (1, "b"), (2, "c"), (4, "e"), (70, "g")}
+    assert ids[1, "b"].parent_id == ids[1, "a"].candidate_id and ids[1, "a"].parent_id is None and ids[4, "e"].parent_id is None
+    runs = {r.run_id: (r.approved_id, r.best_id) for r in once.runs.collect()}
+    assert runs == {1: (ids[1, "b"].candidate_id, None), 2: (None, ids[2, "c"].candidate_id), 4: (None, ids[4, "e"].candidate_id), 6: (1, None)}
+    log = {}
+    for r in once.events.orderBy("run_id", "seq").collect():
+        log.setdefault(r.run_id, []).append((r.seq, r.type, r.status))
+    assert [x[1] for x in log[1]] == ["run.status", "candidate.created", "evaluation.done", "candidate.created", "run.finished"] and log[1][-1] == (5, "run.finished", "passed")
+    assert [x[1:] for x in log[2]] == [("run.status", "queued"), ("candidate.created", None), ("run.finished", "needs_review")]  # another version's report tells no checks
+    found = sorted((r.image_sha, r.candidate_id is None, r.n_checks) for r in once.evaluations.collect())
+    assert found == [("a", False, 2), ("a", True, 2), ("c", True, 0)]
+    assert sorted((r.image_sha, r.labeller) for r in once.labels.collect()) == [("a", "human"), ("p", "planted")]
+    assert {r.image_sha: r.origin for r in once.images.collect()} == dict.fromkeys("abcdefg", "golden") | {"p": "planted"}
+    assert {r.name: r.n for r in twice.counts().collect()} == {"images": 8, "runs": 4, "candidates": 5, "labels": 2, "planted": 1, "evaluations": 3, "events": 11}

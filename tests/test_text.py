@@ -164,3 +164,27 @@ def test_digits_and_scripts_of_any_kind(spark):
     assert sorted((r.id, r.term) for r in X.blocklist(texts(spark, ["\uff33\uff30\uff21\uff2d deals"]), "id", "text", ["spam"]).collect()) == [(0, "spam")]
     scripts = texts(spark, ["\u10d0\u10d1\u10d2 ok", "ok \u0434\u0430", "\u0434\u0430 ok", "\u0434\u0430 okay", "\u304b ok ok", "\ud55c\uae00 a", "12 !", None])
     assert column(scripts, X.detect_script(F.col("text"))) == ["Zyyy", "Latn", "Cyrl", "Latn", "Jpan", "Kore", "Zyyy", "Zyyy"]
+
+
+def test_comparable_forms(spark):
+    rows = [
+        ("“Big” sale", "Big (sale)"), ("“Big” sale", "big „sale“"), ("大 特価", "大特 「価"), ("ราคา ดี", "ราคาดี"), ("５０％ OFF—now", "50% off-now!"), (None, "x"), ("x", None), ("Straße", "STRASSE"), ("“Big” sale", "Big (sale)"),
+    ]
+    df = spark.createDataFrame(rows, "required string, read string").repartition(3)
+    got = {(r.required, r.read): (r.forms.required, r.forms.read) for r in X.comparable(df).collect()}
+    assert X.comparable(df).count() == len(rows) and got == {
+        rows[0]: ("big sale", "big (sale)"), rows[1]: ("big sale", "big sale"), rows[2]: ("大特価", "大特「価"), rows[3]: ("ราคาดี", "ราคาดี"), rows[4]: ("50% off-now", "50% off-now"),
+        rows[5]: (None, None), rows[6]: ("x", None), rows[7]: ("strasse", "strasse"),
+    }
+
+
+def test_lengths_of_composed_text(spark):
+    line = "e\u0301" * 80
+    assert column(texts(spark, [line, line + "e"]), X.validate_text(X.composed(F.col("text")))) == [None, "too_long"]
+    assert column(texts(spark, [line]), X.validate_text(F.col("text"))) == ["too_long"]
+
+
+def test_dedup_ordered_long(spark):
+    df = spark.createDataFrame([([f"w{i % 7000}" if i % 2 else f" W{i % 7000} " for i in range(40_000)],), (["b", "", "A", "a ", "B"],), ([],), (None,)], "a array<string>")
+    got = [r[0] for r in df.select(X.dedup_ordered(F.col("a"))).collect()]
+    assert got == [[f"w{i}" if i % 2 else f"W{i}" for i in range(7000)], ["b", "A"], [], None]
