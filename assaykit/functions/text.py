@@ -226,7 +226,7 @@ REASONS = ("scale", "pasted", "shape", "colour", "label_text", "season", "geogra
 def parse_reasons(col: Column, known: tuple[str, ...] = REASONS) -> Column:
     """Map of the pairs reason:<dimension>=<code>; unknown codes are dropped, the last of a dimension stays."""
     pairs = F.regexp_extract_all(col, F.lit(r"reason:\w+=\w+"), 0)
-    split = F.transform(pairs, lambda p: F.split(F.substring(p, 8, 1000), "="))
+    split = F.transform(pairs, lambda p: F.split(F.substr(p, F.lit(8)), "="))
     kept = F.filter(split, lambda p: p[1].isin(*known))
     put = lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p[0]), F.create_map(p[0], p[1]))
     return F.aggregate(kept, F.create_map().cast("map<string,string>"), put)

@@ -204,16 +204,17 @@ def compare_versions(items: DataFrame) -> DataFrame:
 
 def threshold_sweep(scores: DataFrame, grid: list[float]) -> DataFrame:
     """Best threshold by F1 on calibration rows of (score, label, split), lowest on ties, and its figures on held-out
-    rows. A row fails if its score is under the threshold."""
-    spark = scores.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(g,) for g in grid], "threshold double"))
-    rows = scores.join(steps).withColumn("fails", F.col("score") < F.col("threshold"))
-    counted = rows.groupBy("split", "threshold").agg(
-        F.count_if(~F.col("label") & F.col("fails")).alias("tp"),
-        F.count_if(F.col("label") & F.col("fails")).alias("fp"),
-        F.count_if(~F.col("label") & ~F.col("fails")).alias("fn"),
-        F.count_if(F.col("label") & ~F.col("fails")).alias("tn"),
-    )
+    rows. A row fails if its score is under the threshold; rows without a score count nowhere. Rows are counted once by the
+    number of thresholds that they reach, so that only those counts meet the grid."""
+    grid = sorted(set(grid))
+    steps = F.broadcast(scores.sparkSession.createDataFrame(list(enumerate(grid)), "place int, threshold double"))
+    reached = F.size(F.filter(F.array(*[F.lit(float(g)) for g in grid]), lambda t: t <= F.col("score")))
+    bins = scores.where("score IS NOT NULL").groupBy("split", reached.alias("reached")).agg(F.count_if(~F.col("label")).alias("bad"), F.count_if("label").alias("good"))
+    some = lambda n, c: F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0))
+    fails = F.col("reached") <= F.col("place")
+    counted = bins.crossJoin(steps).groupBy("split", "threshold").agg(
+        some("bad", fails).alias("tp"), some("good", fails).alias("fp"), some("bad", ~fails).alias("fn"), some("good", ~fails).alias("tn")
+    )
     rated = _ratios(counted)
     best = rated.where(F.col("split") == "calibration").agg(F.max_by("threshold", F.struct(F.coalesce("f1", F.lit(-1.0)), -F.col("threshold"))).alias("threshold"))
     return rated.join(F.broadcast(best), "threshold")

@@ -120,3 +120,21 @@ def test_golden_import_twice(spark):
     assert sorted((r.image_sha, r.labeller) for r in once.labels.collect()) == [("a", "human"), ("p", "planted")]
     assert {r.image_sha: r.origin for r in once.images.collect()} == dict.fromkeys("abcdefg", "golden") | {"p": "planted"}
     assert {r.name: r.n for r in twice.counts().collect()} == {"images": 8, "runs": 4, "candidates": 5, "labels": 2, "planted": 1, "evaluations": 3, "events": 11}
+
+
+def test_threshold_sweep_counts_rows_once(spark):
+    from assaykit.operators import metrics as M
+
+    rng = np.random.default_rng(8)
+    rows = [(float(s), bool(x), "calibration" if c else "heldout") for s, x, c in zip(rng.integers(0, 20, 400), rng.random(400) < 0.5, rng.random(400) < 0.6)] + [(None, True, "heldout")]
+    grid = [3.0, 10.0, 5.5, 10.0, 19.0]
+    got = {r.split: r for r in M.threshold_sweep(spark.createDataFrame(rows, "score double, label boolean, split string"), grid).collect()}
+
+    def figures(split, t):
+        of = [(s < t, x) for s, x, c in rows if c == split and s is not None]
+        return [sum(a is f and b is x for a, b in of) for f, x in ((True, False), (True, True), (False, False), (False, True))]
+
+    f1 = lambda t: (lambda tp, fp, fn, tn: 2 * tp / (2 * tp + fp + fn))(*figures("calibration", t))
+    best = max(sorted(set(grid)), key=f1)
+    for split, r in got.items():
+        assert r.threshold == best and [r.tp, r.fp, r.fn, r.tn] == figures(split, best)
