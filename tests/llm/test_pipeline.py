@@ -87,3 +87,14 @@ def test_a_broken_run_goes_on(spark, sf_dir, tmp_path, monkeypatch):
         P.run(spark, small, folder)
     monkeypatch.setattr(P, "STAGES", [("language", broken), *stages[1:]])
     assert P.run(spark, small, folder).count() > 0
+
+
+def test_another_input_in_the_same_folder(spark, sf_dir, tmp_path):
+    folder = f"file://{tmp_path}/run"
+    for name in ("documents", "benchmark"):
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        rows.limit(30).write.parquet(f"{tmp_path}/a/{name}.parquet")
+        rows.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    assert P.run(spark, f"{tmp_path}/a", folder).count() > 0
+    assert P.run(spark, f"{tmp_path}/b", folder).count() == 0
+    assert P.run(spark, f"{tmp_path}/a", folder).count() > 0
