@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -113,14 +114,16 @@ def rate_limit(calls: DataFrame, key: str, most: int, window_s: int = 3600) -> D
 
 def budget_walk(calls: DataFrame, cap: float, most: int, deadline_ms: int, warn: float = 0.8) -> DataFrame:
     """(call_id, blocked_by, warned, spent): calls of a run in order; a call is blocked by deadline, calls or budget, in
-    that order, and then spends nothing. warned marks the one call that first passes the warning share of the cap."""
+    that order, and then spends nothing. warned marks the one call that first reaches the warning share of the cap, a product
+    of decimals: 0.8 of 1.5 is 1.2, which the product of doubles is above."""
+    limit = float(Decimal(str(warn)) * Decimal(str(cap)))
     rows = calls.select("run_id", F.unix_micros("created_at").alias("at"), "call_id", F.coalesce(F.col("est_cost_usd").cast("double"), F.lit(0.0)).alias("cost"))
 
     def spend(state: dict, row: tuple) -> tuple:
         at, call, cost = row
         spent = state["spent"] + cost
         reason = "deadline" if at - state["start"] > deadline_ms * 1000 else "calls" if state["n"] >= most else "budget" if spent > cap + 1e-9 else None
-        now = reason is None and not state["warned"] and spent >= warn * cap
+        now = reason is None and not state["warned"] and spent >= limit
         if reason is None:
             state |= {"spent": spent, "n": state["n"] + 1, "warned": state["warned"] or now}
         return call, reason, now, round(state["spent"], 6)

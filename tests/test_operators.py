@@ -60,6 +60,11 @@ def test_budget_walk(spark):
     assert L.budget_walk(df, 10.0, 1, 150_000).orderBy("call_id").collect()[1].blocked_by == "calls"
 
 
+def test_budget_warning_at_just_the_share(spark):
+    df = spark.createDataFrame([(1, n, dt.datetime(2026, 1, 1, 0, n), 0.6) for n in (1, 2)], "run_id bigint, call_id bigint, created_at timestamp, est_cost_usd double")
+    assert [r.warned for r in L.budget_walk(df, 1.5, 40, 10**9).orderBy("call_id").collect()] == [False, True]
+
+
 def test_rate_limit_holds_slots_for_admitted_calls_only(spark):
     df = calls(spark, [(s, 0.0, "ok") for s in (0, 10, 20, 30, 61, 62)])
     rows = L.rate_limit(df, "run_id", 2, 60).orderBy("call_id").collect()
