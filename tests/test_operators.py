@@ -60,6 +60,16 @@ def test_budget_walk(spark):
     assert L.budget_walk(df, 10.0, 1, 150_000).orderBy("call_id").collect()[1].blocked_by == "calls"
 
 
+def test_checks_are_worked_out_in_one_pass(spark, sf_dir):
+    from assaykit.sources import bridge
+
+    df = bridge.table(spark, sf_dir, "v_checks")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    plain = spark.sql(bridge.VIEWS["v_checks"], v_candidates=bridge.table(spark, sf_dir, "v_candidates"))
+    assert df.columns == plain.columns and df.dtypes == plain.dtypes
+    assert df.exceptAll(plain).count() == 0 and plain.exceptAll(df).count() == 0
+
+
 def test_budget_warning_at_just_the_share(spark):
     df = spark.createDataFrame([(1, n, dt.datetime(2026, 1, 1, 0, n), 0.6) for n in (1, 2)], "run_id bigint, call_id bigint, created_at timestamp, est_cost_usd double")
     assert [r.warned for r in L.budget_walk(df, 1.5, 40, 10**9).orderBy("call_id").collect()] == [False, True]
