@@ -90,19 +90,16 @@ def run_detail(candidates: DataFrame, evaluations: DataFrame, checks: DataFrame)
     """One document for each run: its candidates in order, each with its latest evaluation and ordered checks."""
     listed = checks.groupBy(F.col("item_id").alias("candidate_id")).agg(F.array_sort(F.collect_list(F.struct("dimension", "check_name", "method", "passed"))).alias("checks"))
     newest = latest(evaluations, ["candidate_id"], [F.desc("evaluation_id")]).select("candidate_id", "version", "technical_pass", "text_pass", "product_pass", "context_pass", "composition_pass")
-    dims = F.map_concat(
-        F.create_map(*[x for d in ("technical", "text", "product", "context") for x in (F.lit(d), F.col(f"{d}_pass"))]),
-        F.when(F.col("composition_pass").isNotNull(), F.create_map(F.lit("composition"), F.col("composition_pass"))).otherwise(F.create_map().cast("map<string,boolean>")),
+    dims = lambda c: F.map_concat(
+        F.create_map(*[x for d in ("technical", "text", "product", "context") for x in (F.lit(d), c[f"{d}_pass"])]),
+        F.when(c["composition_pass"].isNotNull(), F.create_map(F.lit("composition"), c["composition_pass"])).otherwise(F.create_map().cast("map<string,boolean>")),
     )
     rows = candidates.select("run_id", "candidate_id", "attempt", "slot").join(newest, "candidate_id", "left").join(listed, "candidate_id", "left")
-    one = F.struct("attempt", "slot", "candidate_id", "version", dims.alias("dimensions"), "checks")
-    # maps have no order, so the candidates are sorted by the three fields that decide it
-    sort = F.array_sort(F.collect_list(one), lambda a, b: F.when(_key(a) < _key(b), -1).when(_key(a) > _key(b), 1).otherwise(0))
-    return rows.groupBy("run_id").agg(sort.alias("candidates"))
-
-
-def _key(c: Column) -> Column:
-    return F.struct(c["attempt"], c["slot"], c["candidate_id"])
+    # the maps are made after the shuffle: their names would be most of it
+    listed_dims = [f"{d}_pass" for d in ("technical", "text", "product", "context", "composition")]
+    sort = F.array_sort(F.collect_list(F.struct("attempt", "slot", "candidate_id", "version", *listed_dims, "checks")))
+    shown = lambda c: F.struct(c["attempt"], c["slot"], c["candidate_id"], c["version"], dims(c).alias("dimensions"), c["checks"])
+    return rows.groupBy("run_id").agg(sort.alias("candidates")).select("run_id", F.transform("candidates", shown).alias("candidates"))
 
 
 def model_fallbacks(candidates: DataFrame) -> DataFrame:
