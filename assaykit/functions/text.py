@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -257,13 +258,28 @@ SCRIPTS = {
 def detect_script(col: Column) -> Column:
     """Jpan with any kana, else the script with most letters (the first seen on ties; Kore for Hangul). Letters of other
     scripts count together as Zyyy, which is also the script of a text without letters."""
-    inside = {code: rf"[\p{{Is{name}}}&&\p{{L}}]" for code, name in SCRIPTS.items()}
-    inside["Zyyy"] = rf"[\p{{L}}&&[^{''.join(rf'\p{{Is{name}}}' for name in SCRIPTS.values())}\p{{IsHiragana}}\p{{IsKatakana}}]]"
-    counts = [F.struct(F.regexp_count(col, F.lit(p)).alias("n"), (-F.regexp_instr(col, F.lit(p))).alias("i"), F.lit(code).alias("code")) for code, p in inside.items()]
-    most = F.array_max(F.array(*counts))
-    return (
-        F.when(F.regexp_like(col, F.lit(r"[\p{IsHiragana}\p{IsKatakana}&&\p{L}]")), "Jpan").when(most["n"] > 0, most["code"]).otherwise("Zyyy")
-    )
+    kana = r"[\p{IsHiragana}\p{IsKatakana}]+"
+    # what is left of the letters after each script is gone, so that a pattern sees only letters that those before it left
+    left = F.array(F.regexp_replace(col, r"\P{L}+", ""))
+
+    def without(name: str) -> Callable[[Column], Column]:
+        return lambda s: F.array_append(s, F.regexp_replace(F.element_at(s, -1), rf"\p{{Is{name}}}+", ""))
+
+    for name in SCRIPTS.values():
+        left = F.get(F.transform(F.array(left), without(name)), F.lit(0))
+    inside = {code: rf"\p{{Is{name}}}" for code, name in SCRIPTS.items()}
+    inside["Zyyy"] = rf"[^{''.join(rf'\p{{Is{name}}}' for name in SCRIPTS.values())}\p{{IsHiragana}}\p{{IsKatakana}}]"
+
+    def dominant(s: Column) -> Column:
+        def count(k: int, code: str, pattern: str) -> Column:
+            n = F.length(F.regexp_replace(s[k], kana, "")) if code == "Zyyy" else F.length(s[k]) - F.length(s[k + 1])
+            return F.struct(n.alias("n"), F.when(n > 0, -F.regexp_instr(s[0], F.lit(pattern))).otherwise(0).alias("i"), F.lit(code).alias("code"))
+
+        # with no letters at all the codes decide, of which Zyyy is the last
+        most = F.array_max(F.array(*[count(k, code, pattern) for k, (code, pattern) in enumerate(inside.items())]))
+        return F.when(F.regexp_like(F.element_at(s, -1), F.lit(kana)), "Jpan").otherwise(most["code"])
+
+    return F.get(F.transform(F.array(left), dominant), F.lit(0))
 
 
 def vote(reads: DataFrame, k: int = 2) -> DataFrame:

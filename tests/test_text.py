@@ -188,3 +188,10 @@ def test_dedup_ordered_long(spark):
     df = spark.createDataFrame([([f"w{i % 7000}" if i % 2 else f" W{i % 7000} " for i in range(40_000)],), (["b", "", "A", "a ", "B"],), ([],), (None,)], "a array<string>")
     got = [r[0] for r in df.select(X.dedup_ordered(F.col("a"))).collect()]
     assert got == [[f"w{i}" if i % 2 else f"W{i}" for i in range(7000)], ["b", "A"], [], None]
+
+
+def test_a_script_is_found_by_what_the_ones_before_it_left(spark):
+    df = texts(spark, ["a Ж ЖЖ", "Ж a", "aЖ", "한 a b 한", "漢 か", "ა ა a", None, "12 !"])
+    found = df.select(X.detect_script(F.col("text")).alias("s"))
+    assert column(df, X.detect_script(F.col("text"))) == ["Cyrl", "Cyrl", "Latn", "Kore", "Jpan", "Zyyy", "Zyyy", "Zyyy"]
+    assert "regexp_extract_all" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "regexp_count" not in plan  # a list of every letter, once for each script
