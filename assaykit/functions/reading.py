@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assaykit.functions.text import critical_tokens, edits, missing_tokens, normalise, substring_distance
+from assaykit.functions.text import critical_tokens, edits, missing_tokens, normalise, shared_start, substring_distance
 from assaykit.session import cut
 
 #: A read with more errors a character than this is none; letters and digits an extra word has at least.
@@ -23,6 +23,8 @@ KEYS = "array<struct<kind:string,pos:int,glyph:string>>"
 
 def window(read: str, required: str) -> tuple[int, int, int]:
     """(distance, start, stop) of the part of read that is nearest to required: the first to end, the shortest of those."""
+    if (at := read.find(required)) >= 0:
+        return 0, at if required else 0, at + len(required)
     distance, stop = substring_distance(read, required)
     _, back = substring_distance(read[:stop][::-1], required[::-1])
     return distance, stop - back, stop
@@ -39,16 +41,20 @@ def read_keys(reads: DataFrame) -> DataFrame:
     """reads with cer, garbage and keys: the errors of the part of each read that is nearest to what was required. An
     empty read and one of a cer above GARBAGE are garbage; a null text is an empty one."""
     rows = reads.withColumns({c: F.coalesce(c, F.lit("")) for c in ("required", "read")})
-    rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id", "reader", "read_no")
+    rows = rows.repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id")
 
     @F.pandas_udf(f"cer double, part string, keys {KEYS}")
     def compared(required: pd.Series, read: pd.Series) -> pd.DataFrame:
-        out = []
+        out, known = [], {}
         for want, got in zip(required, read):
+            if (want, got) in known:  # the reads of an item are often the same
+                out.append(known[want, got])
+                continue
             distance, start, stop = window(got, want)
             keys = [{"kind": k, "pos": p, "glyph": g or ""} for k, p, g in edits(want, got[start:stop])]
             keys += [{"kind": "extra", "pos": -1, "glyph": w} for w in extras(got, start, stop, want)]
             out.append((distance / len(want) if want else 0.0, got[start:stop], keys))
+            known[want, got] = out[-1]
         return pd.DataFrame(out, columns=["cer", "part", "keys"])
 
     rows = rows.withColumn("c", compared("required", "read"))
@@ -122,10 +128,10 @@ def read_decisions(reads: DataFrame, readback: str | None = None) -> DataFrame:
 def script(expected: str, read: str) -> list[tuple[str, str, str]]:
     """(op, expected, read) of the fewest edits, neighbours of one kind merged. Walked back from the ends: an equal pair, then a changed
     one, then one left out, then one put in. By Myers' bit vectors."""
-    tail = 0
-    while tail < min(len(expected), len(read)) and expected[-1 - tail] == read[-1 - tail]:
-        tail += 1
-    a, b = expected[: len(expected) - tail], read[: len(read) - tail]
+    tail = shared_start(expected[::-1], read[::-1])
+    left_a, left_b = expected[: len(expected) - tail], read[: len(read) - tail]
+    head = shared_start(left_a, left_b)
+    a, b = left_a[head:], left_b[head:]
     full, places = (1 << len(a)) - 1, {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -137,23 +143,33 @@ def script(expected: str, read: str) -> list[tuple[str, str, str]]:
         rise, fall = (down | ~(across | up)) & full, up & across
         more, less, both = (rise << 1 | 1) & full, fall << 1 & full, same | down
         columns.append(((less | ~(both | more)) & full, more & both, rise, fall))
-    steps = [("equal", c, c) for c in expected[len(expected) - tail :][::-1]]
-    i, j = len(a), len(b)
+    steps = [("equal", expected[len(expected) - tail :], read[len(read) - tail :])] if tail else []
+    i, j = len(left_a), len(left_b)
     while i or j:
-        slope = (columns[j][0] >> i - 1 & 1) - (columns[j][1] >> i - 1 & 1) if i else 0
-        left = (columns[j][2] >> i - 1 & 1) - (columns[j][3] >> i - 1 & 1) if i and j else 1
-        corner = left + (columns[j - 1][0] >> i - 1 & 1) - (columns[j - 1][1] >> i - 1 & 1) if i and j else 0
-        if i and j and a[i - 1] == b[j - 1] and corner == 0:
-            steps.append(("equal", a[i - 1], b[j - 1]))
+        x, y = i - head, j - head
+        if i == j and x <= 0:
+            steps.append(("equal", left_a[:i], left_b[:j]))
+            break
+        if i and j and left_a[i - 1] == left_b[j - 1]:  # the distance is that without the two
+            steps.append(("equal", left_a[i - 1], left_b[j - 1]))
             i, j = i - 1, j - 1
-        elif i and j and corner == 1:
-            steps.append(("replace", a[i - 1], b[j - 1]))
+            continue
+        # within the head that both have, what one has more of is all that differs
+        slope = left = corner = 0
+        if x > 0 and y > 0:
+            slope = (columns[y][0] >> x - 1 & 1) - (columns[y][1] >> x - 1 & 1)
+            left = (columns[y][2] >> x - 1 & 1) - (columns[y][3] >> x - 1 & 1)
+            corner = left + (columns[y - 1][0] >> x - 1 & 1) - (columns[y - 1][1] >> x - 1 & 1)
+        elif i > j:
+            slope = 1
+        if corner == 1:
+            steps.append(("replace", left_a[i - 1], left_b[j - 1]))
             i, j = i - 1, j - 1
-        elif i and slope == 1:
-            steps.append(("delete", a[i - 1], ""))
+        elif slope == 1:
+            steps.append(("delete", left_a[i - 1], ""))
             i -= 1
         else:
-            steps.append(("insert", "", b[j - 1]))
+            steps.append(("insert", "", left_b[j - 1]))
             j -= 1
     merged: list[tuple[str, list[str], list[str]]] = []
     for op, x, y in reversed(steps):
@@ -181,5 +197,12 @@ def register(spark) -> None:
 
 
 def with_diff(df: DataFrame, expected: str, read: str) -> DataFrame:
-    """df with a row for each merged difference: place, op (equal, replace, delete, insert), expected, got."""
-    return df.lateralJoin(diff_ops(F.col(expected).outer(), F.col(read).outer()))
+    """df with a row for each merged difference: place, op (equal, replace, delete, insert), expected, got. Rows are spread
+    over as many tasks as a shuffle has, as a script costs far more than its bytes."""
+
+    @F.pandas_udf("array<struct<place:int,op:string,expected:string,got:string>>")
+    def ops(wanted: pd.Series, got: pd.Series) -> pd.Series:
+        return pd.Series([[(n, *op) for n, op in enumerate(script(a or "", b or ""))] for a, b in zip(wanted, got)])
+
+    rows = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select("*", F.inline(ops(F.col(expected), F.col(read))))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,9 @@ PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
 SWAPS = ("013457@$", "oieastas")
 
 
+#: Texts that Python holds as strings at a time.
+SLICE = 64
+
 #: Full-width forms of the printable ASCII characters and of the space, which compatibility folding makes plain.
 WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
 NARROW = "".join(chr(0x21 + i) for i in range(94)) + " "
@@ -68,8 +73,21 @@ def alike(text: str) -> str:
 
 def normalise_keeping(text: str, keep: str = "") -> str:
     """normalise_text() that also keeps the punctuation in keep."""
-    kept = "".join(c for c in alike(text) if c in KEPT or c in keep or not unicodedata.category(c).startswith("P"))
-    return re.sub(r"\s+", " ", kept).strip()
+    return re.sub(r"\s+", " ", alike(text).translate(_kept(keep))).strip()
+
+
+class _Kept(dict):
+    """What becomes of each character, found out once: nothing of punctuation that isn't kept."""
+
+    def __init__(self, keep: str):
+        self.keep = frozenset(KEPT + keep)
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.category(chr(c)).startswith("P") and chr(c) not in self.keep else c
+        return self[c]
+
+
+_kept = lru_cache(1024)(_Kept)
 
 
 def once_each(df: DataFrame, columns: list[str], form: Column, out: str) -> DataFrame:
@@ -109,15 +127,21 @@ def composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def normalise_exact(texts: pd.Series) -> pd.Series:
+def _mapped(texts: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """one() of each text. Python holds the strings of a few texts at a time, not those of a whole batch on both sides."""
+    parts = [pa.array([None if t is None else one(t) for t in texts.slice(at, SLICE).to_pylist()], pa.string()) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def normalise_exact(texts: pa.Array) -> pa.Array:
     """With compatibility forms and case folding ("Straße" gives "strasse")."""
-    return texts.map(normalise_text, na_action="ignore")
+    return _mapped(texts, normalise_text)
 
 
-@F.pandas_udf(T.StringType())
-def fold_key_exact(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_text, na_action="ignore")
+@F.arrow_udf(T.StringType())
+def fold_key_exact(texts: pa.Array) -> pa.Array:
+    return _mapped(texts, fold_text)
 
 
 def fold_key(col: Column) -> Column:
@@ -317,15 +341,26 @@ def substring_distance(read: str, wanted: str) -> tuple[int, int]:
     return best, end
 
 
+def shared_start(a: str, b: str) -> int:
+    """How many characters a and b begin with in common; by halving, as slices are compared far faster than characters."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    step = 64
+    while a[low : low + step] == b[low : low + step]:
+        low += step
+    high = min(high, low + step)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle)
+    return low
+
+
 def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
     """The fewest edits that turn required into read, as (chg, place, None) and (ins, place before, character). Equal
     ends are set aside; of equal scripts the one that keeps or changes characters latest. By Myers' bit vectors, walked back."""
-    low, high = 0, min(len(required), len(read))
-    while low < high and required[low] == read[low]:
-        low += 1
-    tail = 0
-    while tail < high - low and required[-1 - tail] == read[-1 - tail]:
-        tail += 1
+    low = shared_start(required, read)
+    tail = shared_start(required[low:][::-1], read[low:][::-1])
     a, b = required[low : len(required) - tail], read[low : len(read) - tail]
     full = (1 << len(a)) - 1
     places: dict[str, int] = {}
@@ -344,6 +379,9 @@ def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
     while i or j:
         left = diagonal = 0
         if i and j:
+            if a[i - 1] == b[j - 1]:  # the distance is that without the two
+                i, j = i - 1, j - 1
+                continue
             at = i - 1
             left = (columns[j][3] >> at & 1) - (columns[j][2] >> at & 1)
             diagonal = left + (columns[j - 1][1] >> at & 1) - (columns[j - 1][0] >> at & 1)
@@ -382,13 +420,13 @@ def text_decision(reads: DataFrame, errors: DataFrame) -> DataFrame:
     all_exact: no reader has an error; single_reader: one reader only; failed: an agreed error; else reread.
     """
     readers = reads.groupBy("item_id").agg(F.countDistinct("reader").alias("readers"))
-    e = errors.select("item_id", "reader", "kind", "pos", F.coalesce("glyph", F.lit("")).alias("glyph")).distinct()
-    wide = e.select("*", F.explode(F.when(F.col("kind") == "ins", F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).otherwise(F.array("pos"))).alias("p"))
-    other = e.select(F.col("item_id").alias("i2"), F.col("reader").alias("r2"), F.col("kind").alias("k2"), F.col("pos").alias("p2"), F.col("glyph").alias("g2"))
-    met = wide.join(other, (F.col("item_id") == F.col("i2")) & (F.col("kind") == F.col("k2")) & (F.col("glyph") == F.col("g2")) & (F.col("p") == F.col("p2")) & (F.col("reader") < F.col("r2")))
-    agreed = met.groupBy("item_id").agg(F.countDistinct("kind", "pos", "glyph").alias("agreed"))
-    any_error = e.groupBy("item_id").agg(F.count("*").alias("errors"))
-    rows = readers.join(agreed, "item_id", "left").join(any_error, "item_id", "left")
+    # one row of each error with the first and the last of its readers: two show it if these differ, so nothing is joined
+    e = errors.select("item_id", "reader", "kind", "pos", F.coalesce("glyph", F.lit("")).alias("glyph")).repartition("item_id")
+    e = e.groupBy("item_id", "kind", "pos", "glyph").agg(F.min("reader").alias("lo"), F.max("reader").alias("hi"))
+    near = F.max("hi").over(Window.partitionBy("item_id", "kind", "glyph").orderBy("pos").rangeBetween(-1, 1))
+    e = e.withColumn("two", F.col("lo") < F.when(F.col("kind") == "ins", near).otherwise(F.col("hi")))
+    found = e.groupBy("item_id").agg(F.count_if("two").alias("agreed"), F.count("*").alias("errors"))
+    rows = readers.join(found, "item_id", "left")
     decision = F.when(F.col("errors").isNull(), "all_exact").when(F.col("readers") == 1, "single_reader").when(F.col("agreed") > 0, "failed").otherwise("reread")
     return rows.select("item_id", "readers", F.coalesce("agreed", F.lit(0)).cast("long").alias("agreed"), decision.alias("decision"))
 
@@ -414,14 +452,25 @@ def plant_typos(df: DataFrame, key: str, text: str, seed: int = 7, tries: int =
     number = lambda n, part: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col(key), n)), part, 7), 16, 10).cast("long")
 
     def attempt(n: Column) -> Column:
-        t, kind = F.col(text), number(n, 1) % 3
-        at = (number(n, 9) % F.greatest(F.length(text) - 1, F.lit(1)) + 1).cast("int")
+        kind = number(n, 1) % 3
+        return F.struct(kind.alias("kind"), (number(n, 9) % F.greatest(F.length(text) - 1, F.lit(1)) + 1).cast("int").alias("place"), F.chr(97 + number(n, 17) % 26).alias("letter"))
+
+    def planted(o: Column) -> Column:
+        t, at = F.col(text), o["place"]
         head, a, b = F.substring(t, F.lit(1), at - 1), F.substring(t, at, F.lit(1)), F.substring(t, at + 1, F.lit(1))
         rest = F.substring(t, at + 2, F.length(text))
-        letter = F.chr(97 + number(n, 17) % 26)
-        planted = F.when(kind == 0, F.concat(head, letter, b, rest)).when(kind == 1, F.concat(head, b, rest)).otherwise(F.concat(head, b, a, rest))
-        name = F.when(kind == 0, "substitute").when(kind == 1, "delete").otherwise("transpose")
-        return F.struct(name.alias("kind"), at.alias("place"), planted.alias("planted"))
+        return F.when(o["kind"] == 0, F.concat(head, o["letter"], b, rest)).when(o["kind"] == 1, F.concat(head, b, rest)).otherwise(F.concat(head, b, a, rest))
+
+    def changes(o: Column) -> Column:
+        """Whether the compact form changes. It is made character by character, so that the two at the place tell, but for a
+        capital sigma, whose small form depends on what stands around it."""
+        at = o["place"]
+        a, b = F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1))
+        here = F.when(o["kind"] == 0, compact(a) != compact(o["letter"])).when(o["kind"] == 1, compact(a) != "").otherwise(F.concat(compact(a), compact(b)) != F.concat(compact(b), compact(a)))
+        return F.when(F.contains(text, F.lit("\u03a3")), compact(planted(o)) != compact(F.col(text))).otherwise(here)
 
     options = F.array(*[attempt(F.lit(n)) for n in range(tries)])
-    return df.withColumn("__o", F.get(F.filter(options, lambda o: compact(o["planted"]) != compact(F.col(text))), F.lit(0))).select(*df.columns, "__o.*")
+    first = df.withColumn("__o", F.get(F.filter(options, changes), F.lit(0)))
+    o = F.col("__o")
+    name = F.when(o["kind"] == 0, "substitute").when(o["kind"] == 1, "delete").when(o["kind"] == 2, "transpose")
+    return first.select(*df.columns, name.alias("kind"), o["place"].alias("place"), planted(o).alias("planted"))

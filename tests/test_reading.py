@@ -99,3 +99,16 @@ def test_decisions(spark):
 def test_window(read, required, part):
     distance, start, stop = R.window(read, required)
     assert read[start:stop] == part and distance == R.substring_distance(read, required)[0]
+
+
+def test_a_script_of_texts_that_begin_alike():
+    """The head that both have is set aside, yet of equal scripts the same one is told."""
+    assert R.script("eZ", "eeW") == [("insert", "", "e"), ("equal", "e", "e"), ("replace", "Z", "W")]
+    assert R.script("eeW", "eZ") == [("delete", "e", ""), ("equal", "e", "e"), ("replace", "W", "Z")]
+    long = "the end " * 4000
+    assert R.script(long, long) == [("equal", long, long)]
+    assert R.script(long + "x" + long, long + "y" + long) == [("equal", long, long), ("replace", "x", "y"), ("equal", long, long)]
+
+
+def test_a_read_that_holds_the_text_has_its_window():
+    assert R.window("xxabxab", "ab") == (0, 2, 4) and R.window("ab", "") == (0, 0, 0)

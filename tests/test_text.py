@@ -195,3 +195,38 @@ def test_a_script_is_found_by_what_the_ones_before_it_left(spark):
     found = df.select(X.detect_script(F.col("text")).alias("s"))
     assert column(df, X.detect_script(F.col("text"))) == ["Cyrl", "Cyrl", "Latn", "Kore", "Jpan", "Zyyy", "Zyyy", "Zyyy"]
     assert "regexp_extract_all" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "regexp_count" not in plan  # a list of every letter, once for each script
+
+
+def test_typos_by_the_place_are_those_by_the_whole_text(spark):
+    """The two characters at the place tell what whole forms tell, a capital sigma included."""
+    texts = ["ΑΣ!", "ΑΣΑ", "Σ", "a", "", "!!!!!!", "a  b", "Straße – x", "aa", "İİ", "!a!b!c", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 20)], "id long, text string")
+    got = X.plant_typos(df, "id", "text")
+    assert got.where(F.col("planted").isNotNull() & (X.compact(F.col("planted")) == X.compact(F.col("text")))).count() == 0
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.where("text = '!!!!!!' AND kind IN ('delete', 'transpose')").count() == 0 and got.where("text = 'Σ' AND kind IS NULL").count() < 20
+    assert text.count("substring") < 120  # before, whole texts were planted four times
+
+
+def test_a_python_worker_holds_few_texts(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(X, "SLICE", 2)
+    assert X._mapped(pa.array(["A", None, "Bé", "c", ""]), lambda t: seen.append(t) or X.fold_text(t)).to_pylist() == ["a", None, "be", "c", ""]
+    assert X._mapped(pa.array([], pa.string()), X.fold_text).to_pylist() == []
+
+
+def test_agreement_is_told_without_a_join_of_errors(spark):
+    rows = [(1, "a", "ins", 4, "x"), (1, "b", "ins", 5, "x"), (1, "c", "ins", 5, "y"), (1, "a", "chg", 7, None), (1, "a", "chg", 7, None), (2, "b", "chg", 1, None), (2, "c", "chg", 2, None), (3, "b", "missing", -1, "5"), (3, "a", "missing", -1, "5")]
+    errors = spark.createDataFrame(rows, "item_id long, reader string, kind string, pos int, glyph string")
+    reads = spark.createDataFrame([(i, r) for i in (1, 2, 3, 4) for r in "abc"], "item_id long, reader string")
+    got = X.text_decision(reads, errors)
+    assert sorted((r.item_id, r.readers, r.agreed, r.decision) for r in got.collect()) == [(1, 3, 1, "failed"), (2, 3, 0, "reread"), (3, 3, 1, "failed"), (4, 3, 0, "all_exact")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the readers only
+
+
+def test_kept_punctuation_is_looked_up_once():
+    assert X.normalise_keeping("«A» (b) – 5%!", "(") == "a (b - 5%"
+    kept = X._kept("(")
+    assert kept[ord("(")] == ord("(") and kept[ord(")")] is None and ord(")") in kept
