@@ -21,9 +21,12 @@ first 6 bits are equal, and there the ball hashing goes on over the other 22 wit
 held against FAR of all bits, and then against the shingles themselves. Where more than CROWD texts meet under a variant,
 they are told leaders: of those that no leader is near, the most central becomes the next, until each is near one or is one. Of
 those that it is told under its variants a text is linked to the nearest, so that a crowd of near copies costs a link for
-each text and key. The number of texts that are dealt to one task is held at about GROUP by further bits of the key; a
-text goes to the tasks of all of its variants, so that all pairs meet that would meet without, and in a crowd a text may
-be linked to one leader in each task.
+each text and key. Leaders are only the cheap way: a crowd also states ties, a forest over all of its pairs at distance FAR or
+less, so that whatever meets in a crowd has one cluster of ties. Where the links that were verified leave a cluster in several
+components, all of its pairs between different components are held against each other by their shingles, in tasks of two
+blocks of texts each, and only what joins two components becomes a row. The number of texts that are dealt to one task is
+held at about GROUP by further bits of the key; a text goes to the tasks of all of its variants, so that all pairs meet that
+would meet without, and in a crowd a text may be linked to one leader in each task.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ STEP = 1 << 17
 #: of all bits that is looked at (four standard deviations beyond what a similarity of 0.8 has), the largest number of
 #: texts under a variant of which all pairs are taken, and of texts that are meant to meet in one task.
 WORDS, TABLES, EQUAL, FLIPPED, FAR, CROWD, GROUP = 4, 36, 6, 22, 64, 4, 1 << 17
+#: Texts of a cluster in a block, and bytes of their shingles; prints that are held against each other at a time.
+BLOCK_TEXTS, BLOCK_BYTES, CHUNK = 2048, 1 << 24, 256
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -211,9 +216,43 @@ def _led(prints: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return u, v
 
 
-def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest of 0 to n - 1 that links (u, v) connect with each."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[u], least[v])
+        if (low == least[u]).all() and (low == least[v]).all():
+            return least
+        np.minimum.at(least, least[u], low)
+        np.minimum.at(least, least[v], low)
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def _tied(prints: np.ndarray, some: list[np.ndarray], leaders: list[np.ndarray]) -> np.ndarray:
+    """For each of a crowd, the smallest place that a chain of steps at distance FAR or less reaches. some, leaders: links that
+    are known. What they connect is not looked at again, so that a crowd of near copies costs no more than its strays."""
+    n = len(prints)
+    least = _forest(n, np.concatenate(some), np.concatenate(leaders))
+    parts, sizes = np.unique(least, return_counts=True)
+    rest = np.nonzero(least != parts[sizes.argmax()])[0]
+    u, v = [], []
+    for at in range(0, len(rest), CHUNK):
+        a = rest[at : at + CHUNK]
+        for to in range(0, n, CHUNK * 16):
+            b = np.arange(to, min(n, to + CHUNK * 16))
+            apart = sum(np.bitwise_count(prints[a, k][:, None] ^ prints[b, k]).astype(np.int16) for k in range(WORDS))
+            x, y = np.nonzero((apart <= FAR) & (least[a][:, None] != least[b]))
+            pair = np.unique(least[a[x]] * n + least[b[y]])
+            u.append(pair // n)
+            v.append(pair % n)
+    return least[_forest(n, np.concatenate(u), np.concatenate(v))[least]] if u else least
+
+
+def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (places in keys, which come by their node) at distance FAR or less whose keys differ in two bits at most: one
-    flip on either side. bits: which of the key's bits may be flipped, those of a row that was moved being none."""
+    flip on either side; of those in crowds, the pairs with leaders. Then ties (place, smallest place) that connect all such pairs
+    in crowds. bits: which of the key's bits may be flipped, those of a row that was moved being none."""
     n = len(keys)
     flips = np.append(0, 1 << np.arange(FLIPPED)) if bits is None else bits
     owner = np.repeat(np.arange(n), len(flips)) if flips.ndim == 1 else np.nonzero(flips >= 0)[0]
@@ -222,7 +261,7 @@ def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = Non
     owner, variants = owner[order], variants[order]
     starts = np.nonzero(np.append(True, variants[1:] != variants[:-1]))[0]
     sizes = np.diff(np.append(starts, len(variants)))
-    pairs, u, v = [np.zeros(0, np.int64)], [], []
+    pairs, u, v, ties = [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int64)]
     for m in np.unique(sizes[(sizes > 1) & (sizes <= CROWD)]).tolist():
         met = owner[starts[sizes == m][:, None] + np.arange(m)]
         a, b = np.triu_indices(m, 1)
@@ -232,6 +271,7 @@ def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = Non
         some, leaders = _led(prints[members])
         u += [members[x] for x in some]
         v += [members[y] for y in leaders]
+        ties.append(members * n + members[_tied(prints[members], some, leaders)])
     if u:  # of the leaders that a text has under its variants, the nearest
         u, v = np.concatenate(u), np.concatenate(v)
         order = np.lexsort((v, np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64), u))
@@ -241,7 +281,10 @@ def _meeting(keys: np.ndarray, prints: np.ndarray, bits: np.ndarray | None = Non
     out = np.unique(np.concatenate(pairs))
     u, v = out // n, out % n
     near = np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64) <= FAR
-    return u[near], v[near]
+    ties = np.unique(np.concatenate(ties))
+    least = _forest(n, ties // n, ties % n)
+    tied = np.nonzero(least != np.arange(n))[0]
+    return u[near], v[near], tied, least[tied]
 
 
 def _prepared(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -264,7 +307,12 @@ def _prepared(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, count: int, most: int = GROUP) -> DataFrame:
-    """Links (u, v) between nodes (node, prints), `count` of them, that meet under a key."""
+    """Links (u, v) between nodes (node, prints), `count` of them, that meet under a key; in crowds, those with leaders."""
+    return _met(nodes, count, most).where("NOT tie").select("u", "v")
+
+
+def _met(nodes: DataFrame, count: int, most: int = GROUP) -> DataFrame:
+    """(u, v, tie) of nodes (node, prints), `count` of them: links, and the ties of crowds."""
     tables = _tables()
     split = min(FLIPPED, max(0, (count // (most << EQUAL)).bit_length()))  # bits of the key that deal as well
     mask = (1 << split) - 1
@@ -288,11 +336,13 @@ def _candidates(nodes: DataFrame, count: int, most: int = GROUP) -> DataFrame:
         prints = np.frombuffer(b"".join(group["prints"].to_pylist()), "<u8").reshape(-1, WORDS)
         keys = _keys(prints, tables[group["g"][0].as_py() >> EQUAL + split][EQUAL:]) & ~mask
         flips = np.append(0, 1 << np.arange(split, FLIPPED))
-        u, v = _meeting(keys, prints, flips if not split else np.where(moved[:, None] & (flips > 0), -1, flips))
-        return pa.table({"u": pa.array(np.maximum(node[u], node[v])), "v": pa.array(np.minimum(node[u], node[v]))})
+        u, v, a, b = _meeting(keys, prints, flips if not split else np.where(moved[:, None] & (flips > 0), -1, flips))
+        tie = np.arange(len(u) + len(a)) >= len(u)
+        u, v = np.append(u, a), np.append(v, b)
+        return pa.table({"u": pa.array(np.maximum(node[u], node[v])), "v": pa.array(np.minimum(node[u], node[v])), "tie": pa.array(tie)})
 
     dealt = map_batches(nodes, deal, "g bigint, moved boolean, node bigint, prints binary")
-    return dealt.groupBy("g").applyInArrow(meet, "u bigint, v bigint").distinct()
+    return dealt.groupBy("g").applyInArrow(meet, "u bigint, v bigint, tie boolean").distinct()
 
 
 def _verified(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
@@ -313,6 +363,95 @@ def _verified(links: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     return map_batches(links.join(a, "u").join(b, "v").select("u", "v", "u_grams", "v_grams"), run, "u bigint, v bigint")
 
 
+def _across(left: tuple, right: tuple, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (places in left and in right) of at least this Jaccard similarity, as many as it takes to join all components that
+    have one. left, right: components, and the shingles of each text. Shingles that many texts have are counted as bits, the
+    others by lists of the texts that have them."""
+    n = len(right[0])
+    _, labels = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
+    mine, theirs = labels[: len(left[0])], labels[len(left[0]) :]
+    sizes = np.array([len(g) for g in right[1]])
+    words, inverse, texts = np.unique(np.concatenate(right[1]), return_inverse=True, return_counts=True)
+    dense = np.nonzero(texts > n / 64)[0]
+    column = np.full(len(words), -1)
+    column[dense] = np.arange(len(dense))
+    row = np.repeat(np.arange(n), sizes)
+    order = np.argsort(inverse, kind="stable")
+    lists, ends = row[order], np.cumsum(texts)
+    width = -(-len(dense) // 64) or 1
+    bits = np.zeros((n, width), np.uint64)
+    at = column[inverse]
+    np.bitwise_or.at(bits, (row[at >= 0], at[at >= 0] // 64), np.uint64(1) << (at[at >= 0] % 64).astype(np.uint64))
+    u, v = [], []
+    for a, grams in enumerate(left[1]):
+        size = len(grams)
+        some = np.nonzero((theirs != mine[a]) & (np.minimum(sizes, size) >= similarity * np.maximum(sizes, size)))[0]
+        if not len(some):
+            continue
+        place = np.minimum(np.searchsorted(words, grams), len(words) - 1)
+        place = place[words[place] == grams]
+        at = column[place]
+        own = np.zeros(width, np.uint64)
+        np.bitwise_or.at(own, at[at >= 0] // 64, np.uint64(1) << (at[at >= 0] % 64).astype(np.uint64))
+        both = np.bitwise_count(bits[some] & own).sum(axis=1, dtype=np.int64)
+        rare = [lists[ends[p] - texts[p] : ends[p]] for p in place[at < 0].tolist()]
+        if rare:
+            both += np.bincount(np.concatenate(rare), minlength=n)[some]
+        some = some[both >= similarity * (size + sizes[some] - both)]
+        for label, b in zip(*np.unique(theirs[some], return_index=True)):
+            u.append(a)
+            v.append(int(some[b]))
+            mine[mine == label], theirs[theirs == label] = mine[a], mine[a]
+    return u, v
+
+
+def _between(clusters: DataFrame, grams: DataFrame, similarity: float, texts: int = BLOCK_TEXTS) -> DataFrame:
+    """Links (u, v) of at least this Jaccard similarity that join all components between which a cluster has one. clusters:
+    (cluster, node, root), root standing for the component; grams: (node, grams).
+
+    Pairs are looked at for the texts outside a cluster's largest component, with all of its texts: blocks of the former (a)
+    meet blocks of the latter (b), each two in one task."""
+    parts = clusters.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).where("n > most.n")
+    rows = clusters.join(whole.select("cluster", F.col("most.root").alias("most")), "cluster").join(grams, "node")
+    rows = cut(rows.withColumn("other", F.col("root") != F.col("most")).drop("most"))
+
+    def blocks(which: Column) -> Column:
+        heavy = F.greatest(F.count_if(which) / texts, F.sum(F.when(which, F.octet_length("grams")).otherwise(0)) / BLOCK_BYTES)
+        return F.greatest(F.ceil(heavy), F.lit(1)).cast("int")
+
+    dealt = rows.join(rows.groupBy("cluster").agg(blocks(F.col("other")).alias("na"), blocks(F.lit(True)).alias("nb")), "cluster")
+    place = F.xxhash64("node")
+    a, b = F.pmod(place, F.col("na")).cast("int"), F.pmod(place, F.col("nb")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cluster", "a", "b", "side", "node", "root", "grams"]
+    one = dealt.where("other").select("*", every("nb").alias("b")).withColumns({"a": a, "side": F.lit(True)}).select(columns)
+    two = dealt.select("*", every("na").alias("a")).withColumns({"b": b, "side": F.lit(False)}).select(columns)
+
+    def meet(group: pa.Table) -> pa.Table:
+        side = group["side"].to_numpy(zero_copy_only=False)
+        node, root = group["node"].to_numpy(), group["root"].to_numpy()
+        found = [np.frombuffer(g, "<u4") for g in group["grams"].to_pylist()]
+        left, right = np.nonzero(side)[0], np.nonzero(~side)[0]
+        x, y = _across(*[(root[p], [found[k] for k in p]) for p in (left, right)], similarity) if len(left) and len(right) else ([], [])
+        return pa.table({"u": pa.array([node[left[k]] for k in x], pa.int64()), "v": pa.array([node[right[k]] for k in y], pa.int64())})
+
+    return one.unionByName(two).groupBy("cluster", "a", "b").applyInArrow(meet, "u bigint, v bigint")
+
+
+def _components(met: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components of links (u, v, tie) that hold, but for the roots; with the pairs of crowds that leaders
+    don't link."""
+    roots = connected_components(_verified(met.where("NOT tie").select("u", "v"), grams, similarity))
+    tied = connected_components(met.where("tie").select("u", "v"))
+    clusters = tied.select(F.col("root").alias("cluster"), "node").unionByName(tied.select(F.col("root").alias("cluster"), F.col("root").alias("node")).distinct())
+    clusters = clusters.join(roots, "node", "left").select("cluster", "node", F.coalesce("root", "node").alias("root"))
+    more = cut(_between(clusters, grams, similarity))
+    if not more.limit(1).count():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+
 def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, component) of each row of docs; a component is what links of at least this Jaccard similarity
     on runs of `size` words connect. No link is stated that isn't so; of those at 0.8 some are missed (see README),
@@ -320,10 +459,10 @@ def near_copies(docs: DataFrame, text: str = "text", size: int = 5, similarity:
     words, whatever their ASCII case and white space, are one; null and blank texts as well."""
     rows = cut(_prepared(docs, text, size))
     nodes = rows.groupBy("node").agg(F.first("prints").alias("prints"))
-    links = cut(_candidates(nodes, rows.count()))
-    linked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    met = cut(_met(nodes, rows.count()))
+    linked = met.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     grams = rows.select("node", "grams").join(linked, "node", "left_semi").dropDuplicates(["node"])
-    roots = connected_components(_verified(links, grams, similarity))
+    roots = _components(met, grams, similarity)
     return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("component"))
 
 

@@ -171,6 +171,67 @@ def test_links_of_a_crowd_follow_its_size(spark):
         assert n - 1 <= found <= 2 * simhash.TABLES * n  # all pairs are n * n / 2
 
 
+def pairs_in_a_crowd(n):
+    """2 n texts that all have some 0.74 of their runs in common, so that none is near a leader; each has one near copy."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [edited(rng, base, 6) for _ in range(n)]
+    return [x for t in texts for x in (t, edited(rng, t.split(), 1))]
+
+
+def test_pairs_without_a_leader_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TABLES", 3)
+    monkeypatch.setattr(simhash, "EQUAL", 0)
+    texts = pairs_in_a_crowd(60)
+    sets = [gram_set(t) for t in texts]
+    assert all(alike(sets[a], sets[a + 1]) for a in range(0, len(texts), 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    root = {r.doc_id: r.component for r in simhash.near_copies(docs).collect()}
+    groups = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if groups[a] != groups[b] and alike(sets[a], sets[b]):
+                groups = [groups[b] if g == groups[a] else g for g in groups]
+    assert all(root[a] == root[b] for a in range(len(texts)) for b in range(a) if groups[a] == groups[b])
+    assert len(set(root.values())) == len(set(groups)) > len(texts) // 3
+
+
+def test_clusters_are_searched_as_every_pair(spark):
+    """Blocks of any size find the components of every pair, of texts with and without shingles of their own."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    cores = [rng.choice(10**6, 40, replace=False) for _ in range(6)]
+    sets = [np.unique(np.append(cores[k % 6][rng.random(40) < 0.93], rng.choice(10**6, rng.integers(0, 4)))).astype("<u4") for k in range(150)] + [np.zeros(0, "<u4")]
+    groups = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                groups = [groups[b] if g == groups[a] else g for g in groups]
+    want = {frozenset(k for k, g in enumerate(groups) if g == x) for x in set(groups)}
+    grams = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "node bigint, grams binary")
+    clusters = spark.createDataFrame([(0, k, k) for k in range(len(sets))], "cluster bigint, node bigint, root bigint")
+    for most in (4096, 20):
+        found = simhash._between(clusters, grams, 0.8, most)
+        least = {r.node: r.root for r in simhash.connected_components(found).collect()}
+        assert {frozenset(k for k in range(len(sets)) if least.get(k, k) == x) for x in {least.get(k, k) for k in range(len(sets))}} == want
+
+
+def test_ties_connect_all_that_is_near():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    prints = random_prints(rng, 400, 1)
+    for k in range(1, 300):  # chains whose ends are far from each other
+        prints[k] = prints[k - 1] if k % 20 else prints[k]
+        for bit in rng.integers(0, 64 * simhash.WORDS, 30).tolist():
+            prints[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= simhash.FAR
+    u, v = np.nonzero(near)
+    assert (simhash._tied(prints, *simhash._led(prints)) == simhash._forest(400, u, v)).all()
+
+
 def test_keep_first_with_null_and_repeated_ids(spark):
     a, b, c = "one text about the first thing here", "quite another text with other words", "the third of the texts has its own"
     rows = [(None, a, 1), (None, b, 2), (4, c, 3), (4, c, 3), (4, "what else stands under the id of four", 4), (9, a.upper() + " ", 5), (6, None, 6), (7, " ", 7)]
