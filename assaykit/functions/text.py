@@ -398,6 +398,29 @@ def edits(required: str, read: str) -> list[tuple[str, int, str | None]]:
     return out[::-1]
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance, equal ends set aside; by Myers' bit vectors, as substring_distance()."""
+    low = shared_start(a, b)
+    tail = shared_start(a[low:][::-1], b[low:][::-1])
+    a, b = a[low : len(a) - tail], b[low : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, here = full, 0, len(a)
+    for c in b:
+        same = places.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(across | up)) & full, up & across
+        here += bool(more & top) - bool(less & top)
+        more = (more << 1 | 1) & full
+        both = same | down
+        up, down = (less << 1 | ~(both | more)) & full, more & both
+    return here
+
+
 def error_keys(df: DataFrame) -> DataFrame:
     """(item_id, reader, kind, pos, glyph) of a read against what was required: chg at a changed or left-out character
     of required, ins before one with the inserted character, by the fewest edits; missing (pos -1) with each critical
@@ -431,19 +454,33 @@ def text_decision(reads: DataFrame, errors: DataFrame) -> DataFrame:
     return rows.select("item_id", "readers", F.coalesce("agreed", F.lit(0)).cast("long").alias("agreed"), decision.alias("decision"))
 
 
+def grid(at: Column, cell: float) -> Column:
+    """The cell of a place. Borders lie half way between the multiples of cell, as places are often rounded to such."""
+    return F.floor(at / cell + 0.5)
+
+
 def stray_agreement(reads: DataFrame, gap: float = 0.02, cell: float = 0.1) -> DataFrame:
     """Pairs of reads of one item by different readers that are near and alike: equal without spaces, one in the other
     (4 characters or more), or a similarity 1 - distance / length of 0.8. reads: (item_id, reader, read_no, text, x, y);
-    blocked by grid cells."""
-    t = reads.withColumns({"c": compact(F.col("text")), "cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    a = t.select("*", F.explode(steps).alias("s")).select("item_id", "reader", "read_no", "c", "x", "y", (F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy"))
-    b = t.select(F.col("item_id").alias("i2"), F.col("reader").alias("r2"), F.col("read_no").alias("n2"), F.col("c").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("cx2"), F.col("cy").alias("cy2"))
+    blocked by grid cells. A read is copied to those cells only that the gap reaches."""
+    t = reads.withColumn("c", compact(F.col("text")))
+    reach = gap + cell / 1000  # more than rounding takes from a distance
+    near_cells = lambda at: F.explode(F.sequence(grid(F.col(at) - reach, cell), grid(F.col(at) + reach, cell)))
+    a = t.where("x IS NOT NULL AND y IS NOT NULL").select("item_id", "reader", "read_no", "c", "x", "y", near_cells("x").alias("cx")).select("*", near_cells("y").alias("cy"))
+    b = t.select(F.col("item_id").alias("i2"), F.col("reader").alias("r2"), F.col("read_no").alias("n2"), F.col("c").alias("c2"), F.col("x").alias("x2"), F.col("y").alias("y2"), grid(F.col("x"), cell).alias("cx2"), grid(F.col("y"), cell).alias("cy2"))
     near = (F.abs(F.col("x") - F.col("x2")) <= gap) & (F.abs(F.col("y") - F.col("y2")) <= gap)
+    met = a.join(b, (F.col("item_id") == F.col("i2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (F.col("reader") < F.col("r2")) & near)
     longer, shorter = F.greatest(F.length("c"), F.length("c2")), F.least(F.length("c"), F.length("c2"))
-    alike = (F.col("c") == F.col("c2")) | ((shorter >= 4) & (F.contains("c", F.col("c2")) | F.contains("c2", F.col("c")))) | (1 - F.levenshtein("c", "c2") / longer >= 0.8)
-    met = a.join(b, (F.col("item_id") == F.col("i2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (F.col("reader") < F.col("r2")) & near & alike)
-    return met.select("item_id", "read_no", F.col("n2").alias("other_no"))
+    plain = (F.col("c") == F.col("c2")) | ((shorter >= 4) & (F.contains("c", F.col("c2")) | F.contains("c2", F.col("c"))))
+    # a distance is at least the difference of the lengths; what need not be measured goes to Python as null
+    asked = F.when(F.col("c").isNotNull() & ~plain & (5 * (longer - shorter) <= longer), F.col("c2"))
+
+    @F.pandas_udf("boolean")
+    def similar(c: pd.Series, c2: pd.Series) -> pd.Series:
+        return pd.Series([y is not None and 1 - distance(x, y) / max(len(x), len(y)) >= 0.8 for x, y in zip(c, c2)], dtype=bool)
+
+    met = met.select("item_id", "read_no", F.col("n2").alias("other_no"), plain.alias("plain"), F.when(asked.isNotNull(), F.col("c")).alias("c"), asked.alias("c2"))
+    return met.where(F.col("plain") | similar("c", "c2")).select("item_id", "read_no", "other_no")
 
 
 def plant_typos(df: DataFrame, key: str, text: str, seed: int = 7, tries: int = 4) -> DataFrame:

@@ -230,3 +230,37 @@ def test_kept_punctuation_is_looked_up_once():
     assert X.normalise_keeping("«A» (b) – 5%!", "(") == "a (b - 5%"
     kept = X._kept("(")
     assert kept[ord("(")] == ord("(") and kept[ord(")")] is None and ord(")") in kept
+
+
+def test_stray_agreement_against_every_pair(spark):
+    """Places on borders, far out and null; a read on the multiples of a cell is in one cell only."""
+
+    rng = random.Random(9)
+    base = "the quick brown fox jumps over the lazy dog again"
+    texts = [base, base.replace("th", "tb"), base.replace("e", ""), base[5:30], "abc", "ab", "", None, base[::-1], base.replace("o", "\u00f6\U0001f600")]
+    places = [0.3, 0.31, 0.32, 0.35, 0.369, -0.05, 0.05, 0.0, 700000.1, None]
+    reads = [(k % 3, rng.choice("abc"), k, rng.choice(texts), rng.choice(places), rng.choice(places)) for k in range(240)]
+    df = spark.createDataFrame(reads, "item_id bigint, reader string, read_no int, text string, x double, y double")
+    compact = {r.read_no: r.c for r in df.select("read_no", X.compact(F.col("text")).alias("c")).collect()}
+
+    def plain_distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def agree(a, b):
+        if None in (a, b):
+            return False
+        return a == b or (min(len(a), len(b)) >= 4 and (a in b or b in a)) or 1 - plain_distance(a, b) / max(len(a), len(b)) >= 0.8
+
+    near = lambda p, q: p is not None and q is not None and abs(p - q) <= 0.02
+    want = sorted((p[0], p[2], q[2]) for p in reads for q in reads if p[0] == q[0] and p[1] < q[1] and near(p[4], q[4]) and near(p[5], q[5]) and agree(compact[p[2]], compact[q[2]]))
+    got = X.stray_agreement(df)
+    assert want and sorted(map(tuple, got.collect())) == want
+    assert "levenshtein" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(X.distance(a or "", b or "") == plain_distance(a or "", b or "") for a in texts for b in texts)
+    cells = spark.createDataFrame([(k / 10,) for k in range(-20, 20)], "x double").select((X.grid(F.col("x") + 0.0201, 0.1) - X.grid(F.col("x") - 0.0201, 0.1)).alias("n"))
+    assert cells.agg(F.max("n")).first()[0] == 0
