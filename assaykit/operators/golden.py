@@ -5,13 +5,14 @@ there are known. All parts are joins on these ids; nothing is looked up row by r
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.operators.metrics import DIMENSIONS
 from assaykit.operators.writes import upsert
+from assaykit.session import written
 
 LABELLED = tuple(d for d in DIMENSIONS if d != "technical")
 SHIPPED = ("passed", "approved")
@@ -73,6 +74,15 @@ def linked_runs(outputs: DataFrame, tables: Tables) -> DataFrame:
     return by_id.join(shown, "image_sha", "left").select("run_id", link.alias("link"))
 
 
+def settled(files: Files) -> Files:
+    """files with the report's and the checks' rows that an import counts, written once: one report row of each image, and the
+    checks, far more than all else, of those images only. Each table of each import reads them again otherwise."""
+    told = written(files.report.where("image_sha IS NOT NULL").dropDuplicates(["image_sha"]))
+    # hashed on the side of the report, so that the checks are dealt out once and never sorted
+    checks = files.checks.join(told.select("image_sha").hint("shuffle_hash"), "image_sha", "left_semi")
+    return replace(files, report=told, checks=written(checks.dropDuplicates(["image_sha", "name"])))
+
+
 def golden_import(files: Files, tables: Tables) -> Tables:
     """The tables after the import.
 

@@ -143,10 +143,10 @@ EMPTY = {
 
 def golden_files(spark, sf_dir) -> G.Files:
     """A data set's files: items of brief b and version belong to run b of it, natural ones before final ones."""
-    rows = table(spark, sf_dir, "v_items").select(
+    rows = written(table(spark, sf_dir, "v_items").select(
         F.concat(F.lit("sha"), F.col("item_id")).alias("image_sha"), "item_id", "item_set", F.floor(F.col("item_id") / 5).alias("run_id"), "brief_id", "version", "mutation", "source_id", "label_source",
         *[f"label_{d}" for d in DIMENSIONS], *[F.when(F.col(f"assessed_{d}"), F.col(f"pred_{d}")).alias(d) for d in DIMENSIONS],
-    )
+    ))
     labels = [F.col(f"label_{d}").alias(d) for d in G.LABELLED]
     status = F.when(F.col("run_id") % 4 == 0, "approved").when(F.col("run_id") % 4 == 1, "passed").otherwise("needs_review")
     first = rows.where("(item_set = 'nat' AND item_id % 5 = 0) OR item_set = 'final'")
@@ -179,7 +179,7 @@ _FINALS = "SELECT item_id, CAST(floor(item_id / 5) AS bigint) AS run_id FROM v_i
 )
 def golden_import(spark, sf_dir):
     """Rows of each table after two imports, the second of which adds nothing."""
-    files = golden_files(spark, sf_dir)
+    files = G.settled(golden_files(spark, sf_dir))
     nothing = G.Tables(**{name: spark.createDataFrame([], schema) for name, schema in EMPTY.items()})
     once = G.golden_import(files, nothing)
     return G.golden_import(files, G.Tables(**{name: written(getattr(once, name)) for name in EMPTY})).counts()

@@ -122,6 +122,18 @@ def test_golden_import_twice(spark):
     assert {r.name: r.n for r in twice.counts().collect()} == {"images": 8, "runs": 4, "candidates": 5, "labels": 2, "planted": 1, "evaluations": 3, "events": 11}
 
 
+def test_golden_import_reads_its_files_once(spark, sf_dir):
+    from assaykit.plans.reports import golden_files, golden_import
+
+    plan = golden_import(spark, sf_dir)._jdf.queryExecution().optimizedPlan().treeString()
+    assert "l_orderkey" not in plan and "doc_id" not in plan
+    files = golden_files(spark, sf_dir)
+    once = G.settled(files)
+    nothing = G.Tables(**{name: spark.createDataFrame([], schema) for name, schema in EMPTY.items()})
+    a, b = (sorted(map(str, G.golden_import(f, nothing).evaluations.collect())) for f in (files, once))
+    assert a == b and once.checks.count() < files.checks.count()
+
+
 def test_threshold_sweep_counts_rows_once(spark):
     from assaykit.operators import metrics as M
 
