@@ -70,6 +70,19 @@ def test_checks_are_worked_out_in_one_pass(spark, sf_dir):
     assert df.exceptAll(plain).count() == 0 and plain.exceptAll(df).count() == 0
 
 
+def test_checks_of_an_empty_text(spark):
+    from assaykit.plans import operations  # noqa: F401  registers them
+
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "ab1\n")], "item_id bigint, body string")
+    rows = C.run_checks(df, "item_id", ["length", "digits", "lines"]).collect()
+    got = {(r.item_id, r.check_name): (r.passed, str(r.value)) for r in rows}
+    assert got == {
+        (1, "length"): (False, "0.0"), (1, "digits"): (True, "nan"), (1, "lines"): (False, "0.0"),
+        (2, "length"): (None, "None"), (2, "digits"): (None, "None"), (2, "lines"): (None, "None"),
+        (3, "length"): (False, "4.0"), (3, "digits"): (False, "0.75"), (3, "lines"): (True, "1.0"),
+    }
+
+
 def test_budget_warning_at_just_the_share(spark):
     df = spark.createDataFrame([(1, n, dt.datetime(2026, 1, 1, 0, n), 0.6) for n in (1, 2)], "run_id bigint, call_id bigint, created_at timestamp, est_cost_usd double")
     assert [r.warned for r in L.budget_walk(df, 1.5, 40, 10**9).orderBy("call_id").collect()] == [False, True]
